@@ -101,3 +101,23 @@ def with_params(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFrame
 
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
     return df.unpivot(ids, [F.col(v).cast("double").alias(v) for v in values], name, value)
+
+
+def rolling_pair_sums(df: DataFrame, x: str, y: str, n: int, keys="asset", ts="ts") -> DataFrame:
+    """Adds r_n, r_x, r_y, r_xx, r_yy, r_xy over the trailing n rows, as differences of running sums
+    (linear in the series length; a sliding frame would re-add n rows for every row)."""
+    ok = col(x).isNotNull() & col(y).isNotNull()
+    terms = {"n": F.lit(1.0), "x": col(x), "y": col(y), "xx": col(x) * col(x), "yy": col(y) * col(y), "xy": col(x) * col(y)}
+    run = running(keys, ts)
+    d = df.withColumns({f"_c_{k}": F.sum(F.when(ok, v).otherwise(0.0)).over(run) for k, v in terms.items()})
+    w = by_time(keys, ts)
+    return d.withColumns({f"r_{k}": F.col(f"_c_{k}") - F.lag(f"_c_{k}", n, 0.0).over(w) for k in terms}).drop(
+        *[f"_c_{k}" for k in terms])
+
+
+def rolling_slope(min_var: float = 0.0) -> Column:
+    """cov(x, y) / var(y) from the columns of rolling_pair_sums."""
+    n = F.when(F.col("r_n") >= 2, F.col("r_n"))
+    cov = F.col("r_xy") - F.col("r_x") * F.col("r_y") / n
+    var = F.col("r_yy") - F.col("r_y") * F.col("r_y") / n
+    return F.when(var / (n - 1) > min_var, cov / F.nullif(var, F.lit(0.0)))

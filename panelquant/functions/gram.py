@@ -36,11 +36,11 @@ def pair_moments(df: DataFrame, keys: list[str], chunk, asset: str = "asset", ts
                  value: str = "r", blocks: int | None = None) -> DataFrame:
     """Per (keys, a <= b): n, sums, sums of squares and of products over dates where both exist.
 
-    ``chunk`` is a column that bounds the dates of one task (for example the year)."""
+    ``chunk`` is an expression that bounds the dates of one task (for example the year)."""
     blocks = block_count(df, asset) if blocks is None else blocks
     src = block_pairs(
         df.select(*keys, F.col(asset).alias("asset"), F.col(ts).alias("ts"),
-                  F.col(value).cast("double").alias("r"), chunk.alias("_c")),
+                  F.col(value).cast("double").alias("r"), (F.expr(chunk) if isinstance(chunk, str) else chunk).alias("_c")),
         blocks,
     )
     kt = dict(df.dtypes)

@@ -66,10 +66,11 @@ def statement_item(statements: DataFrame, wants: dict | None = None, periods: in
         "_pick", F.struct((F.col("item") != F.col("_w.want")).alias("inexact"), F.col("item").alias("i")))
     best = F.min("_pick").over(Window.partitionBy(*keys, "_w.name"))
     d = d.withColumn("_best", best).where((F.col("_pick") == F.col("_best")) & (F.col("_pos") < periods))
-    return d.groupBy(*keys).agg(*[
-        F.max(F.when((F.col("_w.name") == n) & (F.col("_pos") == k), F.col("value"))).alias(f"{n}_{k}")
-        for n in wants for k in range(periods)
-    ])
+    cell = F.struct(F.concat_ws("_", F.col("_w.name"), F.col("_pos")).alias("k"), F.col("value").alias("v"))
+    # At most one entry per wanted item and period, so the map is bounded by the item list.
+    cells = d.groupBy(*keys).agg(F.map_from_entries(F.collect_list(cell)).alias("_m"))
+    return cells.select(*keys, *[F.try_element_at("_m", F.lit(f"{n}_{k}")).alias(f"{n}_{k}")
+                                 for n in wants for k in range(periods)])
 
 
 def _signal(cond: Column) -> Column:

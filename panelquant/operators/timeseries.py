@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, clip, full, trailing, when_full
+from ..functions.columns import by_time, clip, full, rolling_pair_sums, rolling_slope, trailing, when_full
 from ..functions.dist import chi2_sf_odd
 from .pit import valid_at
 
@@ -159,12 +159,13 @@ def factor_low_risk(returns: DataFrame, as_of: list, value: str = "lr") -> DataF
     year = F.sqrt(F.lit(252.0))
     market = returns.groupBy("ts").agg(F.avg(value).alias("mkt"))
     d = returns.join(market, "ts")
-    w30, w252 = trailing(30), trailing(252)
+    w30 = trailing(30)
+    d = rolling_pair_sums(d, value, "mkt", 252)
     down = F.when(F.col(value) < 0, F.col(value))
     d = d.select(
         "asset", "ts", F.row_number().over(by_time()).alias("n"),
         F.when(F.count(value).over(w30) > 5, -F.stddev_samp(value).over(w30) * year).alias("volatility_30d"),
         F.when(F.count(down).over(w30) > 3, -F.stddev_samp(down).over(w30) * year).alias("downside_volatility"),
-        (-F.covar_samp(value, "mkt").over(w252) / F.nullif(F.var_samp("mkt").over(w252), F.lit(0.0))).alias("b"))
+        (-rolling_slope()).alias("b"))
     return valid_at(d, as_of).select(
         "as_of", "asset", "volatility_30d", F.when(F.col("n") >= 252, F.col("b")).alias("beta"), "downside_volatility")

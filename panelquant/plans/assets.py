@@ -212,9 +212,9 @@ def _(p):
     return fd.latest_item(fd.recent_values(_alias(p)))
 
 
-@query("avg_item", "SELECT asset, canonical, R2(CASE WHEN count(*) FILTER (k < 2) = 2 THEN avg(value) FILTER (k < 2) END) AS average FROM recent GROUP BY ALL")
+@query("avg_item", "SELECT asset, canonical, R4(CASE WHEN count(*) FILTER (k < 2) = 2 THEN avg(value) FILTER (k < 2) END) AS average FROM recent GROUP BY ALL")
 def _(p):
-    return rounded(fd.avg_item(fd.recent_values(_alias(p))), 2)
+    return rounded(fd.avg_item(fd.recent_values(_alias(p))), 4)
 
 
 def _ttm(c, n=4):
