@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,13 @@ def unit(*keys, seed: int = 42) -> Column:
     return (mix(*keys, seed=seed) + 0.5) / float(MOD)
 
 
+def normal(*keys, seed: int = 42) -> Column:
+    """Standard normal from two draws; the last key must leave its successor free."""
+    *rest, last = keys
+    u, v = unit(*keys, seed=seed), unit(*rest, col(last) + 1, seed=seed)
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+
+
 def sql_mix(*keys: str, seed: int = 42) -> str:
     x = f"(({' + '.join([str(seed)] + [f'(CAST({k} AS BIGINT) % {MOD}) * {s}' for k, s in zip(keys, STEP)])}) % {MOD})"
     return x
@@ -34,7 +42,7 @@ def sql_mix(*keys: str, seed: int = 42) -> str:
 
 def sql_rounds(source: str, x: str, name: str) -> str:
     """Adds ``name`` from the start value x, one nested select per round."""
-    out = f"SELECT *, {x} AS m0 FROM ({source})"
+    out = f"SELECT *, {x} AS zz0 FROM ({source})"
     for i in range(3):
-        out = f"SELECT *, (m{i} * m{i} + m{i} * 48271 + 11) % {MOD} AS m{i + 1} FROM ({out})"
-    return f"SELECT * EXCLUDE (m0, m1, m2, m3), m3 AS {name} FROM ({out})"
+        out = f"SELECT *, (zz{i} * zz{i} + zz{i} * 48271 + 11) % {MOD} AS zz{i + 1} FROM ({out})"
+    return f"SELECT * EXCLUDE (zz0, zz1, zz2, zz3), zz3 AS {name} FROM ({out})"

@@ -34,13 +34,27 @@ def value_ladder(df: DataFrame, keys: list[str], value: str = "value", buckets:
     return (
         placed.join(totals, [*keys, "_b"])
         .withColumn("before", F.col("_off") + F.sum("cnt").over(inside) - F.col("cnt"))
-        .select(*keys, value, "cnt", "before", "n")
+        .select(*keys, value, "cnt", "before", "n", "_b")
     )
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str = "value", out: str = "rank", n: str = "n") -> DataFrame:
+def running_extreme(ladder: DataFrame, keys: list[str], value: str, score: str, out: str, from_top: bool) -> DataFrame:
+    """Running minimum of ``score`` from the largest value down (``from_top``), or running maximum from
+    the smallest value up, over a value ladder: bucket extremes first, then inside each bucket."""
+    agg = F.min if from_top else F.max
+    pick = F.least if from_top else F.greatest
+    ahead = (1, Window.unboundedFollowing) if from_top else (Window.unboundedPreceding, -1)
+    here = (0, Window.unboundedFollowing) if from_top else (Window.unboundedPreceding, 0)
+    per = ladder.groupBy(*keys, "_b").agg(agg(score).alias("_x"))
+    per = per.select(*keys, "_b", agg("_x").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*ahead)).alias("_o"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(*here)
+    return ladder.join(per, [*keys, "_b"]).withColumn(out, pick(agg(score).over(inside), F.col("_o"))).drop("_o")
+
+
+def average_rank(df: DataFrame, keys: list[str], value: str = "value", out: str = "rank", n: str = "n",
+                 ladder: DataFrame | None = None) -> DataFrame:
     """Adds the average-tie rank (1-based) and the non-null group size; nulls keep a null rank."""
-    ladder = value_ladder(df, keys, value).select(
+    ladder = (ladder if ladder is not None else value_ladder(df, keys, value)).select(
         *keys, value,
         (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out),
         F.col("n").alias(n),
@@ -48,9 +62,10 @@ def average_rank(df: DataFrame, keys: list[str], value: str = "value", out: str
     return df.join(ladder, [*keys, value], "left").select(*df.columns, out, n)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value") -> DataFrame:
+def group_quantiles(df: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value",
+                    ladder: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per entry of ``probs``."""
-    ladder = value_ladder(df, keys, value)
+    ladder = ladder if ladder is not None else value_ladder(df, keys, value)
     aggs = []
     for name, p in probs.items():
         pos = (F.col("n") - 1) * F.lit(float(p))

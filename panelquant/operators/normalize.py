@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, full, running, sample_kurtosis, sample_skew, unpivot
 from ..functions.dist import norm_ppf
-from ..functions.ranking import average_rank, group_quantiles
+from ..functions.ranking import average_rank, group_quantiles, value_ladder
 
 XS = ["ts", "characteristic"]
 
@@ -144,8 +144,27 @@ def apply_normalization(df: DataFrame, names, **params) -> DataFrame:
             raise ValueError(f"unknown normalization {n!r}; known: {sorted(TREATMENTS)}")
     if isinstance(names, str):
         return TREATMENTS[names](df, **params)
-    out = None
-    for n in names:
-        one = TREATMENTS[n](df).withColumn("treatment", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _stacked(df, list(names))
+
+
+def _stacked(df: DataFrame, names: list[str], lower_pct: float = 0.01, upper_pct: float = 0.99, scale_factor: float = 1.4826) -> DataFrame:
+    """All treatments from shared statistics: one ladder gives ranks and quantiles for every one of them."""
+    ladder = value_ladder(df, XS)
+    r = average_rank(df, XS, ladder=ladder)
+    q = group_quantiles(df, XS, {"lo": lower_pct, "med": 0.5, "hi": upper_pct}, ladder=ladder)
+    d = r.join(q, XS, "left").withColumn("_v", F.when(F.col("value").isNotNull(), F.least(F.greatest("value", "lo"), F.col("hi"))))
+    d = d.withColumn("_dev", F.abs(F.col("value") - F.col("med")))
+    s = d.groupBy(*XS).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.avg("_v").alias("_mw"), F.stddev_samp("_v").alias("_sw"))
+    d = d.join(s, XS)
+    if "robust_zscore" in names:
+        mad = group_quantiles(d.select(*XS, "asset", F.col("_dev").alias("value")), XS, {"mad": 0.5})
+        d = d.join(mad, XS, "left")
+    win = F.when(F.col("_sw") == 0, F.when(F.col("_v").isNotNull(), F.lit(0.0))).otherwise((F.col("_v") - F.col("_mw")) / F.nullif("_sw", F.lit(0.0)))
+    forms = {
+        "cross_sectional_zscore": lambda: _z(), "rank": lambda: (F.col("rank") - 0.5) / F.col("n") * 100,
+        "winsorized_zscore": lambda: win,
+        "robust_zscore": lambda: (F.col("value") - F.col("med")) / F.nullif(F.col("mad") * scale_factor, F.lit(0.0)),
+        "normal_score": lambda: norm_ppf(F.col("rank") / (F.col("n") + 1)),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("treatment"), forms[n]().alias("score")) for n in names])
+    return d.select(*XS, "asset", F.explode(rows).alias("t")).select("ts", "asset", "characteristic", "t.score", "t.treatment")

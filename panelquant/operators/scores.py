@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, clip, div
-from ..functions.dist import norm_ppf
-from ..functions.mixing import unit
+from ..functions.mixing import normal
 from ..functions.ranking import average_rank
 
 MODULES = ["M1", "M2", "M3", "M4", "M5", "M6"]
@@ -70,10 +69,10 @@ def composite_ci(wide: DataFrame, entity, modules, risk: str, key: list[str], re
     """Percentile interval of the adjusted score under noise on every module score. Draws depend only
     on (entity key, replicate, module), so a rerun repeats them. ``key`` holds one or two integer columns."""
     d = wide.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    d = d.withColumns({f"_u{i}": unit(*key, F.col("_r") * 16 + i, seed=seed) for i, _ in enumerate(modules)})
+    d = d.withColumns({f"_z{i}": normal(*key, F.col("_r") * 16 + 2 * i, seed=seed) for i, _ in enumerate(modules)})
     total, count = F.lit(0.0), F.lit(0)
     for i, m in enumerate(modules):
-        noisy = F.least(F.greatest(F.col(m) + noise * norm_ppf(f"_u{i}"), F.lit(0.0)), F.lit(100.0))
+        noisy = F.least(F.greatest(F.col(m) + noise * F.col(f"_z{i}"), F.lit(0.0)), F.lit(100.0))
         total = total + F.when(F.col(m).isNotNull(), noisy).otherwise(0.0)
         count = count + F.col(m).isNotNull().cast("int")
     adj = total / F.nullif(count, F.lit(0)) * (1 - lam * (100.0 - F.col(risk)) / 100.0)

@@ -8,7 +8,7 @@ from ..operators import pairs as pr
 from ..operators import scores as sc
 from ..operators import text as tx
 from .registry import query
-from .shared_sql import VIEWS, norm_ppf
+from .shared_sql import VIEWS
 
 # The texts of the given tables hold none of the default words, so frequent ones stand in.
 POS, NEG = ["with", "for", "und", "les", "que", "he"], ["was", "by", "des", "die", "en", "la"]
@@ -40,7 +40,7 @@ def _(p):
 
 VIEWS["daily_sent"] = """
 SELECT *, e - coalesce(lag(e, 20) OVER (PARTITION BY asset ORDER BY n), 0) AS mom FROM (
-  SELECT a.asset, a.ts, a.n, any_value(a.x) AS x, sum(b.x * pow(0.85::DOUBLE, a.n - b.n)) / ((1 - pow(0.85::DOUBLE, a.n + 1)) / (1 - 0.85::DOUBLE)) AS e FROM sent_days a
+  SELECT a.asset, a.ts, a.n, any_value(a.x) AS x, sum(b.x * pow(0.86::DOUBLE, a.n - b.n)) / ((1 - pow(0.86::DOUBLE, a.n + 1)) / (1 - 0.86::DOUBLE)) AS e FROM sent_days a
   JOIN sent_days b ON a.asset = b.asset AND b.n BETWEEN a.n - 300 AND a.n GROUP BY a.asset, a.ts, a.n)"""
 VIEWS["sent_days"] = """
 SELECT asset, ts, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS n, greatest(-1, least(1, coalesce(s, 0))) AS x FROM (SELECT asset, ts FROM bars_brand)
@@ -48,12 +48,12 @@ LEFT JOIN (SELECT d.asset, b.ts, sum(prob_pos - prob_neg) AS s FROM sentiment_v
 
 
 def _daily(p):
-    return tx.daily_sentiment(_scored(p), p.closes())
+    return tx.daily_sentiment(_scored(p), p.closes(), decay=0.86)
 
 
-@query("daily_sentiment", "SELECT asset, D(ts) AS ts, R6(x) AS daily_sentiment, R6(e) AS ewma_sentiment, R6(mom) AS sentiment_momentum FROM daily_sent")
+@query("daily_sentiment", "SELECT asset, D(ts) AS ts, R9(x) AS daily_sentiment, R9(e) AS ewma_sentiment, R9(mom) AS sentiment_momentum FROM daily_sent")
 def _(p):
-    return rounded(_daily(p).select("asset", "ts", "daily_sentiment", "ewma_sentiment", "sentiment_momentum"))
+    return rounded(_daily(p).select("asset", "ts", "daily_sentiment", "ewma_sentiment", "sentiment_momentum"), 9)
 
 
 @query("score_sentiment", """
@@ -134,10 +134,10 @@ def _ci_sql() -> str:
     mods = sc.MODULES
     src = "SELECT s.*, r FROM (SELECT asset, ts, CAST(regexp_extract(asset, '[0-9]+') AS BIGINT) AS k1, date_diff('day', DATE '1970-01-01', ts) AS k2, " + ", ".join(
         f"CASE WHEN {m} IS NOT NULL THEN least(greatest({m}, 0), 100) END AS {m}" for m in mods) + " FROM scores_wide) s, (SELECT unnest(generate_series(1, 200)) AS r)"
-    for i, m in enumerate(mods):
+    for i in range(2 * len(mods)):
         src = sql_rounds(src, sql_mix("k1", "k2", f"r * 16 + {i}"), f"x{i}")
-    src = "SELECT *, " + ", ".join(f"(x{i} + 0.5::DOUBLE) / {MOD}.0::DOUBLE AS u{i}" for i in range(len(mods))) + f" FROM ({src})"
-    noisy = [f"CASE WHEN {m} IS NOT NULL THEN least(greatest({m} + 10.0 * {norm_ppf(f'u{i}')}, 0), 100) ELSE 0 END" for i, m in enumerate(mods)]
+    src = "SELECT *, " + ", ".join(f"(x{i} + 0.5::DOUBLE) / {MOD}.0::DOUBLE AS u{i}" for i in range(2 * len(mods))) + f" FROM ({src})"
+    noisy = [f"CASE WHEN {m} IS NOT NULL THEN least(greatest({m} + 10.0 * sqrt(-2 * ln(u{2 * i})) * cos(2 * pi() * u{2 * i + 1}), 0), 100) ELSE 0 END" for i, m in enumerate(mods)]
     cnt = " + ".join(f"({m} IS NOT NULL)::INT" for m in mods)
     return f"""SELECT asset, D(ts) AS ts, R6(quantile_cont(a, 0.05)) AS ci_lower, R6(quantile_cont(a, 0.95)) AS ci_upper FROM (
 SELECT asset, ts, ({' + '.join(noisy)}) / ({cnt}) * (1 - 0.3 * (100 - M5) / 100) AS a FROM ({src})) GROUP BY asset, ts"""
@@ -156,9 +156,9 @@ def _(p):
     return rounded(sc.integrate(p.module_scores()))
 
 
-@query("walkforward_score", f"SELECT {E}, R6(greatest(0, least(100, (coalesce(M1, 50) + coalesce(M2, 50) + coalesce(M3, 50) + coalesce(M4, 50)) / 4 * (1 - 0.25 * (100 - coalesce(M5, 50)) / 100)))) AS score FROM scores_wide")
+@query("walkforward_score", f"SELECT {E}, greatest(0::DOUBLE, least(100::DOUBLE, (coalesce(M1, 50) + coalesce(M2, 50) + coalesce(M3, 50) + coalesce(M4, 50)) / 4 * (1 - 0.25::DOUBLE * (100 - coalesce(M5, 50)) / 100))) AS score FROM scores_wide")
 def _(p):
-    return rounded(sc.walkforward_score(sc.wide_scores(p.module_scores())).select("asset", "ts", "score"))
+    return sc.walkforward_score(sc.wide_scores(p.module_scores())).select("asset", "ts", "score")
 
 
 def _mean_sql(mods) -> str:

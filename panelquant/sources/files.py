@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,10 +23,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/panelquant-{uuid.uuid4().hex}/{name}"
 
 
+_STORED: dict[tuple, tuple] = {}
+
+
+def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Write a reduced panel once per application to the shared folder and read it from there on.
+
+    The large tables are scanned once per panel, lineage is cut in a place that survives lost executors,
+    and the planner sees the true size of the panel when it picks join strategies."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        path, df = scratch(spark, "panel"), build()
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read to the shared folder and go on from there."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ticker_from_file() :
     return F.upper(F.trim(F.regexp_extract("_metadata.file_name", r"^(.*?)_(price|fundamentals)", 1)))
 

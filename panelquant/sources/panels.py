@@ -7,12 +7,13 @@ in whole cents, which makes the bars independent of the order of aggregation.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time
+from .files import stored
 
 # The stand-in statement items: (statement, item, signed) by order priority and status.
 ITEMS = {
@@ -65,6 +66,14 @@ def pick(keys: list[Column], table: dict, field: int) -> Column:
     return out
 
 
+def panel(fn):
+    """A panel method whose result is stored once per application and directory."""
+    @wraps(fn)
+    def run(self, *args, **kw):
+        return stored(self.spark, (self.path, fn.__name__, args, tuple(sorted(kw.items()))), lambda: fn(self, *args, **kw))
+    return run
+
+
 class Panels:
     """Lazily defined inputs over one directory of Parquet tables."""
 
@@ -88,6 +97,7 @@ class Panels:
         part = self.table("part").select("p_partkey", F.col(asset).alias("asset"))
         return li.join(part, li.l_partkey == part.p_partkey).drop("p_partkey")
 
+    @panel
     def bars(self, asset: str = "p_brand") -> DataFrame:
         """Daily bars; brand for a sparse panel, type for a dense one, part for a wide one."""
         unit = F.col("l_extendedprice") / F.col("l_quantity")
@@ -104,6 +114,7 @@ class Panels:
             )
         )
 
+    @panel
     def closes(self, asset: str = "p_brand") -> DataFrame:
         return self.trades(asset).groupBy("asset", "ts").agg(
             (F.sum("cents").cast("double") / (F.sum("qty") * 100.0)).alias("close"),
@@ -126,6 +137,7 @@ class Panels:
         return self.returns(asset).groupBy("ts").agg(F.avg("r").alias("bm"))
 
     # -- statements -----------------------------------------------------------------------
+    @panel
     def statements(self, freq: str = "year") -> DataFrame:
         """(asset, stmt, period_end, item, value), one company per nation."""
         o = self.table("orders").select(
@@ -155,6 +167,7 @@ class Panels:
         )
         return first.unionByName(second).select("asset", "stmt", "period_end", "item", "value")
 
+    @panel
     def info(self) -> DataFrame:
         """(asset, market_cap, shares_outstanding, trailing_pe, beta, quote_type)."""
         cents = whole("c_acctbal", 100)
@@ -172,6 +185,7 @@ class Panels:
         )
 
     # -- macro and factor series ------------------------------------------------------------
+    @panel
     def macro_daily(self) -> DataFrame:
         """(series, ts, value): irregular daily observations of six series."""
         o = self.table("orders").select(
@@ -187,6 +201,7 @@ class Panels:
             .agg((F.sum("cents").cast("double") / (F.count(F.lit(1)) * 1e7)).alias("value"))
         )
 
+    @panel
     def factors(self) -> DataFrame:
         """(month, mkt_rf, smb, hml, rf, wml), one row per first of month with all values."""
         def mean(cond):
@@ -210,6 +225,7 @@ class Panels:
         ).dropna()
 
     # -- cross-sections -------------------------------------------------------------------
+    @panel
     def chars(self) -> DataFrame:
         """(ts, asset, characteristic, value): monthly characteristics of every part."""
         g = (
@@ -225,6 +241,7 @@ class Panels:
         )
         return g.unpivot(["ts", "asset"], ["price", "volume", "discount"], "characteristic", "value")
 
+    @panel
     def module_scores(self) -> DataFrame:
         """(asset, ts, module, score): monthly 0-100 scores of six modules per brand."""
         li = self.table("lineitem").select(
@@ -265,6 +282,7 @@ class Panels:
             F.col("vec_id").alias("ts"), F.posexplode("embedding").alias("asset", "r")
         ).withColumn("r", F.col("r").cast("double"))
 
+    @panel
     def target_weights(self) -> DataFrame:
         """(portfolio, asset, w): suppliers of a nation as one portfolio, w by positive balance."""
         s = self.table("supplier").groupBy(
@@ -275,6 +293,7 @@ class Panels:
         return s.join(total, "portfolio").where("t > 0").select(
             "portfolio", "asset", (F.col("c").cast("double") / F.col("t")).alias("w"))
 
+    @panel
     def holdings(self) -> DataFrame:
         """(portfolio, asset, shares): customers of a nation as the present book."""
         return self.table("customer").groupBy(
@@ -282,6 +301,7 @@ class Panels:
             F.concat(F.lit("Brand#"), (F.col("c_custkey") % 25 + 1).cast("string")).alias("asset"),
         ).agg(F.sum(F.floor(F.greatest(whole("c_acctbal", 100), F.lit(0)) / 100000)).alias("shares"))
 
+    @panel
     def candidate_weights(self) -> DataFrame:
         """(candidate, asset, w): one candidate per supplier, weights by traded value per type."""
         g = self.trades("p_type").groupBy(F.col("l_suppkey").alias("candidate"), "asset").agg(F.sum("cents").alias("c"))
@@ -290,6 +310,7 @@ class Panels:
             "candidate", "asset", (F.col("c").cast("double") / F.col("t")).alias("w"))
 
     # -- ticks ----------------------------------------------------------------------------
+    @panel
     def daily_pnl(self) -> DataFrame:
         """(portfolio, ts, pnl): per event type and day, from exact cents."""
         g = self.table("events").groupBy(F.col("event_type").alias("portfolio"), F.to_date("ts").alias("ts")).agg(
