@@ -75,9 +75,10 @@ def daily_sentiment(scored: DataFrame, index: DataFrame, decay: float = 0.85, mo
     """Document scores on the last trading date at or before publication, summed and clipped to +-1,
     with EWMA and momentum. ``scored`` holds (asset, published_at, sentiment_score), ``index`` (asset, ts)."""
     days = index.select("asset", "ts")
-    placed = asof_join(scored.select("asset", "published_at", "sentiment_score"), days.withColumn("day", F.col("ts")),
-                       ["asset"], "published_at", "ts", ["day"]).where("day is not null")
-    daily = placed.groupBy("asset", F.col("day").alias("ts")).agg(F.sum("sentiment_score").alias("s"), F.count(F.lit(1)).alias("news"))
+    # Added up per publication date first: an asset may hold most of the news, but only one row per date goes on.
+    dated = scored.groupBy("asset", "published_at").agg(F.sum("sentiment_score").alias("s"), F.count(F.lit(1)).alias("k"))
+    placed = asof_join(dated, days.withColumn("day", F.col("ts")), ["asset"], "published_at", "ts", ["day"]).where("day is not null")
+    daily = placed.groupBy("asset", F.col("day").alias("ts")).agg(F.sum("s").alias("s"), F.sum("k").alias("news"))
     d = days.join(daily, ["asset", "ts"], "left").select(
         "asset", "ts", clip(F.coalesce("s", F.lit(0.0)), -1, 1).alias("daily_sentiment"), F.coalesce("news", F.lit(0)).alias("news"))
     d = ewma(d, "daily_sentiment", decay, "ewma_sentiment")

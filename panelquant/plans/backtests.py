@@ -151,27 +151,27 @@ def _bounded(d):
     return rounded(d.withColumns({m: F.when(F.abs(m) < 1e6, F.col(m)) for m in BIG}), 6, **{m: 4 for m in BIG})
 
 
-@query("performance_metrics", _metrics_out(metrics_sql("SELECT asset, year(ts) AS fold, ts, r / 10 AS r, bm / 10 AS bm FROM ret_type JOIN bm_type USING (ts)", "asset, fold"), "asset, fold"))
+@query("performance_metrics", _metrics_out(metrics_sql("SELECT asset, year(ts) AS fold, ts, r / 50 AS r, bm / 50 AS bm FROM ret_type JOIN bm_type USING (ts)", "asset, fold"), "asset, fold"))
 def _(p):
     d = p.returns("p_type").join(p.benchmark("p_type"), "ts").select(
-        "asset", F.year("ts").alias("fold"), "ts", (F.col("r") / 10).alias("r"), (F.col("bm") / 10).alias("bm"))
+        "asset", F.year("ts").alias("fold"), "ts", (F.col("r") / 50).alias("r"), (F.col("bm") / 50).alias("bm"))
     return _bounded(bt.performance_metrics(d, ["asset", "fold"]))
 
 
 VIEWS["bt_train"] = "SELECT wf.fold, r.asset, avg(r) / stddev_samp(r) * 25 + 50 AS score FROM wf JOIN bt_ret r USING (ts) WHERE role = 'train' GROUP BY ALL"
-VIEWS["bt_ret"] = "SELECT ts, asset, r / 10 AS r FROM ret_ok"
+VIEWS["bt_ret"] = "SELECT ts, asset, r / 50 AS r FROM ret_ok"
 VIEWS["bt_w"] = """
 SELECT fold, asset, c / sum(c) OVER (PARTITION BY fold) AS w FROM (SELECT fold, asset, least(greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY fold), 0.40) AS c FROM bt_train)"""
 VIEWS["bt_test"] = "SELECT fold, ts, asset, r FROM wf JOIN bt_ret USING (ts) WHERE role = 'test'"
 VIEWS["bt_targets"] = """
 SELECT fold, ts, asset, w FROM (SELECT fold, max(ts) AS ts FROM bt_test GROUP BY fold, date_trunc('month', ts) UNION SELECT fold, min(ts) FROM bt_test GROUP BY fold) JOIN bt_w USING (fold)"""
-VIEWS["bt_metrics"] = metrics_sql("SELECT fold, p.ts, r_gross AS r, coalesce(bm / 10, 0) AS bm FROM (" + gross_sql("bt_targets", "bt_test", "fold") + ") p LEFT JOIN bm_type USING (ts)", "fold")
+VIEWS["bt_metrics"] = metrics_sql("SELECT fold, p.ts, r_gross AS r, coalesce(bm / 50, 0) AS bm FROM (" + gross_sql("bt_targets", "bt_test", "fold") + ") p LEFT JOIN bm_type USING (ts)", "fold")
 
 
 def _backtest(p, liquidity=False):
-    r = p.returns("p_type").withColumn("r", F.col("r") / 10)
+    r = p.returns("p_type").withColumn("r", F.col("r") / 50)
     folds = cv.walk_forward_splits(complete_dates(r).select("ts"))
-    bm = p.benchmark("p_type").withColumn("bm", F.col("bm") / 10)
+    bm = p.benchmark("p_type").withColumn("bm", F.col("bm") / 50)
 
     def score(train):
         return train.groupBy("fold", "asset").agg((F.avg("r") / F.stddev_samp("r") * 25 + 50).alias("score"))

@@ -355,13 +355,13 @@ def _last(p):
 WITH d AS (SELECT coalesce(t.portfolio, h.portfolio) AS portfolio, coalesce(t.asset, h.asset) AS asset, w, shares FROM target_weights t FULL JOIN holdings h ON t.portfolio = h.portfolio AND t.asset = h.asset),
 e AS (SELECT d.*, price, adv, CASE WHEN w IS NOT NULL THEN floor(200000 * w / price) ELSE 0 END AS ts FROM d JOIN lastpx USING (asset)),
 f AS (SELECT *, ts - coalesce(shares, 0) AS delta, abs(ts - coalesce(shares, 0)) * price AS v, 200000 - sum(ts * price) OVER (PARTITION BY portfolio) AS cash FROM e)
-SELECT portfolio, asset, CASE WHEN delta < 0 THEN 'SELL' ELSE 'BUY' END AS action, CAST(abs(delta) AS BIGINT) AS shares, CAST(ts AS BIGINT) AS target_shares, price AS est_price, R4(v) AS est_trade_value, R4(v / (adv * price) * 100) AS adv_participation_pct,
-  v / (adv * price) > 0.05 AS warned, row_number() OVER (PARTITION BY portfolio ORDER BY CASE WHEN delta < 0 THEN 0 ELSE 1 END, v DESC, asset) AS seq, R4(cash) AS residual_cash
+SELECT portfolio, asset, CASE WHEN delta < 0 THEN 'SELL' ELSE 'BUY' END AS action, CAST(abs(delta) AS BIGINT) AS shares, CAST(ts AS BIGINT) AS target_shares, price AS est_price, R6(v) AS est_trade_value, R6(v / (adv * price) * 100) AS adv_participation_pct,
+  v / (adv * price) > 0.05 AS warned, row_number() OVER (PARTITION BY portfolio ORDER BY CASE WHEN delta < 0 THEN 0 ELSE 1 END, v DESC, asset) AS seq, R6(cash) AS residual_cash
 FROM f WHERE delta <> 0 AND v >= 2000""")
 def _(p):
     last = _last(p)
     d = dc.order_tickets(p.target_weights(), p.holdings(), last, last, 200000.0)
-    return rounded(d.withColumn("warned", F.col("warning").isNotNull()).drop("warning"), 4, est_price=16)
+    return rounded(d.withColumn("warned", F.col("warning").isNotNull()).drop("warning"), 6, est_price=16)
 
 
 VIEWS["curw"] = "SELECT portfolio, asset, shares / sum(shares) OVER (PARTITION BY portfolio) AS w FROM holdings"
@@ -381,8 +381,8 @@ def _(p):
 WITH v AS (SELECT portfolio, ts, pnl, exp(sum(ln(1 + pnl)) OVER (PARTITION BY portfolio ORDER BY ts)) AS v FROM daily_pnl),
 d AS (SELECT *, v / max(v) OVER (PARTITION BY portfolio ORDER BY ts) - 1 AS dd FROM v),
 r AS (SELECT *, CASE WHEN pnl < -0.05 THEN 'MAX_DAILY_LOSS' WHEN abs(dd) > 0.15 THEN 'MAX_PORTFOLIO_DRAWDOWN' END AS r FROM d),
-f AS (SELECT *, first_value(r IGNORE NULLS) OVER w AS reason, first_value(CASE WHEN r IS NOT NULL THEN ts END IGNORE NULLS) OVER w AS at FROM r WINDOW w AS (PARTITION BY portfolio ORDER BY ts ROWS UNBOUNDED PRECEDING))
-SELECT portfolio, D(ts) AS ts, reason IS NOT NULL AS tripped, CASE WHEN reason IS NULL THEN 'PROCEED' WHEN at = ts AND reason = 'MAX_DAILY_LOSS' THEN 'HALT_TRADING' ELSE 'HALT_TRADING_LIQUIDATE' END AS action, coalesce(reason, 'All risk limits normal') AS reason FROM f""")
+f AS (SELECT *, first_value(r IGNORE NULLS) OVER w AS reason, first_value(CASE WHEN r IS NOT NULL THEN ts END IGNORE NULLS) OVER w AS hit FROM r WINDOW w AS (PARTITION BY portfolio ORDER BY ts ROWS UNBOUNDED PRECEDING))
+SELECT portfolio, D(ts) AS ts, reason IS NOT NULL AS tripped, CASE WHEN reason IS NULL THEN 'PROCEED' WHEN hit = ts AND reason = 'MAX_DAILY_LOSS' THEN 'HALT_TRADING' ELSE 'HALT_TRADING_LIQUIDATE' END AS action, coalesce(reason, 'All risk limits normal') AS reason FROM f""")
 def _(p):
     return dc.kill_switch(dc.running_drawdown(p.daily_pnl()), max_drawdown=0.15)
 
