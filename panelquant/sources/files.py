@@ -54,7 +54,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _ticker_from_file() :
-    return F.upper(F.trim(F.regexp_extract("_metadata.file_name", r"^(.*?)_(price|fundamentals)", 1)))
+    # File names come percent-encoded (the ^ of an index, say).
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    return F.upper(F.trim(F.regexp_extract(name, r"^(.*?)_(price|fundamentals)", 1)))
 
 
 def scan_prices(spark, path, start=None, end=None, min_rows: int = 20, per_file: bool = True) -> DataFrame:
