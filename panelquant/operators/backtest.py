@@ -69,7 +69,9 @@ def holding_growth(targets: DataFrame, returns: DataFrame, keys: list[str]) -> t
 def gross_path(plan: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ts, period, ratio, r_gross): value relative to the period start, and the daily return."""
     shared = [k for k in keys if k in growth.columns]
-    d = plan.join(growth, [*shared, "period", "nxt", "asset"])
+    # The plan is small next to the daily rows it turns into, so it is spread by (keys, period) first: with a
+    # growth table that the planner sees to be small, neither the sums nor the lag shuffle the daily rows.
+    d = plan.repartition(*keys, "period").join(growth, [*shared, "period", "nxt", "asset"])
     v = d.groupBy(*keys, "period", "ts").agg(F.sum(F.col("w") * F.col("growth")).alias("ratio"))
     prev = F.coalesce(F.lag("ratio").over(Window.partitionBy(*keys, "period").orderBy("ts")), F.lit(1.0))
     return v.withColumn("r_gross", F.col("ratio") / prev - 1)

@@ -13,6 +13,7 @@ from ..functions.columns import by_time, clip, div, full, rolling_pair_sums, rol
 from ..functions.dist import t4_ppf
 from ..functions.gram import pair_moments
 from ..functions.ranking import average_rank
+from ..sources.files import cut
 from .timeseries import _current
 
 YEAR = 252.0 ** 0.5
@@ -176,11 +177,11 @@ def correlation(m: DataFrame, keys=()) -> DataFrame:
 def joint_tail_risk(returns: DataFrame, weights: DataFrame, portfolio: str = "candidate", drop: float = -0.05) -> DataFrame:
     """99 % VaR and CVaR of each portfolio over the observed joint dates, and the share of dates on
     which at least half of the assets fall below ``drop``."""
-    d = complete_dates(returns)
+    d = cut(complete_dates(returns).select("asset", "ts", "r"))
     crash = d.groupBy("ts").agg((F.count_if(F.col("r") < drop) >= F.count(F.lit(1)) / 2).cast("double").alias("c"))
     total = weights.groupBy(portfolio).agg(F.sum("w").alias("_t"))
     w = weights.join(total, portfolio).where("_t > 0").select(portfolio, "asset", (F.col("w") / F.col("_t")).alias("w"))
-    path = d.join(w, "asset").groupBy(portfolio, "ts").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
+    path = w.repartition(portfolio).join(d, "asset").groupBy(portfolio, "ts").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
     v = value_at_risk(path, levels=(0.99,), keys=(portfolio,))
     p = crash.agg(F.avg("c").alias("p"))
     return v.select(portfolio, F.col("var").alias("var_99"), F.col("cvar").alias("cvar_99"), p.scalar().alias("joint_crash_probability"))

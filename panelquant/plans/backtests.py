@@ -10,6 +10,7 @@ from ..operators import backtest as bt
 from ..operators import crossval as cv
 from ..operators import perftests as pt
 from ..operators.risk import complete_dates
+from ..sources.files import cut
 from .registry import query
 from .regressions import _wide
 from .shared_sql import VIEWS, norm_cdf, norm_ppf
@@ -114,7 +115,8 @@ def _targets(p):
 @query("portfolio_path", "SELECT candidate, D(ts) AS ts, R8(ratio) AS ratio, R8(r_gross) AS r_gross FROM cand_path")
 def _(p):
     t, r = _targets(p)
-    return rounded(bt.gross_path(*bt.holding_growth(bt.normalise_targets(t, ["candidate"]), r, ["candidate"]), ["candidate"]).select(
+    plan, growth = bt.holding_growth(bt.normalise_targets(t, ["candidate"]), cut(r), ["candidate"])
+    return rounded(bt.gross_path(plan, cut(growth), ["candidate"]).select(
         "candidate", "ts", "ratio", "r_gross"), 8)
 
 
