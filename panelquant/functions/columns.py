@@ -121,3 +121,10 @@ def rolling_slope(min_var: float = 0.0) -> Column:
     cov = F.col("r_xy") - F.col("r_x") * F.col("r_y") / n
     var = F.col("r_yy") - F.col("r_y") * F.col("r_y") / n
     return F.when(var / (n - 1) > min_var, cov / F.nullif(var, F.lit(0.0)))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a small table that is about to grow in a join. The partition count is given, so that
+    adaptive execution does not fold the still small table into one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *keys)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, div, running, trailing, unpivot, when_full
+from ..functions.columns import by_time, div, running, spread, trailing, unpivot, when_full
 from ..sources.files import cut
 from .returns import running_product
 from .risk import complete_dates
@@ -71,7 +71,7 @@ def gross_path(plan: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame
     shared = [k for k in keys if k in growth.columns]
     # The plan is small next to the daily rows it turns into, so it is spread by (keys, period) first: with a
     # growth table that the planner sees to be small, neither the sums nor the lag shuffle the daily rows.
-    d = plan.repartition(*keys, "period").join(growth, [*shared, "period", "nxt", "asset"])
+    d = spread(plan, *keys, "period").join(growth, [*shared, "period", "nxt", "asset"])
     v = d.groupBy(*keys, "period", "ts").agg(F.sum(F.col("w") * F.col("growth")).alias("ratio"))
     prev = F.coalesce(F.lag("ratio").over(Window.partitionBy(*keys, "period").orderBy("ts")), F.lit(1.0))
     return v.withColumn("r_gross", F.col("ratio") / prev - 1)

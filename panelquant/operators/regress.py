@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, clip, trailing, with_params
-from ..functions.linear import moment_columns, moment_names, ols_from_moments
+from ..functions.linear import moment_columns, ols_from_moments
 
 FACTORS = ["mkt_rf", "smb", "hml", "wml"]
 

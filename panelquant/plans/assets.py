@@ -2,12 +2,10 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from ..functions.columns import rounded
 from ..operators import fundamentals as fd
 from ..operators import timeseries as tsr
-from .panel import MONTHS, YEARS, sql_dates
+from .panel import MONTHS, sql_dates
 from .registry import query
 from .shared_sql import VIEWS
 

@@ -7,7 +7,6 @@ from ..operators import normalize as nz
 from ..operators import pit
 from ..operators import returns as rt
 from ..sources import files
-from ..sources.files import month_end_series
 from .registry import query
 from .shared_sql import norm_ppf
 

@@ -1,7 +1,5 @@
 """Factor and macro regressions."""
 
-from pyspark.sql import functions as F
-
 from ..functions.columns import rounded
 from ..operators import regress as rg
 from ..sources.files import month_end_series
