@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, shard
+from . import decontaminate, exact, secrets, shard
 from .common import ids_text, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,39 @@ def query(key: str, sql: str | None = None):
     return wrap
 
 
+def _span_sql(rule: secrets.Rule, number: int) -> str:
+    """List of structs (start, no, end, kind) of one rule over a column t."""
+    pattern = rule.pattern.replace("'", "''")
+    starts = "CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS BIGINT)"
+    return f"""(SELECT list_transform(list_filter(range(1, len(h) + 1), lambda i: length(z[i]) >= {rule.min_chars}),
+      lambda i: struct_pack(s := {starts}, k := {number}, e := {starts} + length(h[i]), n := '{rule.kind}'))
+      FROM (SELECT regexp_extract_all(t, '{pattern}', 0) AS h, regexp_extract_all(t, '{pattern}', {rule.group}) AS z,
+                   regexp_split_to_array(t, '{pattern}') AS g))"""
+
+
+_JOINED = "array_to_string(list_transform(list_sort({}), lambda x: x.n || ':' || x.s || ':' || x.e), ',')"
+_OP3 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, {", ".join(f"{_span_sql(r, i)} AS s{i}" for i, r in enumerate(secrets.RULES))} FROM d)
+SELECT doc_id, len(s0) AS n_assign, len(s1) AS n_access, len(s2) AS n_hex,
+       sha256({_JOINED.format("s0 || s1 || s2")}) AS base_sha256,
+       {_JOINED.format(" || ".join(f"s{i}" for i in range(len(secrets.RULES))))} AS spans
+FROM s
+"""
+
+
+@query("op3_secret_scan", _OP3)
+def op3(read):
+    found = secrets.scan(read("documents").select("doc_id", "text"))
+    joined = lambda spans: ids_text(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+    of = lambda n: F.filter("secrets", lambda x: x["kind_no"] == n)
+    return found.select(
+        "doc_id", *[F.size(of(i)).cast("long").alias(f"n_{rule.kind}") for i, rule in enumerate(secrets.BASE)],
+        sha256_hex(joined(F.filter("secrets", lambda x: x["kind_no"] < len(secrets.BASE)))).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
 @query("op7_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
