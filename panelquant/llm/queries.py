@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, secrets, shard
+from . import decontaminate, exact, langid, pii, secrets, shard
 from .common import ids_text, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,18 @@ def query(key: str, sql: str | None = None):
     return wrap
 
 
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+@query("op2_language_id")
+def op2(read):
+    docs = read("documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~held_out()))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def _span_sql(rule: secrets.Rule, number: int) -> str:
     """List of structs (start, no, end, kind) of one rule over a column t."""
     pattern = rule.pattern.replace("'", "''")
@@ -57,6 +69,17 @@ def op3(read):
     )
 
 
+@query("op5_pii")
+def op5(read):
+    docs = read("documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    joined = lambda spans: ids_text(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+    base = F.filter("pii", lambda x: x["base"])
+    return found.select(
+        "doc_id", *[F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        sha256_hex(joined(base)).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
 @query("op7_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
