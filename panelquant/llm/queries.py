@@ -75,8 +75,9 @@ def op5(read):
     found = pii.find(docs, pii.train(docs))
     joined = lambda spans: ids_text(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
     base = F.filter("pii", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *[F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        "doc_id", *[count(k) for k in pii.KINDS],
         sha256_hex(joined(base)).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
