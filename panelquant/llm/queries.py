@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, langid, pii, secrets, shard
+from . import decontaminate, exact, html, langid, pii, secrets, shard, urls
 from .common import ids_text, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,43 @@ def op3(read):
     )
 
 
+def _op4_sql(steps: int = 10) -> str:
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda u: "coalesce(" + low.format(f"regexp_extract({u}, '{urls.URL}', 1)") + ", '')"
+    fits = []
+    for _, rule in sorted(urls.RULES, key=lambda r: -len(r[1])):
+        name, _, rest = rule.partition("/")
+        fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{rule}'")
+    verdicts = " ".join(f"WHEN '{rule}' THEN '{v}'" for v, rule in urls.RULES)
+    link = urls.LINK.replace("'", "''")
+    rounds = "".join(f""",
+m{k} AS (SELECT kind, src, CAST(sum(mass) AS BIGINT) AS mass FROM (
+  SELECT b.kind, b.dst AS src, m.mass * {urls.WALK} // (20 * degree) AS mass FROM b JOIN m{k - 1} m ON b.kind = m.kind AND b.src = m.src
+  UNION ALL SELECT kind, src, mass * {urls.STAY} // 20 FROM m0) GROUP BY 1, 2 HAVING sum(mass) > 0)""" for k in range(1, steps + 1))
+    return f"""
+WITH p AS (SELECT page_id, html, {host("url")} AS host, coalesce(regexp_extract(url, '{urls.URL}', 2), '') AS path FROM pages),
+r AS (SELECT *, CASE {" ".join(fits)} END AS rule FROM p),
+v AS (SELECT *, CASE rule {verdicts} END AS verdict FROM r),
+l AS (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p),
+t AS (SELECT host AS src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link FROM l),
+e AS (SELECT DISTINCT src, {host("link")} AS dst FROM t),
+e1 AS (SELECT * FROM e WHERE src <> '' AND dst <> '' AND src <> dst),
+e2 AS (SELECT 0 AS kind, src, dst FROM e1 UNION ALL SELECT 1, dst, src FROM e1),
+b AS (SELECT *, count(*) OVER (PARTITION BY kind, src) AS degree FROM e2),
+s AS (SELECT host, count(*) FILTER (verdict = 'allow') * {urls.UNIT} // count(*) AS trust, count(*) FILTER (verdict = 'block') * {urls.UNIT} // count(*) AS distrust
+      FROM v WHERE host <> '' GROUP BY 1),
+m0 AS (SELECT 0 AS kind, host AS src, trust AS mass FROM s WHERE trust > 0 UNION ALL SELECT 1, host, distrust FROM s WHERE distrust > 0){rounds},
+f AS (SELECT src, sum(CASE WHEN kind = 1 THEN mass ELSE -mass END) AS excess FROM m{steps} GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(excess, 0) >= {urls.UNIT * urls.STAY // 40} THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN f ON v.host = f.src
+"""
+
+
+@query("op4_url_filter", _op4_sql())
+def op4(read):
+    return urls.judge(read("pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op5_pii")
 def op5(read):
     docs = read("documents").select("doc_id", "text")
@@ -127,3 +164,9 @@ def op9(read):
     return shard.shard_documents(read("documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query("op10_html_extraction")
+def op10(read):
+    return html.extract(read("pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
