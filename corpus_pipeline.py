@@ -1,15 +1,62 @@
-"""Corpus pipeline over ``documents``: every stage is written as Parquet and read again by the next one."""
+"""Corpus pipeline over ``documents``: every stage is written as Parquet and read again by the next one.
+
+Each stage works on all rows that its predecessor kept and returns the columns of ``documents``; the last one returns the piece
+ids. Learned and iterative stages have no SQL form, so the whole is tested against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelquant.llm import decontaminate, exact, jaccard, langid, pieces
+from panelquant.llm.common import settle
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts and texts without a letter."""
+    model = langid.train(docs)
+    return langid.identify(docs, model, out="_language").where(F.col("_language.lang") != langid.UNDETERMINED).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of equal texts."""
+    return exact.drop_copies(docs, keep="min")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each class of texts that share 0.8 of their five-word shingles."""
+    return jaccard.drop_near_copies(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item."""
+    marked = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_hits")
+    return marked.where(F.size("_hits.hits") == 0).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text with merge-dropout, and whether they decode to the text."""
+    model = pieces.installed_model()
+    coded = pieces.encode(docs.select("doc_id", "text"), model)
+    return pieces.decode(coded, model, out="decoded").select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir))
     return docs

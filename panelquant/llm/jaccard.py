@@ -211,7 +211,7 @@ def _bounds(n: str, s: str, m: str, r: str, percent: int):
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, node.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (one text of each class is), row_id (hash of the text).
 
     Two documents link when 100 * shared >= ``percent`` * union of their sets of ``size``-word n-grams (words are runs of
     non-blanks, A-Z in lower case; fewer words are one n-gram). component_id is the smallest id reachable by links. A null text
@@ -225,9 +225,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = settle(nodes.select("node", "n", "f.l", "f.prefix", F.col("low.doc_id").alias("low_id"), "low.row_id"))
     candidates = _candidate_nodes(base, nodes, percent, size)
     labels = components(similar_links(candidates, percent))
-    labelled = nodes.select("node", "low_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled)
-    lowest = labelled.groupBy("label").agg(F.min("low_id").alias("component_id"))
-    of_node = labelled.join(lowest, "label").select("node", "component_id")
+    row = F.struct(F.col("low_id").isNull().alias("no_id"), F.col("low_id").alias("component_id"), F.col("row_id").alias("kept_row"))
+    labelled = settle(nodes.select("node", row.alias("row")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    lowest = labelled.groupBy("label").agg(F.min("row").alias("row"))
+    of_node = labelled.drop("row").join(lowest, "label").select("node", "row.component_id", "row.kept_row")
+    some = F.col("n") > 0
+    kept = ~some | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_id") == F.col("kept_row")))
     return signed.join(of_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"), "row_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of every class the text of its smallest id.
+
+    Rows that repeat both the id and the text stay or go together. The rest is as in ``near_classes``."""
+    gone = near_classes(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("row_id").alias("_row"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_row"))
+    return docs.join(gone, same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, html, jaccard, langid, pii, secrets, shard, urls
+from . import decontaminate, exact, html, jaccard, langid, pieces, pii, secrets, shard, urls
 from .common import ids_text, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,15 @@ def query(key: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_sentencepiece")
+def op1(read):
+    model = pieces.installed_model()
+    coded = pieces.encode(read("documents").select("doc_id", "text"), model)
+    return pieces.decode(coded, model, out="decoded").select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.coalesce("decoded", F.lit("")).eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
