@@ -106,7 +106,7 @@ def _signature(percent: int, size: int):
                 continue
             node = int(_mix(np.array([int(np.bitwise_xor.reduce(_mix(grams + _U(1)))) ^ (int(grams.sum()) * 31 + n) & (1 << 64) - 1], _U))[0].astype(np.int64))
             o = least_overlap(n, percent)
-            matches = min(o, 1 + n // 32)
+            matches = min(o, 1 + (n - o) * 5 // 8)
             low = np.partition(_mix(grams), min(n - 1, n - o + matches - 1))[:n - o + matches]
             out.append({"n": n, "node": node, "l": matches, "prefix": (low & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()})
         return pa.array(out, kind)
@@ -158,16 +158,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return inter.where(_similar("inter", "n_a", "n_b", percent)).select("a", "b")
 
 
+FILTER_BITS = 24  # a filter of 2^24 bits, two megabytes whatever the input
+
+
+def _bit_places(row_id):
+    return [F.pmod(F.xxhash64(row_id, F.lit(k)), F.lit(1 << FILTER_BITS)) for k in range(2)]
+
+
+def _may_hold(kept: DataFrame):
+    """A Bloom filter on the row ids of ``kept``: what fails it is not among them. It spares the shuffle of texts that the join
+    after it would drop; with very many ids it lets more pass, never less."""
+    places = kept.select(F.explode(F.array(*_bit_places(F.col("row_id")))).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found = words.toPandas()
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    shared = kept.sparkSession.sparkContext.broadcast(table)
+
+    def hold(one: pa.Array, two: pa.Array) -> pa.Array:
+        ok = np.ones(len(one), bool)
+        for places in (one, two):
+            at = places.to_numpy()
+            ok &= (shared.value[at >> 6] >> (at & 63)) & 1 == 1
+        return pa.array(ok)
+
+    test = F.arrow_udf(hold, "boolean")
+    return lambda row_id: test(*_bit_places(row_id))
+
+
 def _candidate_nodes(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
     """(node, n, grams, s, l, prefix) of nodes that may have a similar one.
 
     ``nodes`` has (node, n, l, prefix, low_id, row_id); the last two name the row of ``docs`` (doc_id, row_id, text) that stands
     for the node, so the text of a hot group of copies is read once."""
-    index = nodes.select("node", "l", F.explode("prefix").alias("gram"))
+    index = nodes.select("node", F.explode("prefix").alias("gram"))
     often = index.groupBy("gram").count().where("count > 1").select("gram")
-    kept = index.join(often, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.first("l").alias("l")).where("hits >= l").select("node")
-    kept = nodes.select("node", "n", F.col("row_id").alias("row_id"), F.coalesce("low_id", F.lit(0)).alias("low_id"), F.col("low_id").isNull().alias("no_id")).join(kept, "node")
-    rows = docs.select("row_id", F.coalesce("doc_id", F.lit(0)).alias("low_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    hits = index.join(often, "gram").groupBy("node").count()
+    named = nodes.select("node", "n", "l", "row_id", F.coalesce("low_id", F.lit(0)).alias("low_id"), F.col("low_id").isNull().alias("no_id"))
+    kept = settle(named.join(hits, "node").where("count >= l").drop("count", "l"))
+    rows = docs.where(_may_hold(kept)(F.col("row_id")))
+    rows = rows.select("row_id", F.coalesce("doc_id", F.lit(0)).alias("low_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     texts = rows.join(kept, ["row_id", "low_id", "no_id"]).dropDuplicates(["row_id", "low_id", "no_id"])
     grams = texts.select("node", "n", F.explode(_ngram_lists(size)(F.col("text"))).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
