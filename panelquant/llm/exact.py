@@ -29,30 +29,31 @@ def hot_hashes(hashes: DataFrame, min_rows: int, cells: int) -> list[tuple[int,
 
 
 def _sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, min_rows: int, cells: int, columns: list[Column]) -> DataFrame:
-    """``columns`` of every row, then _cell, _cells, _sha, and from the sort: _place in the run of equal texts, _best id, _n."""
+    """One column per row of ``docs``: row (struct of ``columns``), then cell, cells, sha, and from the sort: place in the run of
+    equal texts, the run's best id and its length n."""
     spark = docs.sparkSession
-    body, row_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col)
-    hot = hot_hashes(docs.select(F.xxhash64(body).alias("h")), min_rows, cells)
-    table = F.broadcast(spark.createDataFrame(hot, "_h long, _cells long"))  # below `cells` rows
-    salted = docs.withColumn("_h", F.xxhash64(body)).join(table, "_h", "left")
-    salted = salted.withColumn("_cells", F.coalesce("_cells", F.lit(1).cast("long")))
-    salted = salted.withColumn("_cell", F.pmod(F.monotonically_increasing_id(), F.col("_cells")))
-    salted = salted.withColumn("_lead", F.substring(body, 1, PREFIX))
-
-    ranged = salted.repartitionByRange("_lead", "_h", "_cell")
-    first = row_id.asc_nulls_last() if keep == "min" else row_id.desc_nulls_last()
-    run = Window.partitionBy("_lead", "_h", "_cell", body).orderBy(first)  # the ranges hold these rows together: a local sort
+    packed = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    packed = packed.withColumn("h", F.xxhash64("body"))
+    hot = hot_hashes(packed.select("h"), min_rows, cells)
+    table = F.broadcast(spark.createDataFrame(hot, "h long, cells long"))  # below `cells` rows
+    salted = packed.join(table, "h", "left").withColumn("cells", F.coalesce("cells", F.lit(1).cast("long")))
+    salted = salted.withColumn("cell", F.pmod(F.monotonically_increasing_id(), F.col("cells")))
+    salted = salted.withColumn("lead", F.substring("body", 1, PREFIX))
+
+    ranged = salted.repartitionByRange("lead", "h", "cell")
+    first = F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last()
+    run = Window.partitionBy("lead", "h", "cell", "body").orderBy(first)  # the ranges hold these rows together: a local sort
     return ranged.select(
-        *columns, "_cell", "_cells", sha256_hex(body).alias("_sha"), F.row_number().over(run).alias("_place"),
-        F.first(row_id).over(run).alias("_best"),
-        F.count(F.lit(1)).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"),
+        "row", "cell", "cells", sha256_hex(F.col("body")).alias("sha"), F.row_number().over(run).alias("place"),
+        F.first("id").over(run).alias("best"),
+        F.count(F.lit(1)).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
     )
 
 
 def _choice(keep: str):
     """Order of the heads of a group's cells; the first one stays."""
-    best = F.col("_best")
-    return [best.asc_nulls_last() if keep == "min" else best.desc_nulls_last(), F.col("_cell")]
+    best = F.col("best")
+    return [best.asc_nulls_last() if keep == "min" else best.desc_nulls_last(), F.col("cell")]
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", min_rows: int = 1000,
@@ -64,24 +65,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives no rows. Other columns are not read.
     """
     rows = settle(_sorted(docs, id_col, text_col, keep, min_rows, cells, [F.col(id_col).alias("doc_id")]))  # narrow; read twice
-    of_group = Window.partitionBy("_sha")
-    heads = rows.where("_cells > 1 and _place = 1").select(
-        "_sha", F.row_number().over(of_group.orderBy(*_choice(keep))).alias("rank"),
-        F.col("_best").alias("g_best"), F.col("_cell").alias("g_cell"), F.sum("_n").over(of_group).alias("g_n"),
+    of_group = Window.partitionBy("sha")
+    heads = rows.where("cells > 1 and place = 1").select(
+        "sha", F.row_number().over(of_group.orderBy(*_choice(keep))).alias("rank"),
+        F.col("best").alias("g_best"), F.col("cell").alias("g_cell"), F.sum("n").over(of_group).alias("g_n"),
     ).where("rank = 1").drop("rank")
-    whole = rows.join(F.broadcast(heads), "_sha", "left")  # below `cells` rows
+    whole = rows.join(F.broadcast(heads), "sha", "left")  # below `cells` rows
     split = F.col("g_n").isNotNull()
     return whole.select(
-        "doc_id", F.when(split, F.col("g_best")).otherwise(F.col("_best")).alias("keep_id"),
-        F.coalesce("g_n", "_n").alias("group_size"),
-        ((F.col("_place") == 1) & (~split | (F.col("_cell") == F.col("g_cell")))).alias("kept"), F.col("_sha").alias("text_sha256"),
+        F.col("row.doc_id").alias("doc_id"), F.when(split, F.col("g_best")).otherwise(F.col("best")).alias("keep_id"),
+        F.coalesce("g_n", "n").alias("group_size"),
+        ((F.col("place") == 1) & (~split | (F.col("cell") == F.col("g_cell")))).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", min_rows: int = 1000,
                 cells: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rules as in ``exact_groups``."""
-    heads = settle(_sorted(docs, id_col, text_col, keep, min_rows, cells, [F.col(c) for c in docs.columns]).where("_place = 1"))
-    of_group = Window.partitionBy("_sha").orderBy(*_choice(keep))
-    split = heads.where("_cells > 1").withColumn("_rank", F.row_number().over(of_group)).where("_rank = 1")  # few rows
-    return heads.where("_cells = 1").select(*docs.columns).union(split.select(*docs.columns))
+    heads = settle(_sorted(docs, id_col, text_col, keep, min_rows, cells, [F.col(c) for c in docs.columns]).where("place = 1"))
+    of_group = Window.partitionBy("sha").orderBy(*_choice(keep))
+    split = heads.where("cells > 1").withColumn("rank", F.row_number().over(of_group)).where("rank = 1")  # few rows
+    return heads.where("cells = 1").select("row.*").union(split.select("row.*"))

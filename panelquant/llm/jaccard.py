@@ -270,5 +270,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that repeat both the id and the text stay or go together. The rest is as in ``near_classes``."""
     gone = near_classes(docs, id_col, text_col, size, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("row_id").alias("_row"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_row"))
-    return docs.join(gone, same, "left_anti")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"))
+    return packed.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left_anti").select("doc.*")

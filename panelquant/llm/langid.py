@@ -82,6 +82,8 @@ class Model:
 
     def predict(self, text: bytes) -> tuple[str, float]:
         """Language and a score from 0 to 1: the family's probability times the mean squashed margin of the winner's pairs."""
+        if not self.families:
+            return UNDETERMINED, 0.0
         x = features(text)
         z = self.family_weights @ x + self.family_bias
         p = np.exp(z - z.max())
@@ -135,14 +137,14 @@ def _weights(vector) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> Model:
-    """Fit on at most ``per_lang`` labelled rows of each language (the only bound of the training)."""
+    """Fit on at most ``per_lang`` labelled rows of each language (the only bound of the training).
+
+    Without labelled rows the model knows no language and calls every text 'und'."""
     from pyspark.ml.functions import array_to_vector
 
     sample = labelled_sample(docs, id_col, text_col, lang_col, per_lang).select("lang", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
     sample = settle(sample.coalesce(2)).cache()  # bounded by per_lang; two tasks per step of the fits
     langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
-    if not langs:
-        raise ValueError("no labelled rows to learn from")
     members: dict[str, list[str]] = {}
     for lang in langs:
         members.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)

@@ -197,13 +197,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     trigrams = sorted({t for _, tris in conjunctions(rules) for t in tris})
     served = {i for i, _ in conjunctions(rules)}
     found = candidates(postings(docs, trigrams, id_col, text_col), trigrams, rules)
-    text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast(SPANS)
+    text, none = F.coalesce(F.col(f"doc.{text_col}"), F.lit("")), F.array().cast(SPANS)
     spans = []
     for i, rule in enumerate(rules):
         # a character class on its own: long enough runs are all that can count
         test = text.rlike(rule.pattern.removesuffix("+") + f"{{{rule.min_chars}}}") if re.fullmatch(r"\[[^]]+\]\+", rule.pattern) else text.rlike(rule.pattern)
         test = test if i not in served else (F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0) & test
         spans.append(F.when(test, find(text, rule, i)).otherwise(none))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    others = [c for c in docs.columns if c != out]
-    return joined.select(*others, F.array_sort(F.concat(*spans)).alias(out))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("key"))
+    joined = packed.join(found, F.col("key").eqNullSafe(F.col("_id")), "left")
+    return joined.select(*[F.col(f"doc.{c}").alias(c) for c in docs.columns if c != out], F.array_sort(F.concat(*spans)).alias(out))

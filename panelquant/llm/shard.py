@@ -7,6 +7,7 @@ together for ever and only the moved slots are copied.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,31 +62,35 @@ def first_map(sizes: list[tuple[int, int, int]], n_shards: int) -> list[tuple]:
 
 
 def rebalanced(old: list[tuple], n_shards: int) -> list[tuple]:
-    """The next version for ``n_shards`` (more or fewer): slots leave shards above the mean, largest that fits first, and
-    shards that are given up; they go to the lightest shard. All other slots stay where they are."""
-    load = {shard: 0 for shard in range(n_shards)}
-    kept, moving = [], []
+    """The next version for ``n_shards`` (more or fewer). Slots of shards that are given up go to the lightest shard, largest
+    first; then slots move from the heaviest to the lightest shard while that brings the two closer. All others stay."""
+    load = dict.fromkeys(range(n_shards), 0)
+    held: dict[int, list[tuple]] = {shard: [] for shard in load}
+    homeless = []
     for slot, shard, size, n, _, _ in old:
         if shard in load:
             load[shard] += size
-            kept.append((slot, shard, size, n))
+            bisect.insort(held[shard], (size, slot, n))
         else:
-            moving.append((slot, size, n))
-    mean = sum(r[2] for r in old) / n_shards
-    stay = []
-    for slot, shard, size, n in sorted(kept, key=lambda r: (-r[2], r[0])):
-        if load[shard] - size >= mean:
-            load[shard] -= size
-            moving.append((slot, size, n))
-        else:
-            stay.append((slot, shard, size, n))
-    heap = [(held, shard) for shard, held in load.items()]
-    heapq.heapify(heap)
-    for slot, size, n in sorted(moving, key=lambda r: (-r[1], r[0])):
-        held, shard = heapq.heappop(heap)
-        stay.append((slot, shard, size, n))
-        heapq.heappush(heap, (held + size, shard))
-    return _placed(stay, max((r[5] for r in old), default=0) + 1)
+            homeless.append((size, slot, n))
+
+    def put(shard: int, one: tuple) -> None:
+        load[shard] += one[0]
+        bisect.insort(held[shard], one)
+
+    for one in sorted(homeless, reverse=True):
+        put(min(load, key=lambda k: (load[k], k)), one)
+    while load:
+        heavy, light = max(load, key=lambda k: (load[k], -k)), min(load, key=lambda k: (load[k], k))
+        gap = load[heavy] - load[light]
+        k = max(0, bisect.bisect_right(held[heavy], (gap / 2, 1 << 62, 0)) - 1)
+        if not held[heavy] or held[heavy][k][0] >= gap:
+            break
+        one = held[heavy].pop(k)
+        load[heavy] -= one[0]
+        put(light, one)
+    slots = [(slot, shard, size, n) for shard, all_of in held.items() for size, slot, n in all_of]
+    return _placed(slots, max((r[5] for r in old), default=0) + 1)
 
 
 def write_map(spark, rows: list[tuple], path: str) -> DataFrame:

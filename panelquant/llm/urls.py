@@ -88,10 +88,10 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=
     scores = propagate(host_edges(pages, url_col, html_col), seeds, steps).select(
         F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "trust", "distrust")]
-    rows = pages.select(*own, host.alias("host"), path.alias("path"), rule.alias("rule"))
+    rows = pages.select(F.struct(*own).alias("page"), host.alias("host"), path.alias("path"), rule.alias("rule"))
     joined = rows.join(scores, rows["host"] == scores["_host"], "left").drop("_host")
     unit = UNIT * STAY // 20
     bad = F.coalesce("_distrust", F.lit(0)) - F.coalesce("_trust", F.lit(0)) >= int(threshold * unit)
     return joined.select(
-        *own, "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), F.when(bad, "block").otherwise("allow")).alias("verdict"),
+        "page.*", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), F.when(bad, "block").otherwise("allow")).alias("verdict"),
         (F.coalesce("_trust", F.lit(0)) / unit).alias("trust"), (F.coalesce("_distrust", F.lit(0)) / unit).alias("distrust"))
