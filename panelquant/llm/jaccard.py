@@ -207,37 +207,49 @@ def _candidate_nodes(docs: DataFrame, nodes: DataFrame, percent: int, size: int)
     return settle(chosen.select("node", "n", F.col("held.gram").alias("grams"), F.size("held").cast("long").alias("s"), F.col("p.l").alias("l"), F.col("p.prefix").alias("prefix")))
 
 
+_NODE = ("node", "n", "s", "l", "width", "at")
+
+
 def similar_links(candidates: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect exactly the nodes that similar pairs connect."""
     sets = candidates.select("node", "n", "grams")
-    index = candidates.select("node", "n", "s", "l", F.explode("prefix").alias("gram"))
+    index = candidates.select("node", "n", "s", "l", F.size("prefix").alias("width"), F.posexplode("prefix").alias("at", "gram"))
 
     # the pivot of a list is the node with the smallest share of n-grams of its own
-    pivots = index.groupBy("gram").agg(F.min(F.struct((F.lit(1) - F.col("s") / F.col("n")).alias("own"), "node", "n", "s", "l")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    at_pivot = index.join(pivots.select("gram", "p"), "gram").where(F.col("node") != F.col("p.node"))
-    at_pivot = at_pivot.where(_bounds("n", "s", "p.n", "p.s", percent))
-    best = at_pivot.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count(F.lit(1)).alias("hits"))
-    best = best.groupBy("node").agg(F.max(F.struct("hits", "pivot")).alias("best")).select(F.col("node").alias("a"), F.col("best.pivot").alias("b"))
+    own = (F.lit(1) - F.col("s") / F.col("n")).alias("own")
+    pivots = index.groupBy("gram").agg(F.min(F.struct(own, *_NODE)).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    pivots = pivots.select("gram", *[F.col(f"p.{c}").alias(f"{c}_b") for c in _NODE])
+    at_pivot = index.select("gram", *[F.col(c).alias(f"{c}_a") for c in _NODE]).join(pivots, "gram").where((F.col("node_a") != F.col("node_b")) & _may_reach(percent))
+    best = at_pivot.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("hits"))
+    best = best.groupBy("node_a").agg(F.max(F.struct("hits", "node_b")).alias("best")).select(F.col("node_a").alias("a"), F.col("best.node_b").alias("b"))
     stars = settle(_verified(best, sets, percent))
-    labels = components(stars)
 
-    labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled)
+    labels = components(stars)
+    labelled = settle(index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     parts = labelled.groupBy("gram", "label").count().groupBy("gram")
     mixed = parts.agg(F.max(F.struct("count", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("gram", F.col("top.label").alias("main"))
     rows = labelled.join(mixed, "gram")
-    left = rows.where("label <> main").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "s", "l", "label")])
-    right = rows.select("gram", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "s", "l", "label")])
+    left = rows.where("label <> main").select("gram", *[F.col(c).alias(f"{c}_a") for c in (*_NODE, "label")])
+    right = rows.select("gram", "main", *[F.col(c).alias(f"{c}_b") for c in (*_NODE, "label")])
     met = (left["gram"] == right["gram"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-    pairs = left.join(right, met & _bounds("n_a", "s_a", "n_b", "s_b", percent)).select(
-        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.least("l_a", "l_b").alias("need"))
-    crossing = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need")).where("hits >= need").select("a", "b")
+    met = left.join(right, met & _may_reach(percent)).groupBy("node_a", "node_b").agg(
+        F.count(F.lit(1)).alias("hits"), F.first(F.struct("n_a", "s_a", "l_a", "width_a", "n_b", "s_b", "l_b", "width_b")).alias("x")).select("node_a", "node_b", "hits", "x.*")
+    crossing = met.where((F.col("hits") >= F.least("l_a", "l_b")) & _reaches("hits", percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     return stars.union(_verified(crossing, sets, percent))
 
 
-def _bounds(n: str, s: str, m: str, r: str, percent: int):
-    """What sizes (n, m) and numbers of n-grams that any other node has (s, r) still allow."""
-    return F.expr(f"100 * least({s}, {r}) >= {percent} * ({n} + {m} - least({s}, {r}))")
+def _reaches(in_prefixes: str, percent: int):
+    """Whether two nodes a and b that share so many n-grams inside their prefixes can be similar.
+
+    Beyond the prefix that ends first in the common order, no more can be shared than that node has left there; n-grams that
+    no other node has are never shared."""
+    most = f"least(s_a, s_b, {in_prefixes} + greatest(s_a - width_a, s_b - width_b))"
+    return F.expr(f"100 * {most} >= {percent} * (n_a + n_b - {most})")
+
+
+def _may_reach(percent: int):
+    """The same for one shared n-gram at places ``at`` of the prefixes: at most the smaller number before it and after it is shared."""
+    return _reaches("(least(at_a, at_b) + 1 + least(width_a - at_a, width_b - at_b) - 1)", percent)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
