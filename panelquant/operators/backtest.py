@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, div, running, spread, trailing, unpivot, when_full
 from ..sources.files import cut
+from .pit import asof_join
 from .returns import running_product
 from .risk import complete_dates
 
@@ -52,11 +53,12 @@ def holding_growth(targets: DataFrame, returns: DataFrame, keys: list[str]) -> t
     """(plan, growth): plan is (keys, asset, period, nxt, w); growth is ([keys of returns,] period, nxt,
     asset, ts, growth), the asset's growth since the rebalance on ``period``.
 
-    ``targets`` holds (keys, ts, asset, w) with every asset at every rebalance; a rebalance acts before the
+    ``targets`` holds (keys, ts, asset, w); an asset that a rebalance leaves out is sold there. A rebalance acts before the
     return of its own date. Growth is worked out once per distinct holding span, not per portfolio."""
     shared = [k for k in keys if k in returns.columns]
-    nxt = F.coalesce(F.lead("ts").over(Window.partitionBy(*keys, "asset").orderBy("ts")), F.lit(FAR).cast("date"))
-    plan = targets.select(*keys, "asset", F.col("ts").alias("period"), nxt.alias("nxt"), "w")
+    nxt = F.coalesce(F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts")), F.lit(FAR).cast("date"))
+    calendar = targets.select(*keys, "ts").distinct().withColumn("nxt", nxt)  # one row per rebalance of a portfolio
+    plan = targets.join(calendar, [*keys, "ts"]).select(*keys, "asset", F.col("ts").alias("period"), "nxt", "w")
     spans = plan.select(*shared, "period", "nxt").distinct()
     cal = F.array_sort(F.collect_set("ts")).alias("_cal")  # trading dates, bounded by the calendar
     spans = spans.join(returns.groupBy(*shared).agg(cal), shared) if shared else spans.withColumn("_cal", returns.agg(cal).scalar())
@@ -78,14 +80,15 @@ def gross_path(plan: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame
 
 
 def rebalance_trades(plan: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, period, asset, dw): change from the drifted weight of the period before (zero at first)."""
+    """(keys, period, asset, dw): change from the drifted weight of the period just before (zero if not held in it)."""
     shared = [k for k in keys if k in growth.columns]
     last = growth.groupBy(*shared, "period", "nxt", "asset").agg(F.max_by("growth", "ts").alias("g"))
     end = plan.join(last, [*shared, "period", "nxt", "asset"])
     total = end.groupBy(*keys, "period").agg(F.sum(F.col("w") * F.col("g")).alias("_v"))
     d = end.join(total, [*keys, "period"]).withColumn("drift", F.col("w") * F.col("g") / F.nullif("_v", F.lit(0.0)))
-    before = F.coalesce(F.lag("drift").over(Window.partitionBy(*keys, "asset").orderBy("period")), F.lit(0.0))
-    return d.select(*keys, "period", "asset", (F.col("w") - before).alias("dw"))
+    held = d.where(F.col("nxt") < F.lit(FAR).cast("date")).select(*keys, "asset", F.col("nxt").alias("period"), "drift")
+    both = plan.select(*keys, "asset", "period", "w").join(held, [*keys, "asset", "period"], "full")  # sold assets have no target
+    return both.select(*keys, "period", "asset", (F.coalesce("w", F.lit(0.0)) - F.coalesce("drift", F.lit(0.0))).alias("dw"))
 
 
 def portfolio_path(targets: DataFrame, returns: DataFrame, liquidity: DataFrame, keys: list[str], capital: float = 1e7,
@@ -98,8 +101,7 @@ def portfolio_path(targets: DataFrame, returns: DataFrame, liquidity: DataFrame,
     plan, growth = holding_growth(cut(t), cut(returns), keys)
     growth = cut(growth)
     path = gross_path(plan, growth, keys)
-    trades = rebalance_trades(plan, growth, keys).join(
-        liquidity.select("asset", F.col("ts").alias("period"), "adv", "vol"), ["asset", "period"], "left")
+    trades = asof_join(rebalance_trades(plan, growth, keys), liquidity, ["asset"], "period", "ts", ["adv", "vol"])  # the last row known then
     per = trades.groupBy(*keys, "period").agg(
         F.array_sort(F.collect_list(F.struct("asset", F.abs("dw").alias("q"), F.coalesce("adv", F.lit(50e6)).alias("adv"),
                                              F.coalesce("vol", F.lit(0.015)).alias("vol")))).alias("trades"),

@@ -248,8 +248,10 @@ def recent_values(items: DataFrame, keys=("asset",)) -> DataFrame:
     return items.where("value is not null").withColumn("k", F.row_number().over(w) - 1)
 
 
-def _recent(canonical: str, n: int) -> Column:
-    return F.when((F.col("canonical") == canonical) & (F.col("k") < n), F.col("value"))
+def _recent(canonical: str, n: int | None = None) -> Column:
+    """The values of an item, the latest ``n`` periods or all."""
+    own = F.col("canonical") == canonical
+    return F.when(own if n is None else own & (F.col("k") < n), F.col("value"))
 
 
 def ttm(canonical: str, n: int = 4) -> Column:
@@ -305,7 +307,7 @@ def factor_quality(statements: DataFrame, as_of: list) -> DataFrame:
     f = recent.groupBy(*KEYS).agg(
         ttm("net_income").alias("ni"), average("book_value").alias("eq2"), ttm("ebit").alias("ebit"),
         latest("total_assets").alias("ta"), latest("current_liab").alias("cl"), latest("book_value").alias("eq"),
-        latest("total_debt").alias("debt"), F.count(_recent("eps", 10**6)).alias("n_eps"),
+        latest("total_debt").alias("debt"), F.count(_recent("eps")).alias("n_eps"),
         F.count(e).alias("ne"), F.avg(e).alias("me"), F.stddev_samp(e).alias("se"),
         F.count(ni).alias("nn"), F.avg(ni).alias("mn"), F.stddev_samp(ni).alias("sn"))
     own = F.col("n_eps") > 0

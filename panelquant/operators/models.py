@@ -18,7 +18,7 @@ from ..sources.files import cut
 def _pipeline(features: list[str], kind: str, seed: int = 42, trees: int = 100, depth: int = 4) -> Pipeline:
     reg = {
         "gbdt": lambda: GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.05, seed=seed),
-        "random_forest": lambda: RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed),
+        "random_forest": lambda: RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth + 1, seed=seed),
         "ridge": lambda: LinearRegression(featuresCol="x", labelCol="y", regParam=1.0, elasticNetParam=0.0),
     }[kind]()
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"),
@@ -30,7 +30,7 @@ def _ic(df: DataFrame) -> float:
     return 0.0 if v is None or v != v else float(v)
 
 
-def meta_model_fit(data: DataFrame, features: list[str], kind: str = "gbdt", splits: DataFrame | None = None, trees: int = 20, min_rows: int = 30):
+def meta_model_fit(data: DataFrame, features: list[str], kind: str = "gbdt", splits: DataFrame | None = None, trees: int = 100, min_rows: int = 30):
     """Scaler and regressor on (features, y) with a ridge baseline. Returns (model, metrics row frame);
     under ``min_rows`` complete rows there is no fit (None). ``splits`` adds a purged-validation score."""
     d = cut(data.dropna(subset=[*features, "y"]))
@@ -46,7 +46,7 @@ def meta_model_fit(data: DataFrame, features: list[str], kind: str = "gbdt", spl
             s = d.join(splits.where(F.col("path_id") == path).select("ts", "role"), "ts")
             train, test = s.where("role = 'train'"), s.where("role = 'test'")
             if len(train.take(21)) > 20 and len(test.take(6)) > 5:
-                scores.append(_ic(_pipeline(features, kind, trees=max(5, trees // 2), depth=3).fit(train).transform(test)))
+                scores.append(_ic(_pipeline(features, kind, trees=trees // 2, depth=3).fit(train).transform(test)))
         ic_cv = sum(scores) / len(scores) if scores else None
     return model, spark.createDataFrame([("fitted", n, ic, ic_base, ic_cv if ic_cv is not None else ic)],
                                         "status string, n bigint, ic_primary double, ic_baseline double, ic_cv double")

@@ -111,24 +111,22 @@ def oos_incremental(pred: DataFrame, keys=("treatment", "factor")) -> DataFrame:
                           "delta_r2": (F.col("sse_base") - F.col("sse_full")) / ok})
 
 
-MAX_LAGS = 12  # int(4 (T / 100)^(2/9)) stays below this for any calendar
-
-
 def newey_west_se(series: DataFrame, keys=("treatment", "factor"), value: str = "coef", small_sample: bool = False) -> DataFrame:
-    """Mean and HAC standard error of the mean with Bartlett weights; under three values NULL."""
+    """Mean and HAC standard error of the mean with Bartlett weights; under three values NULL.
+
+    The number of lags is int(4 (T / 100)^(2/9)) with T counting dates without a value too. Each value meets the ones up to
+    that many places before it by a join on (key, place), so the lags follow the data and no column is made per lag."""
     keys = list(keys)
-    d = series.where(F.col(value).isNotNull())
-    m = Window.partitionBy(*keys)
-    d = d.withColumn("_u", F.col(value) - F.avg(value).over(m))
-    w = by_time(keys)
-    d = d.withColumns({f"_l{k}": F.lag("_u", k).over(w) for k in range(1, MAX_LAGS + 1)})
-    g = d.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean_coeff"), F.sum(F.col("_u") * F.col("_u")).alias("s0"),
-                             *[F.coalesce(F.sum(F.col("_u") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(1, MAX_LAGS + 1)])
-    lags = F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2.0 / 9)))
-    total = F.col("s0")
-    for k in range(1, MAX_LAGS + 1):
-        total = total + F.when(lags >= k, 2 * (1 - k / (lags + 1.0)) * F.col(f"s{k}")).otherwise(0.0)
-    var = total / (F.col("n") * F.col("n"))
+    whole = Window.partitionBy(*keys)
+    d = series.withColumn("_t", F.count(F.lit(1)).over(whole)).where(F.col(value).isNotNull())
+    d = d.select(*keys, "_t", (F.col(value) - F.avg(value).over(whole)).alias("_u"), F.col(value).alias("_v"),
+                 F.row_number().over(by_time(keys)).alias("_at"), F.floor(4 * F.pow(F.col("_t") / 100.0, F.lit(2.0 / 9))).cast("int").alias("_lags"))
+    base = d.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean_coeff"), F.sum(F.col("_u") * F.col("_u")).alias("_s0"))
+    later = d.where("_lags > 0").select(*keys, F.col("_u").alias("_w"), "_lags", "_at", F.explode(F.sequence(F.lit(1), "_lags")).alias("_k"))
+    later = later.select(*keys, "_w", (F.col("_at") - F.col("_k")).alias("_at"), (2 * (1 - F.col("_k") / (F.col("_lags") + 1.0))).alias("_bartlett"))
+    cross = later.join(d.select(*keys, "_at", "_u"), [*keys, "_at"]).groupBy(*keys).agg(F.sum(F.col("_bartlett") * F.col("_w") * F.col("_u")).alias("_s"))
+    g = base.join(cross, keys, "left")
+    var = (F.col("_s0") + F.coalesce("_s", F.lit(0.0))) / (F.col("n") * F.col("n"))
     if small_sample:
         var = var * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0))
     return g.select(*keys, "n", "mean_coeff", F.when(F.col("n") >= (2 if small_sample else 3), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("nw_se"))

@@ -5,7 +5,7 @@ import datetime as dt
 from ..functions.columns import rounded
 from ..operators import fundamentals as fd
 from ..operators import timeseries as tsr
-from .panel import MONTHS, sql_dates
+from .panel import MONTHS_SQL, months, sql_dates
 from .registry import query
 from .shared_sql import VIEWS
 
@@ -183,11 +183,11 @@ SELECT * EXCLUDE (pri, first) FROM (SELECT *, min(pri) OVER (PARTITION BY {keys}
 
 VIEWS["alias_items"] = alias_sql("stmts_q", "asset")
 VIEWS["recent"] = "SELECT *, row_number() OVER (PARTITION BY asset, canonical ORDER BY period_end DESC) - 1 AS k FROM alias_items WHERE value IS NOT NULL"
-VIEWS["pit_q"] = f"SELECT as_of, asset, item, period_end, value FROM stmts_q JOIN {sql_dates(MONTHS)} ON period_end + 45 <= as_of"
+VIEWS["pit_q"] = f"SELECT as_of, asset, item, period_end, value FROM stmts_q JOIN {MONTHS_SQL} ON period_end + 45 <= as_of"
 VIEWS["pit_alias"] = alias_sql("pit_q", "as_of, asset")
 VIEWS["pit_recent"] = "SELECT *, row_number() OVER (PARTITION BY as_of, asset, canonical ORDER BY period_end DESC) - 1 AS k FROM pit_alias WHERE value IS NOT NULL"
 VIEWS["pit_close"] = f"""
-SELECT c.as_of, c.asset, f.close FROM (SELECT as_of, a.asset FROM {sql_dates(MONTHS)}, (SELECT DISTINCT asset FROM bars_brand) a) c
+SELECT c.as_of, c.asset, f.close FROM (SELECT as_of, a.asset FROM {MONTHS_SQL}, (SELECT DISTINCT asset FROM bars_brand) a) c
 ASOF JOIN bars_brand f ON c.asset = f.asset AND c.as_of >= f.ts"""
 
 
@@ -247,7 +247,7 @@ def _as_text(view: str, cols: list[str], digits: int = 6, last: bool = False) ->
 # One decision date: the same text with another date list.
 def _swap(text: str, names: dict[str, str]) -> str:
     import re
-    text = text.replace(sql_dates(MONTHS), sql_dates(LAST))
+    text = text.replace(MONTHS_SQL, sql_dates(LAST))
     for a, b in names.items():
         text = re.sub(rf"\b{a}\b", b, text)
     return text
@@ -268,7 +268,7 @@ def _(p):
 
 @query("factor_value_xs", _as_text("value_v", VALUE))
 def _(p):
-    return rounded(fd.factor_value(p.statements("quarter"), p.closes(), MONTHS))
+    return rounded(fd.factor_value(p.statements("quarter"), p.closes(), months(p)))
 
 
 @query("factor_quality", _as_text("quality_v", QUALITY, 6, last=True))
@@ -278,7 +278,7 @@ def _(p):
 
 @query("factor_quality_xs", _as_text("quality_v", QUALITY))
 def _(p):
-    return rounded(fd.factor_quality(p.statements("quarter"), MONTHS))
+    return rounded(fd.factor_quality(p.statements("quarter"), months(p)))
 
 
 # -- time series ----------------------------------------------------------------------------------
@@ -376,7 +376,7 @@ def _(p):
 
 def _asof_feat(dates, feat: str, cols: str) -> str:
     return f"""
-SELECT c.as_of, c.asset, {cols} FROM (SELECT as_of, a.asset FROM {sql_dates(dates)}, (SELECT DISTINCT asset FROM ret_brand) a) c
+SELECT c.as_of, c.asset, {cols} FROM (SELECT as_of, a.asset FROM {dates}, (SELECT DISTINCT asset FROM ret_brand) a) c
 ASOF JOIN ({feat}) f ON c.asset = f.asset AND c.as_of >= f.ts"""
 
 
@@ -387,7 +387,7 @@ _LOW = """SELECT asset, ts, row_number() OVER w AS n, CASE WHEN count(lr) OVER w
  -covar_samp(lr, mkt) OVER w252 / nullif(var_samp(mkt) OVER w252, 0) AS b
 FROM ret_brand JOIN (SELECT ts, avg(lr) AS mkt FROM ret_brand GROUP BY ts) USING (ts)
 WINDOW w AS (PARTITION BY asset ORDER BY ts), w30 AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), w252 AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"""
-for _sfx, _d in (("", MONTHS), ("_last", LAST)):
+for _sfx, _d in (("", MONTHS_SQL), ("_last", sql_dates(LAST))):
     VIEWS["momentum_v" + _sfx] = _asof_feat(_d, _MOM, "CASE WHEN n >= 252 THEN m12 END AS momentum_12m_skip1, CASE WHEN n >= 252 THEN m6 END AS momentum_6m")
     VIEWS["low_risk_v" + _sfx] = _asof_feat(_d, _LOW, "volatility_30d, downside_volatility, CASE WHEN n >= 252 THEN b END AS beta")
 
@@ -402,7 +402,7 @@ def _(p):
 
 @query("factor_momentum_xs", _as_text("momentum_v", MOM))
 def _(p):
-    return rounded(tsr.factor_momentum(p.closes(), MONTHS))
+    return rounded(tsr.factor_momentum(p.closes(), months(p)))
 
 
 @query("factor_low_risk", _as_text("low_risk_v", LOW, last=True))
@@ -412,4 +412,4 @@ def _(p):
 
 @query("factor_low_risk_xs", _as_text("low_risk_v", LOW))
 def _(p):
-    return rounded(tsr.factor_low_risk(p.returns(), MONTHS))
+    return rounded(tsr.factor_low_risk(p.returns(), months(p)))

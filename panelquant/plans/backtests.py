@@ -141,39 +141,32 @@ SELECT {keys}, n, tr AS total_return, ann AS annualised_return, vol AS volatilit
     GROUP BY {keys} HAVING count(r) >= 20))"""
 
 
-BIG = {m: 2 for m in ("total_return", "annualised_return", "benchmark_total_return", "benchmark_annualised_return", "alpha", "sortino_ratio", "calmar_ratio")}
-
-
+# Returns of the synthetic prices are noise of several hundred percent a day; a 500th of them compounds to ordinary figures.
 def _metrics_out(sql: str, keys: str) -> str:
-    return f"SELECT {keys}, n, " + ", ".join(f"CASE WHEN abs({m}) < 1e6 THEN R4({m}) END AS {m}" if m in BIG else f"R6({m}) AS {m}" for m in bt.METRICS) + f" FROM ({sql})"
-
-
-def _bounded(d):
-    """Compounded noise returns can be astronomically large; such values are not compared digit by digit."""
-    return rounded(d.withColumns({m: F.when(F.abs(m) < 1e6, F.col(m)) for m in BIG}), 6, **{m: 4 for m in BIG})
+    return f"SELECT {keys}, n, " + ", ".join(f"R6({m}) AS {m}" for m in bt.METRICS) + f" FROM ({sql})"
 
 
-@query("performance_metrics", _metrics_out(metrics_sql("SELECT asset, year(ts) AS fold, ts, r / 50 AS r, bm / 50 AS bm FROM ret_type JOIN bm_type USING (ts)", "asset, fold"), "asset, fold"))
+@query("performance_metrics", _metrics_out(metrics_sql("SELECT asset, year(ts) AS fold, ts, r / 500 AS r, bm / 500 AS bm FROM ret_type JOIN bm_type USING (ts)", "asset, fold"), "asset, fold"))
 def _(p):
     d = p.returns("p_type").join(p.benchmark("p_type"), "ts").select(
-        "asset", F.year("ts").alias("fold"), "ts", (F.col("r") / 50).alias("r"), (F.col("bm") / 50).alias("bm"))
-    return _bounded(bt.performance_metrics(d, ["asset", "fold"]))
+        "asset", F.year("ts").alias("fold"), "ts", (F.col("r") / 500).alias("r"), (F.col("bm") / 500).alias("bm"))
+    return rounded(bt.performance_metrics(d, ["asset", "fold"]))
 
 
 VIEWS["bt_train"] = "SELECT wf.fold, r.asset, avg(r) / stddev_samp(r) * 25 + 50 AS score FROM wf JOIN bt_ret r USING (ts) WHERE role = 'train' GROUP BY ALL"
-VIEWS["bt_ret"] = "SELECT ts, asset, r / 50 AS r FROM ret_ok"
+VIEWS["bt_ret"] = "SELECT ts, asset, r / 500 AS r FROM ret_ok"
 VIEWS["bt_w"] = """
 SELECT fold, asset, c / sum(c) OVER (PARTITION BY fold) AS w FROM (SELECT fold, asset, least(greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY fold), 0.40) AS c FROM bt_train)"""
 VIEWS["bt_test"] = "SELECT fold, ts, asset, r FROM wf JOIN bt_ret USING (ts) WHERE role = 'test'"
 VIEWS["bt_targets"] = """
 SELECT fold, ts, asset, w FROM (SELECT fold, max(ts) AS ts FROM bt_test GROUP BY fold, date_trunc('month', ts) UNION SELECT fold, min(ts) FROM bt_test GROUP BY fold) JOIN bt_w USING (fold)"""
-VIEWS["bt_metrics"] = metrics_sql("SELECT fold, p.ts, r_gross AS r, coalesce(bm / 50, 0) AS bm FROM (" + gross_sql("bt_targets", "bt_test", "fold") + ") p LEFT JOIN bm_type USING (ts)", "fold")
+VIEWS["bt_metrics"] = metrics_sql("SELECT fold, p.ts, r_gross AS r, coalesce(bm / 500, 0) AS bm FROM (" + gross_sql("bt_targets", "bt_test", "fold") + ") p LEFT JOIN bm_type USING (ts)", "fold")
 
 
 def _backtest(p, liquidity=False):
-    r = p.returns("p_type").withColumn("r", F.col("r") / 50)
+    r = p.returns("p_type").withColumn("r", F.col("r") / 500)
     folds = cv.walk_forward_splits(complete_dates(r).select("ts"))
-    bm = p.benchmark("p_type").withColumn("bm", F.col("bm") / 50)
+    bm = p.benchmark("p_type").withColumn("bm", F.col("bm") / 500)
 
     def score(train):
         return train.groupBy("fold", "asset").agg((F.avg("r") / F.stddev_samp("r") * 25 + 50).alias("score"))
@@ -183,7 +176,7 @@ def _backtest(p, liquidity=False):
 
 @query("backtest", _metrics_out("SELECT * FROM bt_metrics", "fold"))
 def _(p):
-    return _bounded(_backtest(p))
+    return rounded(_backtest(p))
 
 
 @query("backtest_with_costs")
@@ -209,7 +202,7 @@ SELECT b.ts, CASE WHEN term_spread > 0 THEN 'expansion' WHEN term_spread < 0 THE
 
 
 def _bm(p):
-    return p.benchmark("p_type").withColumn("bm", F.col("bm") / 50)
+    return p.benchmark("p_type").withColumn("bm", F.col("bm") / 500)
 
 
 def _spread(p):
@@ -236,7 +229,7 @@ def regime_sql(reg: str, scheme: str | None = None) -> str:
     return f"""
 SELECT {f"'{scheme}' AS scheme, " if scheme else ''}asset, regime, R6(avg(r) * 252) AS port_return, R6(stddev_samp(r) * sqrt(252)) AS port_vol, R6(avg(r) * 252 / (stddev_samp(r) * sqrt(252))) AS port_sharpe, R6(min(dd)) AS port_max_dd,
   R6(avg(bm) * 252) AS bench_return, R6(avg(bm) * 252 / (stddev_samp(bm) * sqrt(252))) AS bench_sharpe FROM (
-  SELECT *, w / max(w) OVER (PARTITION BY asset, regime ORDER BY ts) - 1 AS dd FROM (SELECT asset, regime, ts, r / 50 AS r, bm / 50 AS bm, exp(sum(ln(1 + r / 50)) OVER (PARTITION BY asset, regime ORDER BY ts)) AS w
+  SELECT *, w / max(w) OVER (PARTITION BY asset, regime ORDER BY ts) - 1 AS dd FROM (SELECT asset, regime, ts, r / 500 AS r, bm / 500 AS bm, exp(sum(ln(1 + r / 50)) OVER (PARTITION BY asset, regime ORDER BY ts)) AS w
     FROM ret_type JOIN bm_type USING (ts) JOIN {reg} USING (ts))) GROUP BY asset, regime HAVING count(*) >= 2"""
 
 
@@ -271,7 +264,7 @@ def _(p):
     return rounded(pt.jobson_korkie_memmel(complete_dates(p.returns("p_type")), "year(ts)"))
 
 
-REPS = 200
+REPS = 1000
 
 
 def boot_sql(source: str, strategy: str = "asset", reps: int = REPS) -> str:

@@ -10,8 +10,19 @@ from ..sources import files
 from .registry import query
 from .shared_sql import norm_ppf
 
-YEARS = pit.year_ends(1995, 2001)
-MONTHS = pit.month_starts(1995, 2001)
+_SPAN = "(SELECT date_trunc('year', min(CAST(l_shipdate AS DATE)))::DATE AS lo, date_trunc('year', max(CAST(l_shipdate AS DATE)))::DATE AS hi FROM lineitem)"
+#: Decision dates of the SQL forms: ends of the years, and first business days of the months, of the years that have trades.
+YEARS_SQL = f"(SELECT (d + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE AS as_of FROM (SELECT unnest(generate_series(lo, hi, INTERVAL 1 YEAR)) AS d FROM {_SPAN}))"
+MONTHS_SQL = f"""(SELECT (d + CASE dayofweek(d) WHEN 6 THEN INTERVAL 2 DAY WHEN 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)::DATE AS as_of FROM (
+  SELECT unnest(generate_series(lo, hi + INTERVAL 11 MONTH, INTERVAL 1 MONTH)) AS d FROM {_SPAN}))"""
+
+
+def years(p) -> list:
+    return pit.year_ends(*p.years())
+
+
+def months(p) -> list:
+    return pit.month_starts(*p.years())
 
 
 def sql_dates(ds) -> str:
@@ -33,22 +44,22 @@ def _(p):
     return pit.register(p.macro_daily(), files.scratch(p.spark, "pit_macro"), "ts", pit.MACRO_LAG_DAYS, key="series")
 
 
-@query("pit_price_history", f"SELECT D(as_of) AS as_of, asset, D(ts) AS ts, close, volume FROM bars_brand JOIN {sql_dates(YEARS)} ON ts <= as_of")
+@query("pit_price_history", f"SELECT D(as_of) AS as_of, asset, D(ts) AS ts, close, volume FROM bars_brand JOIN {YEARS_SQL} ON ts <= as_of")
 def _(p):
-    return pit.pit_price_history(p.closes(), YEARS)
+    return pit.pit_price_history(p.closes(), years(p))
 
 
 @query("pit_statements", f"""
 SELECT D(as_of) AS as_of, asset, stmt, item, D(period_end) AS period_end, value,
   row_number() OVER (PARTITION BY as_of, asset, stmt, item ORDER BY period_end DESC) - 1 AS pos
-FROM stmts_q JOIN {sql_dates(YEARS)} ON period_end + 45 <= as_of""")
+FROM stmts_q JOIN {YEARS_SQL} ON period_end + 45 <= as_of""")
 def _(p):
-    return pit.pit_statements(p.statements("quarter"), YEARS)
+    return pit.pit_statements(p.statements("quarter"), years(p))
 
 
-@query("pit_macro", f"SELECT D(as_of) AS as_of, series, D(ts) AS ts, value FROM macro_daily JOIN {sql_dates(YEARS)} ON ts + 30 <= as_of")
+@query("pit_macro", f"SELECT D(as_of) AS as_of, series, D(ts) AS ts, value FROM macro_daily JOIN {YEARS_SQL} ON ts + 30 <= as_of")
 def _(p):
-    return pit.pit_macro(p.macro_daily(), YEARS)
+    return pit.pit_macro(p.macro_daily(), years(p))
 
 
 @query("asof_latest", """
@@ -82,7 +93,7 @@ def _(p):
 @query("investable_universe", f"""
 WITH f AS (SELECT asset, ts, close, row_number() OVER w AS n, avg(close * volume) OVER (w ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) AS adv
   FROM bars_brand WINDOW w AS (PARTITION BY asset ORDER BY ts)),
-c AS (SELECT as_of, a.asset FROM {sql_dates(MONTHS)}, (SELECT DISTINCT asset FROM bars_brand) a),
+c AS (SELECT as_of, a.asset FROM {MONTHS_SQL}, (SELECT DISTINCT asset FROM bars_brand) a),
 j AS (SELECT c.as_of, c.asset, f.close, f.adv, f.n FROM c ASOF JOIN f ON c.asset = f.asset AND c.as_of >= f.ts)
 SELECT D(as_of) AS as_of, asset, close, R2(adv) AS adv FROM j
 WHERE n >= 10 AND close >= 200 AND adv >= 40000 AND NOT (asset LIKE '%3' AND as_of > DATE '1999-06-30')""")
@@ -90,7 +101,7 @@ def _(p):
     c = p.closes()
     gone = pit.register_delisting(c.where("asset like '%3'").select("asset", F.lit("1999-06-30").cast("date").alias("ts")).distinct())
     gone = gone.withColumn("asset", F.initcap("asset"))
-    return rounded(pit.investable_universe(c, gone, MONTHS, min_adv=40000.0, min_price=200.0), 2, close=15)
+    return rounded(pit.investable_universe(c, gone, months(p), min_adv=40000.0, min_price=200.0), 2, close=15)
 
 
 @query("adjusted_total_return", """
@@ -103,11 +114,11 @@ def _(p):
 
 @query("align_business_days", """
 WITH s AS (SELECT asset, CAST(d AS DATE) AS ts FROM (SELECT DISTINCT asset FROM bars_brand),
-  (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5)
+  (SELECT unnest(generate_series(lo, hi + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM """ + _SPAN + """) WHERE dayofweek(d) BETWEEN 1 AND 5)
 SELECT asset, D(ts) AS ts, last_value(close IGNORE NULLS) OVER w AS close
 FROM s LEFT JOIN bars_brand USING (asset, ts) WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
 def _(p):
-    return pit.align_business_days(p.closes(), "1995-01-01", "2001-12-31", ["close"])
+    return pit.align_business_days(p.closes(), f"{p.years()[0]}-01-01", f"{p.years()[1]}-12-31", ["close"])
 
 
 def _align_sql(source: str, limit: int) -> str:
@@ -143,14 +154,14 @@ def _(p):
 
 
 FWD = f"""fwd AS (SELECT as_of, asset, ln(p1 / p0) AS fwd FROM (
-  SELECT c.as_of, c.asset, f.close AS p0, f.p1 FROM (SELECT as_of, a.asset FROM {sql_dates(MONTHS)}, (SELECT DISTINCT asset FROM bars_brand) a) c
+  SELECT c.as_of, c.asset, f.close AS p0, f.p1 FROM (SELECT as_of, a.asset FROM {MONTHS_SQL}, (SELECT DISTINCT asset FROM bars_brand) a) c
   ASOF JOIN (SELECT asset, ts, close, lead(close, 21) OVER (PARTITION BY asset ORDER BY ts) AS p1 FROM bars_brand) f
   ON c.asset = f.asset AND c.as_of >= f.ts) WHERE p0 > 0 AND p1 > 0)"""
 
 
 @query("forward_returns", f"WITH {FWD} SELECT D(as_of) AS as_of, asset, R8(fwd) AS fwd FROM fwd")
 def _(p):
-    return rounded(pit.forward_returns(p.closes(), MONTHS, 21), 8)
+    return rounded(pit.forward_returns(p.closes(), months(p), 21), 8)
 
 
 @query("validate_purity", "SELECT CAST(0 AS BIGINT) AS violations, TRUE AS passed FROM (SELECT count(*) FROM lineitem)")
@@ -178,7 +189,7 @@ def _(p):
 WITH {FWD}, s AS (SELECT as_of AS ts, asset, fwd, -fwd AS score, lead(fwd) OVER (PARTITION BY asset ORDER BY as_of) AS nxt FROM fwd)
 SELECT asset, count(*) AS n, R6(corr(score, nxt)) AS corr, abs(corr(score, nxt)) <= 0.5 AS passed FROM s WHERE nxt IS NOT NULL GROUP BY asset""")
 def _(p):
-    f = pit.forward_returns(p.closes(), MONTHS, 21).select(F.col("as_of").alias("ts"), "asset", "fwd", (-F.col("fwd")).alias("score"))
+    f = pit.forward_returns(p.closes(), months(p), 21).select(F.col("as_of").alias("ts"), "asset", "fwd", (-F.col("fwd")).alias("score"))
     return rounded(pit.validate_target_independence(f, "score", "fwd"))
 
 

@@ -218,7 +218,7 @@ def _(p):
     m = al.centred_moments(p.vector_returns(), [], BLOCK)
     both = al.sample_covariance(m, []).withColumn("method", F.lit("sample")).unionByName(
         al.ledoit_wolf(m, []).drop("shrinkage").withColumn("method", F.lit("ledoit_wolf")))
-    return rounded(al.psd_floor(both, "method"))
+    return rounded(both)
 
 
 def _views(p, group="year"):

@@ -16,7 +16,7 @@ from ..operators import studies as st
 from ..operators import timeseries as tsr
 from ..sources.files import cut, stored
 from .assets import LOW, MOM, QUALITY, VALUE
-from .panel import FWD, MONTHS, XS
+from .panel import FWD, XS, months
 from .regressions import _wide, moments_sql, ols_sql
 from .registry import query
 from .shared_sql import VIEWS
@@ -48,14 +48,14 @@ VIEWS["fm_v"] = " UNION ALL ".join(f"SELECT treatment, ts, '{n}' AS factor, c{i}
 def _composite(p):
     def build():
         q = p.statements("quarter")
-        raw = pv.characteristics([fd.factor_value(q, p.closes(), MONTHS), fd.factor_quality(q, MONTHS),
-                                  tsr.factor_momentum(p.closes(), MONTHS), tsr.factor_low_risk(p.returns(), MONTHS)])
+        raw = pv.characteristics([fd.factor_value(q, p.closes(), months(p)), fd.factor_quality(q, months(p)),
+                                  tsr.factor_momentum(p.closes(), months(p)), tsr.factor_low_risk(p.returns(), months(p))])
         return pv.factor_composite(nz.apply_normalization(cut(raw), list(nz.TREATMENTS)))
     return stored(p.spark, (p.path, "composite"), build)
 
 
 def _rpanel(p):
-    return stored(p.spark, (p.path, "rpanel"), lambda: pv.regression_panel(_composite(p), pit.forward_returns(p.closes(), MONTHS, 21)))
+    return stored(p.spark, (p.path, "rpanel"), lambda: pv.regression_panel(_composite(p), pit.forward_returns(p.closes(), months(p), 21)))
 
 
 def _pred(p):
@@ -242,7 +242,7 @@ def _bench_paths(p):
 
 
 def _pair_tests(p):
-    return stored(p.spark, (p.path, "pair_tests"), lambda: st.pair_tests(st.ensemble(_bench_paths(p)), "year(ts)", 200))
+    return stored(p.spark, (p.path, "pair_tests"), lambda: st.pair_tests(st.ensemble(_bench_paths(p)), "year(ts)", 500))
 
 
 @query("method_benchmark_study")
@@ -271,14 +271,14 @@ FEATURES = ["M1", "M2", "M3", "M4", "M5", "M6"]
 
 def _training(p):
     w = sc.wide_scores(p.module_scores())
-    y = pit.forward_returns(p.closes(), pit.month_starts(1995, 2001), 21).select(F.trunc("as_of", "month").alias("ts"), "asset", F.col("fwd").alias("y"))
+    y = pit.forward_returns(p.closes(), months(p), 21).select(F.trunc("as_of", "month").alias("ts"), "asset", F.col("fwd").alias("y"))
     return w.join(y, ["asset", "ts"])
 
 
 def _fit(p, splits=False):
     d = cut(_training(p))
     s = cv.purged_cv_splits(d.select("ts")) if splits else None
-    return d, ml.meta_model_fit(d, FEATURES, splits=cut(s) if splits else None, trees=10)
+    return d, ml.meta_model_fit(d, FEATURES, splits=cut(s) if splits else None)
 
 
 @query("meta_model_fit")

@@ -40,7 +40,7 @@ def _(p):
 
 VIEWS["daily_sent"] = """
 SELECT *, e - coalesce(lag(e, 20) OVER (PARTITION BY asset ORDER BY n), 0) AS mom FROM (
-  SELECT a.asset, a.ts, a.n, any_value(a.x) AS x, sum(b.x * pow(0.86::DOUBLE, a.n - b.n)) / ((1 - pow(0.86::DOUBLE, a.n + 1)) / (1 - 0.86::DOUBLE)) AS e FROM sent_days a
+  SELECT a.asset, a.ts, a.n, any_value(a.x) AS x, sum(b.x * pow(0.85::DOUBLE, a.n - b.n)) / ((1 - pow(0.85::DOUBLE, a.n + 1)) / (1 - 0.85::DOUBLE)) AS e FROM sent_days a
   JOIN sent_days b ON a.asset = b.asset AND b.n BETWEEN a.n - 300 AND a.n GROUP BY a.asset, a.ts, a.n)"""
 VIEWS["sent_days"] = """
 SELECT asset, ts, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS n, greatest(-1, least(1, coalesce(s, 0))) AS x FROM (SELECT asset, ts FROM bars_brand)
@@ -48,12 +48,14 @@ LEFT JOIN (SELECT d.asset, b.ts, sum(prob_pos - prob_neg) AS s FROM sentiment_v
 
 
 def _daily(p):
-    return tx.daily_sentiment(_scored(p), p.closes(), decay=0.86)
+    return tx.daily_sentiment(_scored(p), p.closes())
 
 
-@query("daily_sentiment", "SELECT asset, D(ts) AS ts, R9(x) AS daily_sentiment, R9(e) AS ewma_sentiment, R9(mom) AS sentiment_momentum FROM daily_sent")
+@query("daily_sentiment", "SELECT asset, D(ts) AS ts, R9(x) AS daily_sentiment, R9(e + 1e-12::DOUBLE) AS ewma_sentiment, R9(mom + 1e-12::DOUBLE) AS sentiment_momentum FROM daily_sent")
 def _(p):
-    return rounded(_daily(p).select("asset", "ts", "daily_sentiment", "ewma_sentiment", "sentiment_momentum"), 9)
+    # powers of 0.85 are finite decimals: an offset below the last digit keeps their ties from falling either way
+    d = _daily(p).withColumns({c: F.col(c) + 1e-12 for c in ("ewma_sentiment", "sentiment_momentum")})
+    return rounded(d.select("asset", "ts", "daily_sentiment", "ewma_sentiment", "sentiment_momentum"), 9)
 
 
 @query("score_sentiment", """
@@ -133,7 +135,7 @@ def _(p):
 def _ci_sql() -> str:
     mods = sc.MODULES
     src = "SELECT s.*, r FROM (SELECT asset, ts, CAST(regexp_extract(asset, '[0-9]+') AS BIGINT) AS k1, date_diff('day', DATE '1970-01-01', ts) AS k2, " + ", ".join(
-        f"CASE WHEN {m} IS NOT NULL THEN least(greatest({m}, 0), 100) END AS {m}" for m in mods) + " FROM scores_wide) s, (SELECT unnest(generate_series(1, 200)) AS r)"
+        f"CASE WHEN {m} IS NOT NULL THEN least(greatest({m}, 0), 100) END AS {m}" for m in mods) + " FROM scores_wide) s, (SELECT unnest(generate_series(1, 1000)) AS r)"
     for i in range(2 * len(mods)):
         src = sql_rounds(src, sql_mix("k1", "k2", f"r * 16 + {i}"), f"x{i}")
     src = "SELECT *, " + ", ".join(f"(x{i} + 0.5::DOUBLE) / {MOD}.0::DOUBLE AS u{i}" for i in range(2 * len(mods))) + f" FROM ({src})"
@@ -146,7 +148,7 @@ SELECT asset, ts, ({' + '.join(noisy)}) / ({cnt}) * (1 - 0.3 * (100 - M5) / 100)
 @query("composite_ci", _ci_sql())
 def _(p):
     w = sc.wide_scores(sc.clip_scores(p.module_scores())).withColumn("k1", F.regexp_extract("asset", "[0-9]+", 0).cast("bigint")).withColumn("k2", F.unix_date("ts").cast("bigint"))
-    return rounded(sc.composite_ci(w, ["asset", "ts"], sc.MODULES, "M5", ["k1", "k2"], replicates=200))
+    return rounded(sc.composite_ci(w, ["asset", "ts"], sc.MODULES, "M5", ["k1", "k2"]))
 
 
 @query("integrate", f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,12 +19,8 @@ STATEMENTS = ("income_stmt", "balance_sheet", "cash_flow")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/panelquant-{uuid.uuid4().hex}/{name}"
 
 
@@ -68,7 +63,9 @@ def scan_prices(spark, path, start=None, end=None, min_rows: int = 20, per_file:
         df = reader.schema(PRICE_SCHEMA).csv(path).select(_ticker_from_file().alias("asset"), "*")
     else:
         df = reader.schema(PRICE_SCHEMA + ", asset STRING").csv(path).withColumn("asset", F.upper(F.trim("asset")))
-    df = df.where("ts is not null").withColumn("_n", F.count(F.lit(1)).over(full())).where(F.col("_n") > min_rows)
+    df = df.where("ts is not null")
+    enough = df.groupBy("asset").count().where(F.col("count") > min_rows).select("asset")
+    df = df.join(enough, "asset", "left_semi")
     if start:
         df = df.where(F.col("ts") >= F.lit(start).cast("date"))
     if end:

@@ -83,6 +83,13 @@ class Panels:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def years(self) -> tuple[int, int]:
+        """First and last year with trades."""
+        if not hasattr(self, "_years"):
+            ts = F.to_date("l_shipdate")
+            self._years = tuple(self.table("lineitem").agg(F.min(F.year(ts)), F.max(F.year(ts))).first())
+        return self._years
+
     # -- prices ---------------------------------------------------------------------------
     def trades(self, asset: str = "p_brand") -> DataFrame:
         li = self.table("lineitem").select(

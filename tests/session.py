@@ -1,7 +1,6 @@
 """One Spark session for tests and tools."""
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,9 +15,8 @@ def make_spark(cpus: str | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark
