@@ -64,7 +64,10 @@ def holding_growth(targets: DataFrame, returns: DataFrame, keys: list[str]) -> t
     spans = spans.join(returns.groupBy(*shared).agg(cal), shared) if shared else spans.withColumn("_cal", returns.agg(cal).scalar())
     days = spans.withColumn("ts", F.explode(F.filter("_cal", lambda d: (d >= F.col("period")) & (d < F.col("nxt"))))).drop("_cal")
     w = Window.partitionBy(*shared, "period", "nxt", "asset").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    growth = days.join(returns.select(*shared, "ts", "asset", "r"), [*shared, "ts"]).withColumn("growth", running_product(1 + F.col("r"), w)).drop("r")
+    held = plan.select(*shared, "period", "nxt", "asset").distinct()
+    days = days.join(held, [*shared, "period", "nxt"]).join(returns.select(*shared, "ts", "asset", "r"), [*shared, "ts", "asset"], "left")
+    r = F.coalesce("r", F.lit(0.0))  # a day without a bar leaves the holding as it is
+    growth = days.withColumn("growth", running_product(1 + r, w)).drop("r")
     return plan, growth
 
 
