@@ -2,7 +2,8 @@
 
 A group (say, all assets of one date) may hold a large share of all rows, so it is never
 sorted in one task. Equal values are counted first; the distinct values are then cut into
-value-ordered buckets, each bucket is sorted on its own, and bucket totals give the offsets.
+value-ordered buckets, each bucket is sorted on its own, and bucket totals give the offsets. The number of buckets follows
+the number of distinct values of the group.
 """
 
 from __future__ import annotations
@@ -10,21 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+PER_BUCKET = 20_000  # distinct values that a bucket is meant to hold
+GRID = 1024  # cut points that are estimated; a group uses as many of them as it needs
 
 
-def value_ladder(df: DataFrame, keys: list[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
+def value_ladder(df: DataFrame, keys: list[str], value: str = "value", per_bucket: int = PER_BUCKET) -> DataFrame:
     """One row per (keys, distinct non-null value): ``cnt``, ``before`` (rows with a smaller
     value) and ``n`` (rows of the group)."""
     freq = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = freq.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
+    grid = F.percentile_approx(value, [i / GRID for i in range(1, GRID)], 10 * GRID)
+    step = F.greatest(F.floor(GRID / F.ceil(F.col("_values") / per_bucket)), F.lit(1))
+    cuts = freq.groupBy(*keys).agg(grid.alias("_grid"), F.count(F.lit(1)).alias("_values"))
+    cuts = cuts.select(*keys, F.filter("_grid", lambda _, i: (i + 1) % step == 0).alias("_cuts"))
     placed = freq.join(cuts, keys).select(
         *keys, value, "cnt",
         F.aggregate("_cuts", F.lit(0), lambda a, c: a + (c < F.col(value)).cast("int")).alias("_b"),
     )
     totals = placed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bn"))
-    over_buckets = Window.partitionBy(*keys).orderBy("_b")  # at most `buckets` rows per group
+    over_buckets = Window.partitionBy(*keys).orderBy("_b")  # at most GRID rows per group
     totals = totals.select(
         *keys, "_b",
         (F.sum("_bn").over(over_buckets) - F.col("_bn")).alias("_off"),

@@ -115,9 +115,9 @@ def candidate_portfolio_scoring(weights: DataFrame, mu: DataFrame, cov: DataFram
     d = ret.join(risk, [*keys, candidate]).withColumn(
         "sharpe_ratio", F.coalesce(div(F.col("expected_return") - risk_free, "expected_volatility"), F.lit(0.0)))
     if keys:
-        best = d.groupBy(*keys).agg(F.max_by(candidate, F.struct("sharpe_ratio", -F.col(candidate))).alias("_best"))
+        best = d.groupBy(*keys).agg(F.min_by(candidate, F.struct(F.coalesce(-F.col("sharpe_ratio"), F.lit(float("inf"))), candidate)).alias("_best"))
         return d.join(best, keys).withColumn("best", F.col(candidate) == F.col("_best")).drop("_best")
-    best = d.agg(F.max_by(candidate, F.struct("sharpe_ratio", -F.col(candidate))).alias("_best"))
+    best = d.agg(F.min_by(candidate, F.struct(F.coalesce(-F.col("sharpe_ratio"), F.lit(float("inf"))), candidate)).alias("_best"))
     return d.withColumn("best", F.col(candidate) == best.scalar())
 
 

@@ -12,6 +12,7 @@ from ..functions.dist import norm_cdf, norm_ppf
 from ..functions.gram import pair_moments
 from ..functions.mixing import mix, unit
 from ..functions.ranking import running_extreme, value_ladder
+from .returns import running_product
 
 GAMMA = 0.57721566490153286  # Euler-Mascheroni
 
@@ -163,13 +164,14 @@ STAGES = {"PASS": "Scale / Multi-Asset Deployment", "CONDITIONAL PASS": "Paper T
           "OVERFIT": "Reject & Redesign Alpha", "FAILED": "Reject"}
 
 
-def qualification_verdict(path: DataFrame, strategy: str = "strategy", value: str = "r", bm: str = "bm", max_drawdown="max_drawdown", n_trials: int = 10) -> DataFrame:
-    """Verdict ladder on deflated Sharpe, Sharpe, information ratio and drawdown. ``path`` carries the
-    drawdown as a column that is constant per strategy."""
+def qualification_verdict(path: DataFrame, strategy: str = "strategy", value: str = "r", bm: str = "bm", n_trials: int = 10) -> DataFrame:
+    """Verdict ladder on deflated Sharpe, Sharpe, information ratio and the path's own largest drawdown."""
     year = 252.0 ** 0.5
     act = F.col(value) - F.coalesce(bm, F.lit(0.0))
+    so_far = Window.partitionBy(strategy).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    path = path.withColumn("_w", running_product(1 + F.col(value), so_far)).withColumn("_dd", F.col("_w") / F.max("_w").over(so_far) - 1)
     a = path.groupBy(strategy).agg(F.coalesce(div(F.avg(act) * 252, F.stddev_samp(act) * year), F.lit(0.0)).alias("information_ratio"),
-                                   F.max(max_drawdown).alias("max_drawdown"))
+                                   F.min("_dd").alias("max_drawdown"))
     d = qualification_dsr(path, strategy, value, n_trials).join(a, strategy)
     dsr, sr = F.col("deflated_sharpe_ratio"), F.col("observed_sharpe")
     status = (F.when(dsr < 0.50, "OVERFIT").when((sr < 0.40) | (F.col("information_ratio") < 0), "FAILED")

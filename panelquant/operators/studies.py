@@ -139,7 +139,7 @@ def findings_headline(tests: DataFrame) -> DataFrame:
     """One row: how many pairs differ at 5 % after adjustment, and who wins (the higher Sharpe)."""
     win = F.when(F.col("sharpe_a") >= F.col("sharpe_b"), F.col("strategy_a")).otherwise(F.col("strategy_b"))
     lose = F.when(F.col("sharpe_a") >= F.col("sharpe_b"), F.col("strategy_b")).otherwise(F.col("strategy_a"))
-    text = F.concat(win, F.lit(" significantly outperforms "), lose, F.format_string(" (p=%.4f)", F.col("bootstrap_p")))
+    text = F.concat(win, F.lit(" significantly outperforms "), lose, F.format_string(" (p=%.4f)", F.col("bh_p")))
     top = F.greatest(F.struct(F.col("sharpe_a").alias("s"), F.col("strategy_a").alias("m")), F.struct(F.col("sharpe_b").alias("s"), F.col("strategy_b").alias("m")))
     g = tests.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("significant").alias("n_significant"), F.max(top).alias("best"),
                   F.array_join(F.array_sort(F.collect_list(F.when(F.col("significant"), text))), ". ").alias("list"))  # one entry per method pair

@@ -374,10 +374,12 @@ def _(p):
 
 @query("qualification_verdict", f"""
 WITH ir AS (SELECT asset AS strategy, avg(r - coalesce(bm, 0)) * 252 / (stddev_samp(r - coalesce(bm, 0)) * sqrt(252)) AS ir FROM ret_brand LEFT JOIN bm_brand USING (ts) GROUP BY asset),
-v AS (SELECT strategy, sr, {norm_cdf('z')} AS dsr, ir, -0.25::DOUBLE AS mdd FROM qual JOIN ir USING (strategy)),
+dd AS (SELECT strategy, min(wealth / top - 1) AS mdd FROM (SELECT strategy, wealth, max(wealth) OVER (PARTITION BY strategy ORDER BY ts) AS top FROM (
+  SELECT asset AS strategy, ts, exp(sum(ln(1 + r)) OVER (PARTITION BY asset ORDER BY ts)) AS wealth FROM ret_brand)) GROUP BY strategy),
+v AS (SELECT strategy, sr, {norm_cdf('z')} AS dsr, ir, mdd FROM qual JOIN ir USING (strategy) JOIN dd USING (strategy)),
 s AS (SELECT *, CASE WHEN dsr < 0.50 THEN 'OVERFIT' WHEN sr < 0.40 OR ir < 0 THEN 'FAILED' WHEN abs(mdd) > 0.35 THEN 'FAILED' WHEN dsr < 0.85 THEN 'CONDITIONAL PASS' ELSE 'PASS' END AS st FROM v)
 SELECT strategy, st AS qualification_status, CASE st WHEN 'PASS' THEN 'Scale / Multi-Asset Deployment' WHEN 'CONDITIONAL PASS' THEN 'Paper Trading / Small Capital Testing' WHEN 'OVERFIT' THEN 'Reject & Redesign Alpha' ELSE 'Reject' END AS deployment_stage,
   R6(sr) AS observed_sharpe, R6(dsr) AS deflated_sharpe_ratio, R6(ir) AS information_ratio FROM s""")
 def _(p):
-    d = p.returns().join(p.benchmark(), "ts", "left").select(F.col("asset").alias("strategy"), "ts", "r", "bm", F.lit(-0.25).alias("max_drawdown"))
+    d = p.returns().join(p.benchmark(), "ts", "left").select(F.col("asset").alias("strategy"), "ts", "r", "bm")
     return rounded(pt.qualification_verdict(d).select("strategy", "qualification_status", "deployment_stage", "observed_sharpe", "deflated_sharpe_ratio", "information_ratio"))

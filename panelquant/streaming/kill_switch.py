@@ -42,7 +42,11 @@ def bars_stream(ticks: DataFrame, key: str, value: str, delay: str = "1 day", wi
 
 
 def audit_stream(decisions: DataFrame, path: str, checkpoint: str):
-    """Append decision records of a stream to the audit trail."""
-    from ..sources.files import sink_audit_trail
+    """Write decision records of a stream to the audit trail, one folder per batch: a batch that is replayed replaces its own."""
+    return decisions.writeStream.foreachBatch(lambda df, batch: write_audit_batch(df, batch, path)).option("checkpointLocation", checkpoint)
 
-    return decisions.writeStream.foreachBatch(lambda df, _: sink_audit_trail(df, path)).option("checkpointLocation", checkpoint)
+
+def write_audit_batch(decisions: DataFrame, batch: int, path: str) -> None:
+    from ..sources.files import audit_records
+
+    audit_records(decisions).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/batch={batch}")
