@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, col, div
-from .pit import pit_statements, valid_at
+from .pit import STATEMENT_LAG_DAYS, pit_statements, valid_at
 
 # Short name -> (statement, item) as looked up by the quality and valuation scores.
 ITEM_NAMES = {
@@ -54,6 +54,11 @@ ALIASES = {
 }
 
 
+def published(statements: DataFrame, prices: DataFrame) -> DataFrame:
+    """The statements that were public at the date of the last price, so that a score doesn't look ahead of its price."""
+    return statements.where(F.date_add("period_end", STATEMENT_LAG_DAYS) <= prices.agg(F.max("ts")).scalar())
+
+
 def statement_item(statements: DataFrame, wants: dict | None = None, periods: int = 3, keys=("asset",)) -> DataFrame:
     """One row per key with columns <name>_<period>: the exact item, else the (alphabetically) first
     whose name contains the wanted one; period 0 is the statement's most recent period."""

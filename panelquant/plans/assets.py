@@ -19,7 +19,7 @@ def _fin_sql() -> str:
 SELECT asset, {cols} FROM (
   SELECT asset, name, pos, value, item, inexact, min(inexact || item) OVER (PARTITION BY asset, name) AS best, inexact || item AS mine FROM (
     SELECT s.asset, w.name, s.pos, s.value, s.item, CASE WHEN s.item = w.want THEN '0' ELSE '1' END AS inexact
-    FROM (SELECT *, dense_rank() OVER (PARTITION BY asset, stmt ORDER BY period_end DESC) - 1 AS pos FROM stmts) s
+    FROM (SELECT *, dense_rank() OVER (PARTITION BY asset, stmt ORDER BY period_end DESC) - 1 AS pos FROM stmts WHERE period_end + 45 <= (SELECT max(ts) FROM bars_brand)) s
     JOIN (VALUES {wants}) w(name, stmt, want) ON s.stmt = w.stmt AND contains(lower(s.item), lower(w.want))))
 WHERE mine = best GROUP BY asset"""
 
@@ -28,7 +28,7 @@ VIEWS["fin"] = _fin_sql()
 
 
 def _fin(p):
-    return fd.statement_item(p.statements())
+    return fd.statement_item(fd.published(p.statements(), p.closes()))
 
 
 SHOW = ["ni_0", "ni_1", "ca_0", "cl_0", "ebit_0", "ebitda_0", "cdebt_0", "cfo_0", "fcf_1"]

@@ -90,3 +90,12 @@ def test_years_come_from_the_data(spark, tmp_path):
     got = QUERIES["pit_price_history"](spark, str(tmp_path))
     assert got.where("as_of = '2003-12-31' and ts = '2003-03-03'").count() > 0
     assert QUERIES["align_business_days"](spark, str(tmp_path)).agg(F.max("ts")).first()[0] == "2003-12-31"
+
+
+def test_scores_do_not_see_later_statements(spark):
+    from panelquant.operators import fundamentals as fd
+
+    prices = spark.createDataFrame([("A", dt.date(2001, 3, 1), 1.0)], "asset string, ts date, close double")
+    rows = [("A", "income_stmt", d, "Net Income", v) for d, v in ((dt.date(2000, 12, 31), 1.0), (dt.date(2001, 1, 15), 2.0), (dt.date(2001, 1, 16), 3.0))]
+    s = spark.createDataFrame(rows, "asset string, stmt string, period_end date, item string, value double")
+    assert sorted(r.value for r in fd.published(s, prices).collect()) == [1.0, 2.0]  # public 45 days after the period
