@@ -26,9 +26,9 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def drop_settled(df: DataFrame) -> None:
-    """Delete the files behind a ``settle``d frame (of an earlier round of an iteration)."""
+    """Delete the files that a ``settle``d frame reads, when nothing reads them any more."""
     spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()[:1]}:
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

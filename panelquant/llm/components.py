@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_settled, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         # the label's own label of this round or the last one: both are reachable and not larger
         step = step.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
-        step = settle(step)
+        step, used = settle(step), labels
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("node", "label")
+        drop_settled(used)
         if not changed:
             return labels
