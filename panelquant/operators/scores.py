@@ -65,29 +65,41 @@ def risk_adjusted_score(df: DataFrame, composite: str = "composite", risk: str =
 
 
 def composite_ci(wide: DataFrame, entity, modules, risk: str, key: list[str], replicates: int = 1000, noise: float = 10.0,
-                 level: float = 0.90, lam: float = 0.3, seed: int = 42) -> DataFrame:
+                 level: float = 0.90, lam: float = 0.3, seed: int = 42, weights: DataFrame | None = None) -> DataFrame:
     """Percentile interval of the adjusted score under noise on every module score. Draws depend only
-    on (entity key, replicate, module), so a rerun repeats them. ``key`` holds one or two integer columns."""
-    d = wide.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    on (entity key, replicate, module), so a rerun repeats them. ``key`` holds one or two integer columns.
+    ``weights`` (module, weight) are rescaled to the modules that an entity has; without them all count alike."""
+    d = wide
+    if weights is not None:  # one entry per module
+        d = d.withColumn("_weights", weights.agg(F.map_from_entries(F.collect_list(F.struct("module", "weight")))).scalar())
+    share = lambda m: F.coalesce(F.col("_weights")[m], F.lit(0.0)) if weights is not None else F.lit(1.0)
+    d = d.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     d = d.withColumns({f"_z{i}": normal(*key, F.col("_r") * 16 + 2 * i, seed=seed) for i, _ in enumerate(modules)})
-    total, count = F.lit(0.0), F.lit(0)
+    total, count = F.lit(0.0), F.lit(0.0)
     for i, m in enumerate(modules):
         noisy = F.least(F.greatest(F.col(m) + noise * F.col(f"_z{i}"), F.lit(0.0)), F.lit(100.0))
-        total = total + F.when(F.col(m).isNotNull(), noisy).otherwise(0.0)
-        count = count + F.col(m).isNotNull().cast("int")
-    adj = total / F.nullif(count, F.lit(0)) * (1 - lam * (100.0 - F.col(risk)) / 100.0)
+        total = total + F.when(F.col(m).isNotNull(), share(m) * noisy).otherwise(0.0)
+        count = count + F.when(F.col(m).isNotNull(), share(m)).otherwise(0.0)
+    adj = total / F.nullif(count, F.lit(0.0)) * (1 - lam * (100.0 - F.col(risk)) / 100.0)
     tail = (1 - level) / 2
     g = d.select(*entity, adj.alias("_a")).groupBy(*entity).agg(F.percentile("_a", [tail, 1 - tail]).alias("_q"))
     return g.select(*entity, F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper"))
 
 
-def integrate(scores: DataFrame, entity=ENTITY, risk_module: str = "M5", scheme: str = "equal", lam: float = 0.3) -> DataFrame:
-    """Clip, weigh, combine and risk-adjust; fewer than three modules raises a warning flag."""
+def integrate(scores: DataFrame, entity=ENTITY, risk_module: str = "M5", scheme: str = "equal", lam: float = 0.3,
+              key: dict[str, Column] | None = None, modules=MODULES, replicates: int = 1000) -> DataFrame:
+    """Clip, weigh, combine and risk-adjust; fewer than three modules raises a warning flag. ``correlated`` lists the module pairs
+    that measure the same thing over all entities. ``key`` (integer columns of an entity) adds the noise interval."""
     s = clip_scores(scores)
-    c = composite_score(s, module_weights(s, scheme), entity)
+    weights = module_weights(s, scheme)
+    c = composite_score(s, weights, entity)
+    alike = module_correlation(s, entity).where("high").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("-", "module_a", "module_b"))), ", "))  # module pairs
     risk = s.where(F.col("module") == risk_module).select(*entity, F.col("score").alias("risk"))
     d = risk_adjusted_score(c.join(risk, list(entity), "left").withColumn("risk", F.coalesce("risk", F.lit(50.0))), lam=lam)
-    return d.withColumn("warning", F.when(F.col("n_modules") < 3, F.concat(
+    if key:
+        wide = wide_scores(s, entity, modules).withColumns({**key, "_risk": F.coalesce(risk_module, F.lit(50.0))})
+        d = d.join(composite_ci(wide, list(entity), modules, "_risk", list(key), replicates, lam=lam, weights=weights), list(entity))
+    return d.withColumn("correlated", alike.scalar()).withColumn("warning", F.when(F.col("n_modules") < 3, F.concat(
         F.lit("Only "), F.col("n_modules").cast("string"), F.lit(" modules produced valid scores"))).otherwise(""))
 
 

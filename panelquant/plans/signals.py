@@ -132,30 +132,43 @@ def _(p):
     return rounded(sc.risk_adjusted_score(d))
 
 
-def _ci_sql() -> str:
+def _ci_sql(scheme: str, risk: str) -> str:
+    """Unrounded (asset, ts, lo, hi)."""
     mods = sc.MODULES
+    weight = {m: f"max(CASE WHEN module = '{m}' THEN weight END)" if scheme == "vol_adjusted" else "1.0::DOUBLE" for m in mods}
     src = "SELECT s.*, r FROM (SELECT asset, ts, CAST(regexp_extract(asset, '[0-9]+') AS BIGINT) AS k1, date_diff('day', DATE '1970-01-01', ts) AS k2, " + ", ".join(
         f"CASE WHEN {m} IS NOT NULL THEN least(greatest({m}, 0), 100) END AS {m}" for m in mods) + " FROM scores_wide) s, (SELECT unnest(generate_series(1, 1000)) AS r)"
     for i in range(2 * len(mods)):
         src = sql_rounds(src, sql_mix("k1", "k2", f"r * 16 + {i}"), f"x{i}")
     src = "SELECT *, " + ", ".join(f"(x{i} + 0.5::DOUBLE) / {MOD}.0::DOUBLE AS u{i}" for i in range(2 * len(mods))) + f" FROM ({src})"
-    noisy = [f"CASE WHEN {m} IS NOT NULL THEN least(greatest({m} + 10.0 * sqrt(-2 * ln(u{2 * i})) * cos(2 * pi() * u{2 * i + 1}), 0), 100) ELSE 0 END" for i, m in enumerate(mods)]
-    cnt = " + ".join(f"({m} IS NOT NULL)::INT" for m in mods)
-    return f"""SELECT asset, D(ts) AS ts, R6(quantile_cont(a, 0.05)) AS ci_lower, R6(quantile_cont(a, 0.95)) AS ci_upper FROM (
-SELECT asset, ts, ({' + '.join(noisy)}) / ({cnt}) * (1 - 0.3 * (100 - M5) / 100) AS a FROM ({src})) GROUP BY asset, ts"""
+    noisy = [f"CASE WHEN {m} IS NOT NULL THEN w_{m} * least(greatest({m} + 10.0 * sqrt(-2 * ln(u{2 * i})) * cos(2 * pi() * u{2 * i + 1}), 0), 100) ELSE 0 END" for i, m in enumerate(mods)]
+    cnt = " + ".join(f"CASE WHEN {m} IS NOT NULL THEN w_{m} ELSE 0 END" for m in mods)
+    return f"""SELECT asset, ts, quantile_cont(a, 0.05) AS lo, quantile_cont(a, 0.95) AS hi FROM (
+SELECT asset, ts, ({' + '.join(noisy)}) / ({cnt}) * (1 - 0.3 * (100 - {risk}) / 100) AS a FROM ({src}), (SELECT {", ".join(f"{weight[m]} AS w_{m}" for m in mods)} FROM mweights)) GROUP BY asset, ts"""
 
 
-@query("composite_ci", _ci_sql())
+def _key() -> dict:
+    return {"k1": F.regexp_extract("asset", "[0-9]+", 0).cast("bigint"), "k2": F.unix_date("ts").cast("bigint")}
+
+
+@query("composite_ci", f"SELECT asset, D(ts) AS ts, R6(lo) AS ci_lower, R6(hi) AS ci_upper FROM ({_ci_sql('vol_adjusted', 'M5')})")
 def _(p):
-    w = sc.wide_scores(sc.clip_scores(p.module_scores())).withColumn("k1", F.regexp_extract("asset", "[0-9]+", 0).cast("bigint")).withColumn("k2", F.unix_date("ts").cast("bigint"))
-    return rounded(sc.composite_ci(w, ["asset", "ts"], sc.MODULES, "M5", ["k1", "k2"]))
+    s = sc.clip_scores(p.module_scores())
+    return rounded(sc.composite_ci(sc.wide_scores(s).withColumns(_key()), ["asset", "ts"], sc.MODULES, "M5", ["k1", "k2"], weights=sc.module_weights(s, "vol_adjusted")))
 
 
 @query("integrate", f"""
-SELECT {E}, n_modules, R6(composite) AS composite, R6(coalesce(risk, 50)) AS risk, R6(0.3 * (100 - coalesce(risk, 50)) / 100) AS penalty, R6(composite * (1 - 0.3 * (100 - coalesce(risk, 50)) / 100)) AS adjusted,
-  CASE WHEN n_modules < 3 THEN 'Only ' || n_modules || ' modules produced valid scores' ELSE '' END AS warning FROM compos_eq""")
+WITH ci AS ({_ci_sql("equal", "coalesce(M5, 50)").replace("FROM mweights", "")}),
+mp AS (SELECT a.module AS module_a, b.module AS module_b, a.score AS x, b.score AS y FROM clipped a JOIN clipped b ON a.asset = b.asset AND a.ts = b.ts AND a.module < b.module),
+mr AS (SELECT module_a, module_b, rank() OVER (PARTITION BY module_a, module_b ORDER BY x) + (count(*) OVER (PARTITION BY module_a, module_b, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY module_a, module_b ORDER BY y) + (count(*) OVER (PARTITION BY module_a, module_b, y) - 1) / 2.0 AS ry FROM mp),
+hi AS (SELECT coalesce(string_agg(pair, ', ' ORDER BY pair), '') AS correlated FROM (SELECT module_a || '-' || module_b AS pair FROM mr GROUP BY module_a, module_b HAVING count(*) >= 5 AND abs(corr(rx, ry)) > 0.7))
+SELECT {E}, n_modules, R6(composite) AS composite, R6(coalesce(risk, 50)) AS risk, R6(0.3 * (100 - coalesce(risk, 50)) / 100) AS penalty, R6(composite * (1 - 0.3 * (100 - coalesce(risk, 50)) / 100) + 1e-9::DOUBLE) AS adjusted,
+  R6(lo) AS ci_lower, R6(hi) AS ci_upper, correlated, CASE WHEN n_modules < 3 THEN 'Only ' || n_modules || ' modules produced valid scores' ELSE '' END AS warning
+FROM compos_eq JOIN ci USING (asset, ts), hi""")
 def _(p):
-    return rounded(sc.integrate(p.module_scores()))
+    # scores are multiples of a twelfth: an offset below the last digit keeps their ties from falling either way
+    return rounded(sc.integrate(p.module_scores(), key=_key()).withColumn("adjusted", F.col("adjusted") + 1e-9))
 
 
 @query("walkforward_score", f"SELECT {E}, greatest(0::DOUBLE, least(100::DOUBLE, (coalesce(M1, 50) + coalesce(M2, 50) + coalesce(M3, 50) + coalesce(M4, 50)) / 4 * (1 - 0.25::DOUBLE * (100 - coalesce(M5, 50)) / 100))) AS score FROM scores_wide")
