@@ -10,8 +10,8 @@ candidate only if its prefixes share min(l, l') n-grams, and each document may c
    fewer than o shared ones is alone. The rest are ordered by rising frequency; each node picks the l for which the estimated
    cost, postings read plus candidates to verify (at most postings / l), is least.
 4. A posting list isn't expanded into all its pairs. First every node is verified against the best one of its lists' pivots, and
-   the links found are merged into components. Then only pairs from different components are formed, where sizes and numbers
-   of shared n-grams still allow a link, counted against min(l, l'), and verified in full.
+   the links found are merged into components. Then only pairs from different components are formed, where sizes, numbers
+   of shared n-grams and places in the prefixes still allow a link with min(l, l') matches or more, and are verified in full.
 """
 
 from __future__ import annotations
@@ -150,11 +150,11 @@ def _similar(inter: str, n: str, m: str, percent: int):
     return F.expr(f"100 * {inter} >= {percent} * ({n} + {m} - {inter})")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar; ``sets`` has (node, n, grams), the shared n-grams of each node."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b")), "b")
-    inter = two.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("inter"))
+def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar: those with min(l, l') matches in the prefixes, then in full."""
+    side = lambda x: candidates.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "n", "l", "prefix", "grams")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("l_a", "l_b"))
+    inter = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("inter"))
     return inter.where(_similar("inter", "n_a", "n_b", percent)).select("a", "b")
 
 
@@ -212,7 +212,6 @@ _NODE = ("node", "n", "s", "l", "width", "at")
 
 def similar_links(candidates: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect exactly the nodes that similar pairs connect."""
-    sets = candidates.select("node", "n", "grams")
     index = candidates.select("node", "n", "s", "l", F.size("prefix").alias("width"), F.posexplode("prefix").alias("at", "gram"))
 
     # the pivot of a list is the node with the smallest share of n-grams of its own
@@ -222,7 +221,7 @@ def similar_links(candidates: DataFrame, percent: int) -> DataFrame:
     at_pivot = index.select("gram", *[F.col(c).alias(f"{c}_a") for c in _NODE]).join(pivots, "gram").where((F.col("node_a") != F.col("node_b")) & _may_reach(percent))
     best = at_pivot.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("hits"))
     best = best.groupBy("node_a").agg(F.max(F.struct("hits", "node_b")).alias("best")).select(F.col("node_a").alias("a"), F.col("best.node_b").alias("b"))
-    stars = settle(_verified(best, sets, percent))
+    stars = settle(_verified(best, candidates, percent))
 
     labels = components(stars)
     labelled = settle(index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -232,10 +231,8 @@ def similar_links(candidates: DataFrame, percent: int) -> DataFrame:
     left = rows.where("label <> main").select("gram", *[F.col(c).alias(f"{c}_a") for c in (*_NODE, "label")])
     right = rows.select("gram", "main", *[F.col(c).alias(f"{c}_b") for c in (*_NODE, "label")])
     met = (left["gram"] == right["gram"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-    met = left.join(right, met & _may_reach(percent)).groupBy("node_a", "node_b").agg(
-        F.count(F.lit(1)).alias("hits"), F.first(F.struct("n_a", "s_a", "l_a", "width_a", "n_b", "s_b", "l_b", "width_b")).alias("x")).select("node_a", "node_b", "hits", "x.*")
-    crossing = met.where((F.col("hits") >= F.least("l_a", "l_b")) & _reaches("hits", percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return stars.union(_verified(crossing, sets, percent))
+    crossing = left.join(right, met & _may_reach(percent) & _first_shared(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return stars.union(_verified(crossing, candidates, percent))
 
 
 def _reaches(in_prefixes: str, percent: int):
@@ -252,6 +249,15 @@ def _may_reach(percent: int):
     return _reaches("(least(at_a, at_b) + 1 + least(width_a - at_a, width_b - at_b) - 1)", percent)
 
 
+def _first_shared(percent: int):
+    """Whether the n-gram can be the first one that a and b share: as many as a link needs in the prefixes must still follow.
+
+    A similar pair is met at its first shared n-gram, so the others, which only repeat it, aren't formed."""
+    shared = f"((n_a + n_b) * {percent} + {99 + percent}) div {100 + percent}"
+    need = f"greatest({shared} - greatest(s_a - width_a, s_b - width_b), least(l_a, l_b))"
+    return F.expr(f"at_a <= width_a - {need} and at_b <= width_b - {need}")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (one text of each class is), row_id (hash of the text).
 
