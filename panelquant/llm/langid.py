@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
