@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import full, null_nan
+from ..functions.columns import null_nan
 
 PRICE_SCHEMA = "ts DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, adj_close DOUBLE, volume BIGINT"
 STATEMENT_SCHEMA = (
