@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 META = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 _BY_SPACE = re.compile(r" *[^ ]+| +")
-CACHED = 800_000  # chunks that a Python worker remembers, about 200 bytes each
+CACHED = 400_000  # chunks that a Python worker remembers, about 200 bytes each
 LONGEST = 48  # characters of a chunk that is merged on a list and remembered
 NEVER = 1 << 62
 PLACE = 6  # bits of a place in a chunk of at most LONGEST characters
