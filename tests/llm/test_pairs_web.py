@@ -120,6 +120,27 @@ def test_pieces_match_the_model_without_dropout():
         assert p._merge_short(chunk, key, 1 << 27) == p._merge_long(chunk, key, 1 << 27)
 
 
+def test_every_occurrence_skips_merges_of_its_own(monkeypatch):
+    p, rng = pieces.Pieces(pieces.installed_model()), random.Random(12)
+    word = "representations"
+    over_texts = {tuple(ids.tolist()) for ids in p.encode_many([word] * 400, list(range(400)), 0.1, 1)}
+    assert len(over_texts) > 8  # with four variants there were at most four
+    chunks = [" " + word] * 400
+    keys = pieces.occurrence_keys(1, [7], np.array([400]))
+    assert len({tuple(p.merge(c, k, 107374182)) for c, k in zip(chunks, keys.tolist(), strict=True)}) > 8
+    assert 0.05 < np.mean([pieces._hash(k, 0, 5) < 107374182 for k in keys.tolist()]) < 0.15
+    parts = ["the", "ing", " ", "  ", "É", "語", "\n", "12", "foo_bar", "();", "antidis", "x" * 70, " " * 9, "A"]
+    for _ in range(60):  # what is remembered gives the ids of merging each occurrence alone
+        monkeypatch.setattr(pieces, "CACHED", rng.choice([10, 600_000]))
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(20)]
+        doc_keys = [rng.getrandbits(64) - (1 << 63) for _ in texts]
+        cut = [p.chunks(" " + t) if t else [] for t in texts]
+        keys = iter(pieces.occurrence_keys(3, doc_keys, np.array([len(c) for c in cut])).tolist())
+        dropout = rng.choice([0.1, 0.5, 1.0])
+        for chunks, ids in zip(cut, p.encode_many(texts, doc_keys, dropout, 3), strict=True):
+            assert ids.tolist() == [i for c in chunks for i in p.merge(c, next(keys), int(dropout * (1 << 30)))]
+
+
 def test_pieces_table(spark):
     texts = ["Hello  world\n", None, "", LONG, "same", "same", "  lead"]
     docs = documents(spark, [*enumerate(texts), (None, "no id")], "ids")
