@@ -2,7 +2,7 @@
 
 Trust starts at hosts with allowed pages and follows the links; distrust starts at hosts with blocked pages and follows them
 backwards: who links to a blocked host is suspect. Both are personalised PageRanks over the same host edges, computed in one
-iteration on a doubled edge table. Mass is a whole number of billionths of a seed, so every run and engine gives equal sums.
+iteration on a doubled edge table that goes on until they have converged. Mass is a whole number of billionths of a seed, so every run and engine gives equal sums.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, settle
+from .common import drop_settled, lower_ascii, settle
 
 #: Fixed values: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -55,25 +55,31 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return edges.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = 10, settle_every: int = 4) -> DataFrame:
-    """(host, trust, distrust) after ``steps`` rounds from seeds (host, trust, distrust); mass at hosts without links is lost."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: int = UNIT // 20_000, settle_every: int = 4) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, trust, distrust); mass at hosts without links is lost.
+
+    A wave starts with the share of the seeds that stays and walks until all that it can still bring, to all hosts together, is
+    under ``tolerance``. Whole numbers let every wave die out."""
     both = edges.select(F.lit(0).alias("kind"), "src", "dst").union(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
     both = settle(both.join(degree, ["kind", "src"]))
     start = seeds.select(F.expr("stack(2, 0, host, trust, 1, host, distrust)").alias("kind", "src", "mass")).where("mass > 0")
-    start = settle(start)
-    back = start.select("kind", "src", F.expr(f"mass * {STAY} div 20").alias("mass"))
-    mass = start
-    for step in range(1, steps + 1):
-        moved = both.join(mass, ["kind", "src"]).select("kind", F.col("dst").alias("src"), F.expr(f"mass * {WALK} div (20 * degree)").alias("mass"))
-        mass = moved.union(back).groupBy("kind", "src").agg(F.sum("mass").alias("mass")).where("mass > 0")
-        if step % settle_every == 0 and step < steps:
-            mass = settle(mass)
+    mass = settle(start.select("kind", "src", F.expr(f"mass * {STAY} div 20").alias("mass")).withColumn("wave", F.col("mass")))
+    left = UNIT
+    while left * WALK >= tolerance * (20 - WALK) and left:
+        before = mass
+        for _ in range(settle_every):
+            moved = both.join(mass.where("wave > 0"), ["kind", "src"]).select("kind", F.col("dst").alias("src"), F.expr(f"wave * {WALK} div (20 * degree)").alias("wave"))
+            mass = moved.where("wave > 0").select("kind", "src", F.col("wave").alias("mass"), "wave").union(mass.select("kind", "src", "mass", F.lit(0).cast("long")))
+            mass = mass.groupBy("kind", "src").agg(F.sum("mass").alias("mass"), F.sum("wave").alias("wave"))
+        mass = settle(mass)
+        drop_settled(before)
+        left = mass.agg(F.sum("wave")).first()[0] or 0
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0))
     return mass.groupBy(F.col("src").alias("host")).agg(pick(0).alias("trust"), pick(1).alias("distrust"))
 
 
-def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = 0.5, steps: int = 10) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = 0.5) -> DataFrame:
     """``pages`` with columns host, path, rule, verdict, trust, distrust.
 
     Without a fitting rule a page is blocked when its host's distrust exceeds its trust by ``threshold`` (1: a host all of
@@ -85,7 +91,7 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=
     ruled = pages.select(host.alias("host"), verdict_of(rule, rules).alias("verdict"))
     share = lambda v: F.expr(f"sum(if(verdict = '{v}', 1, 0)) * {UNIT} div count(*)")
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(host_edges(pages, url_col, html_col), seeds, steps).select(
+    scores = propagate(host_edges(pages, url_col, html_col), seeds).select(
         F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "trust", "distrust")]
     rows = pages.select(F.struct(*own).alias("page"), host.alias("host"), path.alias("path"), rule.alias("rule"))

@@ -200,6 +200,30 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_ranks_on_long_chains_are_converged(spark):
+    edges = [(f"c{k + 1}", f"c{k}") for k in range(14)] + [(f"f{k + 1}", f"f{k}") for k in range(24)] + [("f0", f"s{k}") for k in range(200)]
+    bad = ["c0", *(f"s{k}" for k in range(200))]
+    out, back = {}, {}
+    for a, b in edges:
+        back.setdefault(b, []).append(a)
+    wave = dict.fromkeys(bad, 0.15)
+    for _ in range(200):  # distrust walks from a host to those that link to it
+        for h, m in wave.items():
+            out[h] = out.get(h, 0) + m
+        new = {}
+        for h, m in wave.items():
+            for a in back.get(h, ()):
+                new[a] = new.get(a, 0) + 0.85 * m / len(back[h])
+        wave = new
+    links = spark.createDataFrame(edges, "src string, dst string")
+    seeds = spark.createDataFrame([(h, 0, urls.UNIT) for h in bad], "host string, trust long, distrust long")
+    got = {r.host: r.distrust / urls.UNIT for r in urls.propagate(links, seeds).collect()}
+    assert all(got.get(h, 0) == pytest.approx(m, abs=1e-4) for h, m in out.items())
+    blocked = {h for h, m in got.items() if m >= 0.075}
+    assert {f"c{k}" for k in range(15)} & blocked == {f"c{k}" for k in range(5)}
+    assert {f"f{k}" for k in range(25)} <= blocked
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p><p>x";</script><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/a>A</a></li></ul></nav>
 <div class="cookie-notice">We use cookies on this site to make it better for all of you.</div>
 <article><h1>Head&amp;line</h1><p>One  paragraph<br>with &lt;b&gt; &eacute; and <a href=x>a link</a> in it that goes on for a while.<p>Short.
