@@ -3,8 +3,8 @@
 The field scores whole candidate segments: features look at the segment's digits, groups, separators, check sums and at the
 characters beside it. Segments have at most ``MAX_TOKENS`` tokens; a dynamic program over token ends picks boundaries and
 types of all segments of a region at once, against the score zero of leaving a token out. A region is a run of
-space-separated chunks that each hold a digit or an at-sign; text outside regions can't hold a candidate segment, so the
-program over regions equals the program over the whole text.
+space-separated chunks that each hold a digit or an at-sign, or nothing but signs such as '-' and '('; text outside regions can't
+hold a candidate segment, so the program over regions equals the program over the whole text.
 
 Weights maximise the conditional likelihood of labelled regions: a small hand-made table, and regions of a bounded sample of
 documents labelled by the base rules.
@@ -34,6 +34,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.S)
 _SIGN = re.compile(r"[0-9@]+")
 _SPACE = re.compile(r"\s")
+_OCTETS = re.compile(r"[0-9](?:\.[0-9]++){3}")
+_BETWEEN = "()+-."
 
 #: Labelled regions: (text, spans as text, kind). A region without spans is all outside.
 LABELLED = (
@@ -114,7 +116,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Runs of chunks with a digit or an at-sign that can hold a segment: seven digits or an at-sign."""
+    """Runs of chunks with a digit or an at-sign, and of the signs before them that a segment may hold or start with, if they can
+    hold a segment: seven digits, an at-sign or four numbers with dots. Single spaces lie between the chunks of a run."""
     out: list[list[int]] = []
     for m in _SIGN.finditer(text):
         if out and m.start() < out[-1][1]:
@@ -124,11 +127,16 @@ def regions(text: str) -> list[tuple[int, int]]:
             a -= 1
         space = _SPACE.search(text, m.end())
         b = space.start() if space else len(text)
-        if out and a - out[-1][1] == 1 and text[a - 1] == " ":
+        last = out[-1][1] if out else 0
+        while a - 2 >= last and text[a - 1] == " " and text[a - 2] in _BETWEEN:
+            a -= 1
+            while a > last and text[a - 1] in _BETWEEN:
+                a -= 1
+        if out and a - last == 1 and text[last] == " ":
             out[-1][1] = b
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out if "@" in (part := text[a:b]) or sum(c in "0123456789" for c in part) >= 7]
+    return [(a, b) for a, b in out if "@" in (part := text[a:b]) or sum(c in "0123456789" for c in part) >= 7 or _OCTETS.search(part)]
 
 
 def _beside(c: str) -> str:

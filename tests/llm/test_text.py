@@ -129,6 +129,24 @@ def test_semi_crf():
     assert all([k for k, _, _ in model.decode(t, 0, len(t))] == [kind] for t, kind in held_out)
 
 
+def test_regions_equal_the_whole_text():
+    model = pii.SemiCRF().fit(pii.labelled_examples() * 4)
+    over_regions = lambda t: [s for a, b in pii.regions(t) for s in model.decode(t, a, b)]
+    for text in ("(212) 555 - 0142", "555 - 010 - 2030", "4111 - 1111 - 1111 - 1111", "tel( 212 ) 555 - 0142", "+ 49 30 1234567", "v 1.2.3.4 x"):
+        assert over_regions(text) == model.decode(text, 0, len(text)), text
+    assert [(k, s, e) for k, s, e in over_regions("(212) 555 - 0142")] == [("phone", 0, 16)]
+    rng, found = random.Random(9), 0
+    parts = [*"()-+. a@\n", " ", " ", " - ", "555", "010", "2030", "1", "4111", "1111", "(212)", "1.2.3.4", "  "]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 18)))
+        whole = pii.candidates(text, 0, len(text))
+        segments = lambda c: {(c[0][i], c[0][j], k) for i, j, k in c[1]}
+        assert set().union(*(segments(pii.candidates(text, a, b)) for a, b in pii.regions(text))) == segments(whole), text
+        assert over_regions(text) == model.decode(text, 0, len(text)), text
+        found += bool(whole[1])
+    assert found > 1000
+
+
 def test_pii_table(spark):
     texts = ["mail ann@example.com or +1 (826) 555-4081 190.137.2.5", None, "", "no data at all", LONG + " 10.0.0.1", "é 4111 1111 1111 1111", "é 4111 1111 1111 1111", "junk 1234567890123456 v1.2.3"]
     docs = documents(spark, texts, "pii")
