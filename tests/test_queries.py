@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from panelquant.operators import decisions as dc
+from panelquant.plans import backtests
 from panelquant.sources import files
 from panelquant.sources.panels import Panels
 from panelquant.streaming.kill_switch import bars_stream, kill_switch_stream
@@ -80,3 +81,12 @@ def test_streaming_bars_equal_batch(spark, tmp_path):
     got = _run(bars_stream(live, "event_type", "value", delay="0 seconds"), "bars", tmp_path)
     batch = bars_stream(ev, "event_type", "value")
     assert got.exceptAll(batch).count() == 0 and got.count() > 0
+
+
+def test_regimes_scale_asset_and_benchmark_returns_alike(spark):
+    p = Panels(spark, SF)
+    ratio = lambda d, a, b: d.where(f"abs({b}) > 1e-6").select(F.round(F.max(F.col(b) / F.col(a)), 6)).first()[0]
+    bm = p.benchmark("p_type").select("ts", F.col("bm").alias("whole_bm"))
+    r = p.returns("p_type").select("asset", "ts", F.col("r").alias("whole_r"))
+    path = backtests._asset_path(p)
+    assert ratio(path.join(bm, "ts"), "bm", "whole_bm") == ratio(path.join(r, ["asset", "ts"]), "r", "whole_r") == 50
