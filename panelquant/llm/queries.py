@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, html, jaccard, langid, pieces, pii, secrets, shard, urls
-from .common import ids_text, sha256_hex
+from . import align, decontaminate, exact, html, jaccard, langid, lines, pieces, pii, search, secrets, shard, urls
+from .common import ids_text, settle, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,3 +200,47 @@ def op9(read):
 def op10(read):
     return html.extract(read("pages").select("page_id", "url", "html")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_ranked_search", f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+v AS (SELECT DISTINCT term FROM q),
+p AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+c AS (SELECT doc_id, term, any_value(p.n) AS n, count(*) AS tf FROM p JOIN v USING (term) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(s.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, s GROUP BY 1),
+g AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * c.n * s.n) // s.l))) AS part FROM c JOIN w USING (term), s),
+r AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN g USING (term) GROUP BY 1, 2 HAVING sum(part) > 0)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM r
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 50
+""")
+def op11(read):
+    return search.search(read("documents"), read("benchmark"), k=50)
+
+
+@query("op12_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+f AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first IS NOT NULL AND doc_id > first) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL OR doc_id <= first), '')) AS kept_sha256
+FROM l LEFT JOIN f USING (key) GROUP BY 1
+""")
+def op12(read):
+    docs = lines.drop_repeated_lines(read("documents").select("doc_id", "text"))
+    return docs.select("doc_id", "kept.n_lines", "kept.n_dropped", sha256_hex(F.col("kept.text")).alias("kept_sha256"))
+
+
+@query("op13_alignment")
+def op13(read):
+    a, b = align.installed("byte_bpe_50k.json"), align.installed("piece_bpe_32k.model")
+    found = align.align(read("documents").select("doc_id", "text"), a, b)
+    digest = F.when(F.col("n_a") > 0, sha256_hex(F.col("groups"))).otherwise("").alias("groups_sha256")
+    rows = settle(found.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"))
+    return align.count_links(rows, align.b_size(a, b)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
