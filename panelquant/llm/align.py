@@ -27,10 +27,12 @@ from pyspark.sql import types as T
 from .common import settle
 
 META = "▁"
-TOGETHER = 2_000_000  # characters that are aligned in one go
+TOGETHER = 1_000_000  # characters that are aligned in one go
 SEGMENT = 1_000_000  # longer texts are cut where both tokenizers must cut
 STRIDE = 32  # ends between two that gallop from further back
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
+CACHED = 200_000  # words whose ids a Python worker remembers, some 300 bytes each
+LONGEST = 64  # characters of a word that is remembered
+_CUT = re.compile(r" (?=\S)(?<=\S )")  # a single space between other signs: both tokenizers cut before it
 
 
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -118,6 +120,7 @@ class Aligner:
         self.b_size = np.array([len(b) for b in self.b_bytes], np.int64)
         #: texts may be cut before a word if no piece goes over the space before it
         self.cuts = all(META not in sp.id_to_piece(i).lstrip(META) for i in range(sp.vocab_size()))
+        self.words: dict[str, tuple[bytes, bytes] | None] = {}
         na, self.n_b = len(self.a_bytes), len(self.b_bytes)
         #: decimal ids with what follows them: inside a group, at the end of its A side, at the end of its B side
         self.shown = [f"{i}{end}" for end in ",|" for i in range(na)] + [f"{i}{end}" for end in ",;" for i in range(self.n_b)]
@@ -125,31 +128,54 @@ class Aligner:
     def segments(self, text: str, limit: int) -> list[str]:
         """A space and the text, cut into parts that start with a space and on which both tokenizers work alone."""
         text, out, begin = " " + text, [], 0
-        while self.cuts and len(text) - begin > limit and (cut := _CUT.search(text, begin + limit)):
+        while self.cuts and len(text) - begin > limit and (cut := _CUT.search(text, begin + limit)):  # a space that is part of what follows
             out.append(text[begin:cut.start()])
             begin = cut.start()
         return [*out, text[begin:]]
 
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of A and B of each part; None where joined bytes differ from the part."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in parts], num_threads=1)
+    def encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of A and B of each part, which starts with a space; None where joined bytes differ from the part.
+
+        A word's ids don't depend on its neighbours, so each new word is encoded once and its ids are remembered."""
+        words = [_CUT.split(p[1:]) if self.cuts else [p[1:]] for p in parts]
+        seen = self.words
+        new = list(dict.fromkeys(w for of in words for w in of if w not in seen))
+        if len(seen) + len(new) > CACHED:
+            seen.clear()
+            new = list(dict.fromkeys(w for of in words for w in of))
+        seen.update(zip(new, self._encode([" " + w for w in new]), strict=True))
+        out = []
+        for of in words:
+            found = [*map(seen.__getitem__, of)]
+            out.append(None if None in found else tuple(np.frombuffer(b"".join(side), np.int32) for side in zip(*found, strict=True)))
+        for w in new:
+            if len(w) > LONGEST:
+                del seen[w]
+        return out
+
+    def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids as bytes of int32, which join faster than lists."""
         a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         out = []
-        for part, x, y in zip(parts, a, b, strict=True):
-            raw = part.encode()
-            out.append((x, y) if b"".join(map(a_of, x)) == raw and b"".join(map(b_of, y)) == raw else None)
+        for at in range(0, len(parts), 1000):
+            some = parts[at:at + 1000]
+            a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+            b = self.b.encode([p[1:] for p in some], num_threads=1)
+            for part, x, y in zip(some, a, b, strict=True):
+                raw = part.encode()
+                same = b"".join(map(a_of, x)) == raw and b"".join(map(b_of, y)) == raw
+                out.append((np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes()) if same else None)
         return out
 
-    def align(self, parts: list[tuple[list[int], list[int]]]) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+    def align(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
         """(number of groups, groups as text, distinct linked pairs a * n_b + b, how often each) of each part, ids of A and B given."""
         out: list = [None] * len(parts)
         for a_drives in (True, False):  # the shorter list of a part drives
             names = [i for i, (x, y) in enumerate(parts) if (len(x) <= len(y)) is a_drives]
             if not names:
                 continue
-            a = np.concatenate([np.array(parts[i][0], np.int64) for i in names])
-            b = np.concatenate([np.array(parts[i][1], np.int64) for i in names])
+            a = np.concatenate([parts[i][0] for i in names]).astype(np.int64)
+            b = np.concatenate([parts[i][1] for i in names]).astype(np.int64)
             a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])  # ends of parts are common ends
             if a_drives:
                 link_a, link_b, last_a, last_b = overlaps(a_end, b_end)
@@ -220,8 +246,7 @@ def align(docs: DataFrame, a_json: bytes, b_model: bytes, id_col: str = "doc_id"
     A reads a space and the text, B the text, to which it adds that space. ``groups`` holds the decimal ids of A and B between common
     ends, as ``a1,a2|b1;a3|b2,b3``. ``pairs`` are the distinct linked id pairs, a * (size of B) + b, ``times`` their occurrences in
     the text. A null or empty text, or one whose tokens don't join to its bytes, has no tokens: zeros, an empty string, empty arrays.
-    Texts of over ``segment`` characters are cut where both tokenizers cut anyway, before a word of Latin letters that follows a
-    single space, so memory doesn't grow with them if they have such places. Repeated rows and ids, null ids too, are rows of their own; the
+    Texts of over ``segment`` characters are cut where both tokenizers cut anyway, at a single space between other signs, so memory doesn't grow with them if they have such places. Repeated rows and ids, null ids too, are rows of their own; the
     other columns are not read. An empty table gives no rows."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((a_json, b_model))

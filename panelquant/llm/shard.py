@@ -62,8 +62,11 @@ def first_map(sizes: list[tuple[int, int, int]], n_shards: int) -> list[tuple]:
 
 
 def rebalanced(old: list[tuple], n_shards: int) -> list[tuple]:
-    """The next version for ``n_shards`` (more or fewer). Slots of shards that are given up go to the lightest shard, largest
-    first; then slots move from the heaviest to the lightest shard while that brings the two closer. All others stay."""
+    """The next version for ``n_shards``.
+
+    More shards: slots move from the heaviest shards into the new ones only, while that brings the two closer. Fewer: the slots of
+    the shards that are given up go to the lightest ones, largest first, and no other moves. As many: slots move from the heaviest to
+    the lightest shard."""
     load = dict.fromkeys(range(n_shards), 0)
     held: dict[int, list[tuple]] = {shard: [] for shard in load}
     homeless = []
@@ -78,10 +81,12 @@ def rebalanced(old: list[tuple], n_shards: int) -> list[tuple]:
         load[shard] += one[0]
         bisect.insort(held[shard], one)
 
+    new = [shard for shard, slots in held.items() if not slots]
+    takers = [] if homeless else new or list(load)
     for one in sorted(homeless, reverse=True):
         put(min(load, key=lambda k: (load[k], k)), one)
-    while load:
-        heavy, light = max(load, key=lambda k: (load[k], -k)), min(load, key=lambda k: (load[k], k))
+    while takers:
+        heavy, light = max(load, key=lambda k: (load[k], -k)), min(takers, key=lambda k: (load[k], k))
         gap = load[heavy] - load[light]
         k = max(0, bisect.bisect_right(held[heavy], (gap / 2, 1 << 62, 0)) - 1)
         if not held[heavy] or held[heavy][k][0] >= gap:
