@@ -30,7 +30,8 @@ META = "▁"
 TOGETHER = 1_000_000  # characters that are aligned in one go
 SEGMENT = 1_000_000  # longer texts are cut where both tokenizers must cut
 STRIDE = 32  # ends between two that gallop from further back
-CACHED = 200_000  # words whose ids a Python worker remembers, some 300 bytes each
+CACHED = 400_000  # words whose ids a Python worker remembers, some 200 bytes each
+BLOCK = 50_000  # characters of new words that are encoded as one text
 LONGEST = 64  # characters of a word that is remembered
 _CUT = re.compile(r" (?=\S)(?<=\S )")  # a single space between other signs: both tokenizers cut before it
 
@@ -120,7 +121,7 @@ class Aligner:
         self.b_size = np.array([len(b) for b in self.b_bytes], np.int64)
         #: texts may be cut before a word if no piece goes over the space before it
         self.cuts = all(META not in sp.id_to_piece(i).lstrip(META) for i in range(sp.vocab_size()))
-        self.words: dict[str, tuple[bytes, bytes] | None] = {}
+        self._forget()
         na, self.n_b = len(self.a_bytes), len(self.b_bytes)
         #: decimal ids with what follows them: inside a group, at the end of its A side, at the end of its B side
         self.shown = [f"{i}{end}" for end in ",|" for i in range(na)] + [f"{i}{end}" for end in ",;" for i in range(self.n_b)]
@@ -138,34 +139,69 @@ class Aligner:
 
         A word's ids don't depend on its neighbours, so each new word is encoded once and its ids are remembered."""
         words = [_CUT.split(p[1:]) if self.cuts else [p[1:]] for p in parts]
-        seen = self.words
-        new = list(dict.fromkeys(w for of in words for w in of if w not in seen))
-        if len(seen) + len(new) > CACHED:
-            seen.clear()
-            new = list(dict.fromkeys(w for of in words for w in of))
-        seen.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-        out = []
-        for of in words:
-            found = [*map(seen.__getitem__, of)]
-            out.append(None if None in found else tuple(np.frombuffer(b"".join(side), np.int32) for side in zip(*found, strict=True)))
+        flat = [w for of in words for w in of]
+        place = self.words
+        new = [w for w in dict.fromkeys(flat) if w not in place]
+        if len(place) + len(new) > CACHED:
+            self._forget()
+            place, new = self.words, [*dict.fromkeys(flat)]
+        self._remember(new)
+        at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        first = np.cumsum([0, *map(len, words)])
+        good = np.minimum.reduceat(at, first[:-1]) >= 0 if parts else []
+        sides = []
+        for ids, begin in ((self.a_ids, self.a_at), (self.b_ids, self.b_at)):
+            n = np.where(at >= 0, begin[at + 1] - begin[at], 0)
+            sides.append(np.split(ids[_ranges(begin[at], n)], np.cumsum(np.add.reduceat(n, first[:-1]))[:-1]) if parts else [])
         for w in new:
             if len(w) > LONGEST:
-                del seen[w]
-        return out
-
-    def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids as bytes of int32, which join faster than lists."""
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        out = []
-        for at in range(0, len(parts), 1000):
-            some = parts[at:at + 1000]
-            a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            b = self.b.encode([p[1:] for p in some], num_threads=1)
-            for part, x, y in zip(some, a, b, strict=True):
-                raw = part.encode()
-                same = b"".join(map(a_of, x)) == raw and b"".join(map(b_of, y)) == raw
-                out.append((np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes()) if same else None)
-        return out
+                del place[w]
+        return [(a, b) if ok else None for a, b, ok in zip(*sides, good, strict=True)]
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}  # place of a word, -1 if its bytes differ
+        self.a_ids, self.b_ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.a_at, self.b_at = np.zeros(1, np.int64), np.zeros(1, np.int64)  # where the ids of a place begin; one more than places
+
+    def _remember(self, words: list[str]) -> None:
+        """Encode new words, many as one text with single spaces between them: their ends are ends of both tokenizers."""
+        group, size, found = [], 0, []
+        for w in words:
+            if not self.cuts or not w or w[0].isspace() or w[-1].isspace():
+                found += self._encode([w])
+                continue
+            group.append(w)
+            size += len(w)
+            if size > BLOCK:
+                found += self._encode(group)
+                group, size = [], 0
+        found += self._encode(group) if group else []
+        n = len(self.a_at) - 1
+        for of, a, a_n, b, b_n in found:
+            self.words.update(zip(of, range(n, n + len(of)), strict=True) if a is not None else dict.fromkeys(of, -1))
+            n += len(of) if a is not None else 0
+        good = [f for f in found if f[1] is not None]
+        self.a_ids, self.b_ids = (np.concatenate([ids, *(f[k] for f in good)]) for ids, k in ((self.a_ids, 1), (self.b_ids, 3)))
+        self.a_at, self.b_at = (
+            np.concatenate([at, at[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in good)]))]) for at, k in ((self.a_at, 2), (self.b_at, 4)))
+
+    def _encode(self, words: list[str]) -> list[tuple]:
+        """(words, ids of A, their number in each word, ids of B, their number); no ids for a word whose bytes differ."""
+        text = " ".join(words)
+        raw = (" " + text).encode()
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        if b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw:
+            ends = np.cumsum([len(w.encode()) + 1 for w in words])
+            sides = []
+            for ids, size in ((a, self.a_size), (b, self.b_size)):
+                ids = np.array(ids, np.int32)
+                upto = np.searchsorted(np.cumsum(size[ids]), ends) + 1
+                sides += [ids, np.diff(upto, prepend=0)]
+            return [(words, *sides)]
+        if len(words) == 1:
+            return [(words, None, None, None, None)]
+        half = len(words) // 2  # some word is to blame
+        return self._encode(words[:half]) + self._encode(words[half:])
 
     def align(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
         """(number of groups, groups as text, distinct linked pairs a * n_b + b, how often each) of each part, ids of A and B given."""
