@@ -84,3 +84,19 @@ def test_rebalance_moves_slots_only_as_needed(spark):
     shard.write_map(spark, old, path)
     assert shard.write_map(spark, new, path).select("shard").distinct().count() == 9
     assert shard.read_map(spark, path, 1).select("shard").distinct().count() == 8
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_rebalance_over_random_sizes(seed):
+    rng = random.Random(seed)
+    k = rng.randint(1, 12)
+    sizes = [(slot, rng.randint(1, 1000), 1) for slot in range(rng.randint(k, 400))]
+    old = shard.first_map(sizes, k)
+    was = {r[0]: r[1] for r in old}
+    more = shard.rebalanced(old, k + rng.randint(1, 4))
+    assert all(r[1] in (was[r[0]], *range(k, k + 5)) for r in more)  # only new shards receive
+    load = lambda rows, shards: [sum(r[2] for r in rows if r[1] == n) for n in shards]
+    assert max(load(more, range(k))) <= max(load(old, range(k)))
+    less = rng.randint(1, k)
+    fewer = {r[0]: r[1] for r in shard.rebalanced(old, less)}
+    assert all(fewer[s] == was[s] if was[s] < less else fewer[s] < less for s in was)  # only homeless slots move
