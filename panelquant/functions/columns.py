@@ -26,6 +26,13 @@ def div(a, b) -> Column:
     return col(a) / F.nullif(col(b), F.lit(0.0))
 
 
+def safe_corr(x, y) -> Column:
+    """Correlation over the rows that have both values; NULL where a side is constant (``corr`` divides by zero there)."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x)), F.when(both, col(y))
+    return F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)), F.lit(0.0))
+
+
 def null_nan(c) -> Column:
     c = col(c)
     return F.when(~F.isnan(c), c)

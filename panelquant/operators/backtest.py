@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import by_time, div, running, spread, trailing, unpivot, when_full
 from ..sources.files import cut
@@ -14,9 +17,10 @@ from .returns import running_product
 from .risk import complete_dates
 
 YEAR = 252.0 ** 0.5
+Y_COEFF = 0.30  # of the square-root impact
 
 
-def impact_bps(trade: Column, adv: Column, vol: Column, y_coeff: float = 0.30) -> Column:
+def impact_bps(trade: Column, adv: Column, vol: Column, y_coeff: float = Y_COEFF) -> Column:
     """Square-root impact in basis points; ADV has a floor of 10,000."""
     part = F.abs(trade) / F.greatest(adv, F.lit(10000.0))
     return F.when(trade == 0, 0.0).otherwise(y_coeff * vol * F.sqrt(F.least(part, F.lit(1.0))) * 10000)
@@ -98,38 +102,15 @@ def portfolio_path(targets: DataFrame, returns: DataFrame, liquidity: DataFrame,
                    linear_bps: float = 5.0) -> DataFrame:
     """Daily value after trading costs: (keys, ts, value, r_gross, r_net, cost, impact, turnover).
 
-    Growth, turnover and liquidity are set-oriented; only the AUM after costs is sequential, one array
-    fold per portfolio with one entry per rebalance, assets in name order."""
+    Growth, turnover and liquidity are set-oriented. Only the wealth after costs is sequential (``cost_fold``): trades in order of
+    period and asset name, one pass over a sorted partition."""
     t = normalise_targets(targets, keys)
     plan, growth = holding_growth(cut(t), cut(returns), keys)
     growth = cut(growth)
     path = gross_path(plan, growth, keys)
     trades = asof_join(rebalance_trades(plan, growth, keys), liquidity, ["asset"], "period", "ts", ["adv", "vol"])  # the last row known then
-    per = trades.groupBy(*keys, "period").agg(
-        F.array_sort(F.collect_list(F.struct("asset", F.abs("dw").alias("q"), F.coalesce("adv", F.lit(50e6)).alias("adv"),
-                                             F.coalesce("vol", F.lit(0.015)).alias("vol")))).alias("trades"),
-        (F.sum(F.abs("dw")) / 2).alias("turnover"))
     ends = path.groupBy(*keys, "period").agg(F.max_by("ratio", "ts").alias("growth"))
-    book = per.join(ends, [*keys, "period"]).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("period", "trades", "growth", "turnover"))).alias("book"))
-
-    def trade(acc: Column, x: Column) -> Column:
-        q = x["q"] * acc["aum"]
-        imp = q * impact_bps(q, x["adv"], x["vol"]) / 10000
-        cost = q * linear_bps / 10000 + imp
-        return F.struct((acc["aum"] - cost).alias("aum"), (acc["cost"] + cost).alias("cost"), (acc["impact"] + imp).alias("impact"))
-
-    def period(acc: Column, x: Column) -> Column:
-        zero = F.struct(acc["aum"].alias("aum"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("impact"))
-        after = F.aggregate(x["trades"], zero, trade)
-        row = F.struct(x["period"].alias("period"), after["aum"].alias("start"), after["cost"].alias("cost"),
-                       after["impact"].alias("impact"), x["turnover"].alias("turnover"))
-        return F.struct((after["aum"] * x["growth"]).alias("aum"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    ptype = dict(path.dtypes)["period"]
-    start = F.struct(F.lit(float(capital)).alias("aum"), F.array().cast(
-        f"array<struct<period:{ptype},start:double,cost:double,impact:double,turnover:double>>").alias("rows"))
-    chain = book.select(*keys, F.explode(F.aggregate("book", start, period)["rows"]).alias("c")).select(*keys, "c.*")
+    chain = cost_fold(trades.join(ends, [*keys, "period"]), keys, capital, linear_bps)
     d = path.join(chain, [*keys, "period"])
     value = F.col("start") * F.col("ratio")
     w = Window.partitionBy(*keys).orderBy("ts")
@@ -140,6 +121,50 @@ def portfolio_path(targets: DataFrame, returns: DataFrame, liquidity: DataFrame,
                     *[F.when(first, F.col(c)).otherwise(0.0).alias(c) for c in ("cost", "impact", "turnover")])
 
 
+def cost_fold(trades: DataFrame, keys: list[str], capital: float = 1e7, linear_bps: float = 5.0) -> DataFrame:
+    """(keys, period, start, cost, impact, turnover) of each rebalance: wealth after its trades, and what they cost.
+
+    ``trades`` holds (keys, period, asset, dw, adv, vol, growth), ``growth`` being the portfolio's until the next rebalance. Portfolios are
+    hash-partitioned and sorted by (period, asset); wealth is carried through the sorted stream, so a portfolio may have any number of
+    trades. Nothing but the running sums of one rebalance is held. Unknown liquidity counts as 50e6 and 0.015."""
+    kinds = [f for f in trades.select(*keys, "period").schema]
+    out = T.StructType([*kinds, *(T.StructField(c, T.DoubleType()) for c in ("start", "cost", "impact", "turnover"))])
+    rows = trades.select(*keys, "period", F.abs("dw").alias("q"), F.coalesce("adv", F.lit(50e6)).alias("adv"),
+                         F.coalesce("vol", F.lit(0.015)).alias("vol"), "growth", "asset")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "period", "asset").drop("asset")
+    k = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner = period = None
+        wealth = cost = impact = turnover = last = 0.0
+        for batch in batches:
+            columns, done = [c.to_pylist() for c in batch.columns], []
+            for *name, q, adv, vol, growth in zip(*columns, strict=True):
+                if name != period:
+                    if period is not None:
+                        done.append((*period, wealth, cost, impact, turnover / 2))
+                    wealth = wealth * last if name[:k] == owner else float(capital)
+                    owner, period, last = name[:k], name, growth
+                    cost = impact = turnover = 0.0
+                size = q * wealth
+                part = math.sqrt(min(abs(size) / max(adv, 10000.0), 1.0)) if size else 0.0
+                hit = size * (Y_COEFF * vol * part * 10000) / 10000
+                paid = size * linear_bps / 10000 + hit
+                wealth, cost, impact, turnover = wealth - paid, cost + paid, impact + hit, turnover + q
+            yield _records(done, out)
+        if period is not None:
+            yield _records([(*period, wealth, cost, impact, turnover / 2)], out)
+
+    return rows.mapInArrow(fold, out)
+
+
+def _records(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+
 METRICS = ["total_return", "annualised_return", "volatility", "sharpe_ratio", "sortino_ratio", "max_drawdown", "calmar_ratio",
            "information_ratio", "beta", "alpha", "benchmark_total_return", "benchmark_annualised_return",
            "benchmark_volatility", "benchmark_sharpe", "hit_rate", "win_loss_ratio"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, col, div
-from .pit import STATEMENT_LAG_DAYS, pit_statements, valid_at
+from ..functions.columns import clip, col, div, running
+from .pit import STATEMENT_LAG_DAYS, valid_at
 
 # Short name -> (statement, item) as looked up by the quality and valuation scores.
 ITEM_NAMES = {
@@ -253,26 +253,6 @@ def recent_values(items: DataFrame, keys=("asset",)) -> DataFrame:
     return items.where("value is not null").withColumn("k", F.row_number().over(w) - 1)
 
 
-def _recent(canonical: str, n: int | None = None) -> Column:
-    """The values of an item, the latest ``n`` periods or all."""
-    own = F.col("canonical") == canonical
-    return F.when(own if n is None else own & (F.col("k") < n), F.col("value"))
-
-
-def ttm(canonical: str, n: int = 4) -> Column:
-    v = _recent(canonical, n)
-    return F.when(F.count(v) == n, F.sum(v))
-
-
-def latest(canonical: str) -> Column:
-    return F.max(_recent(canonical, 1))
-
-
-def average(canonical: str, n: int = 2) -> Column:
-    v = _recent(canonical, n)
-    return F.when(F.count(v) == n, F.avg(v))
-
-
 def _per_canonical(recent: DataFrame, n: int, agg, out: str, keys=("asset",)) -> DataFrame:
     v = F.when(F.col("k") < n, F.col("value"))
     return recent.groupBy(*keys, "canonical").agg(F.when(F.count(v) == n, agg(v)).alias(out))
@@ -293,11 +273,55 @@ def avg_item(recent: DataFrame, n: int = 2, keys=("asset",)) -> DataFrame:
 KEYS = ("as_of", "asset")
 
 
+def statement_states(statements: DataFrame, aliases: dict[str, list[str]] | None = None, lag_days: int = STATEMENT_LAG_DAYS, keep: int = 8) -> DataFrame:
+    """(asset, known_from, one array per canonical item): what was known after each publication of an asset.
+
+    An array is the ring of the item's last ``keep`` non-null periods, oldest first. A row holds from its date until the asset's next
+    one, so a decision date picks one row and no statement is repeated for later dates. Of several aliases of an item the first in order that
+    has been published counts from then on."""
+    aliases = aliases or ALIASES
+    table = F.array(*[F.struct(F.lit(c).alias("canonical"), F.lit(a).alias("alias"), F.lit(i).alias("pri"))
+                      for c, names in aliases.items() for i, a in enumerate(names)])
+    d = statements.withColumn("_a", F.explode(F.filter(table, lambda a: a["alias"] == F.col("item"))))
+    d = d.select("asset", F.col("_a.canonical").alias("canonical"), F.col("_a.pri").alias("pri"), "period_end", "value")
+    item = ["asset", "canonical", "pri"]
+    values = Window.partitionBy(*item, F.col("value").isNull()).orderBy("period_end").rowsBetween(1 - keep, 0)
+    ring = F.when(F.col("value").isNotNull(), F.collect_list("value").over(values))
+    d = d.withColumn("ring", ring)
+    so_far = Window.partitionBy(*item).orderBy("period_end").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("ring", F.coalesce(F.last("ring", ignorenulls=True).over(so_far), F.array().cast("array<double>")))
+    of_day = d.groupBy("asset", "canonical", F.date_add("period_end", lag_days).alias("known_from")).agg(F.min(F.struct("pri", "ring")).alias("s"))
+    days = Window.partitionBy("asset", "canonical").orderBy("known_from").rowsBetween(Window.unboundedPreceding, 0)
+    of_day = of_day.withColumn("_best", F.min("s.pri").over(days)).where("s.pri = _best")  # later news of a lesser alias changes nothing
+    wide = of_day.groupBy("asset", "known_from").agg(*[F.max(F.when(F.col("canonical") == c, F.col("s.ring"))).alias(c) for c in aliases])
+    run = running("asset", "known_from")
+    return wide.select("asset", "known_from", *[F.coalesce(F.last(c, ignorenulls=True).over(run), F.array().cast("array<double>")).alias(c) for c in aliases])
+
+
+def _states_at(statements: DataFrame, as_of: list) -> DataFrame:
+    """The state of each asset with any known value at each date."""
+    known = F.greatest(*[F.size(c) for c in ALIASES]) > 0
+    return valid_at(statement_states(statements), as_of, "asset", "known_from").where(known)
+
+
+def _last(ring: str, n: int) -> Column:
+    """The latest n values, NULL if there are fewer."""
+    return F.when(F.size(ring) >= n, F.slice(ring, -n, n))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _newest(ring: str) -> Column:
+    return F.try_element_at(ring, F.lit(-1))
+
+
 def factor_value(statements: DataFrame, prices: DataFrame, as_of: list) -> DataFrame:
     """Earnings yield, book to market and cash-flow yield from what was published at each date."""
-    recent = recent_values(statement_alias_item(pit_statements(statements, as_of), keys=KEYS), KEYS)
-    f = recent.groupBy(*KEYS).agg(
-        latest("shares").alias("shares"), ttm("net_income").alias("ni"), latest("book_value").alias("bv"), ttm("ocf").alias("ocf"))
+    f = _states_at(statements, as_of).select(
+        *KEYS, _newest("shares").alias("shares"), _total(_last("net_income", 4)).alias("ni"), _newest("book_value").alias("bv"),
+        _total(_last("ocf", 4)).alias("ocf"))
     px = valid_at(prices.select("asset", "ts", "close"), as_of).select("as_of", "asset", "close")
     j = px.join(f, list(KEYS), "left")
     cap = F.nullif(F.col("close") * F.coalesce("shares", F.lit(1.0)), F.lit(0.0))
@@ -307,17 +331,13 @@ def factor_value(statements: DataFrame, prices: DataFrame, as_of: list) -> DataF
 
 def factor_quality(statements: DataFrame, as_of: list) -> DataFrame:
     """ROE, ROCE, earnings stability over eight periods, minus debt to equity."""
-    recent = recent_values(statement_alias_item(pit_statements(statements, as_of), keys=KEYS), KEYS)
-    e, ni = _recent("eps", 8), _recent("net_income", 8)
-    f = recent.groupBy(*KEYS).agg(
-        ttm("net_income").alias("ni"), average("book_value").alias("eq2"), ttm("ebit").alias("ebit"),
-        latest("total_assets").alias("ta"), latest("current_liab").alias("cl"), latest("book_value").alias("eq"),
-        latest("total_debt").alias("debt"), F.count(_recent("eps")).alias("n_eps"),
-        F.count(e).alias("ne"), F.avg(e).alias("me"), F.stddev_samp(e).alias("se"),
-        F.count(ni).alias("nn"), F.avg(ni).alias("mn"), F.stddev_samp(ni).alias("sn"))
-    own = F.col("n_eps") > 0
-    n, m, s = (F.when(own, F.col(a)).otherwise(F.col(b)) for a, b in (("ne", "nn"), ("me", "mn"), ("se", "sn")))
+    f = _states_at(statements, as_of).select(
+        *KEYS, _total(_last("net_income", 4)).alias("ni"), (_total(_last("book_value", 2)) / 2).alias("eq2"), _total(_last("ebit", 4)).alias("ebit"),
+        _newest("total_assets").alias("ta"), _newest("current_liab").alias("cl"), _newest("book_value").alias("eq"),
+        _newest("total_debt").alias("debt"), F.when(F.size("eps") > 0, _last("eps", 8)).otherwise(F.when(F.size("eps") == 0, _last("net_income", 8))).alias("e"))
+    f = f.withColumn("m", _total(F.col("e")) / 8)
+    spread2 = F.aggregate("e", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m")))
     return f.select(
         *KEYS, div("ni", "eq2").alias("roe"), div("ebit", F.col("ta") - F.col("cl")).alias("roce"),
-        F.when(n == 8, 1 - s / F.nullif(F.abs(m), F.lit(0.0))).alias("earnings_stability"),
+        (1 - F.sqrt(spread2 / 7) / F.nullif(F.abs("m"), F.lit(0.0))).alias("earnings_stability"),
         (-div("debt", "eq")).alias("leverage"))

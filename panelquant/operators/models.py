@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, trailing, when_full
+from ..functions.columns import clip, safe_corr, trailing, when_full
 from ..functions.mixing import mix
 from ..sources.files import cut
 
@@ -26,7 +26,7 @@ def _pipeline(features: list[str], kind: str, seed: int = 42, trees: int = 100,
 
 
 def _ic(df: DataFrame) -> float:
-    v = df.agg(F.corr("prediction", "y")).first()[0]
+    v = df.agg(safe_corr("prediction", "y")).first()[0]
     return 0.0 if v is None or v != v else float(v)
 
 

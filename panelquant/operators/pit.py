@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, trailing
+from ..functions.columns import by_time, safe_corr, trailing
 
 STATEMENT_LAG_DAYS = 45
 MACRO_LAG_DAYS = 30
@@ -84,10 +84,9 @@ def pit_macro(macro: DataFrame, as_of: list, lag_days: int = MACRO_LAG_DAYS) ->
 def leakage_reverse_corr(df: DataFrame, signal: str, target: str, horizon: int, limit: float = 0.98) -> DataFrame:
     """Correlation of the signal moved back by the horizon with the target; passes up to the limit."""
     lead = df.withColumn("_s", F.lead(signal, horizon).over(by_time()))
-    both = F.col("_s").isNotNull() & F.col(target).isNotNull()
     g = lead.groupBy("asset").agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr(F.when(both, F.col("_s")), F.when(both, F.col(target))).alias("reverse_corr"))
+        safe_corr("_s", target).alias("reverse_corr"))
     bad = F.coalesce(F.abs("reverse_corr") > limit, F.lit(False)) & (F.col("n") >= 10)
     return g.withColumn("passed", ~bad)
 
@@ -184,5 +183,5 @@ def validate_treatment_equiv(raw: DataFrame, keys: list[str], value: str, treatm
 def validate_target_independence(df: DataFrame, score: str, fwd: str, limit: float = 0.5) -> DataFrame:
     """Correlation of a score with the next forward return; passes up to the limit."""
     d = df.withColumn("_n", F.lead(fwd).over(by_time())).where(F.col("_n").isNotNull() & F.col(score).isNotNull())
-    g = d.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.corr(score, "_n").alias("corr"))
+    g = d.groupBy("asset").agg(F.count(F.lit(1)).alias("n"), safe_corr(score, "_n").alias("corr"))
     return g.withColumn("passed", (F.col("n") < 2) | F.coalesce(F.abs("corr") <= limit, F.lit(True)))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, div
+from ..functions.columns import by_time, div, safe_corr
 from ..functions.linear import moment_columns, moment_names, ols_from_moments, solve_moments
 from ..functions.ranking import average_rank
 
@@ -175,7 +175,7 @@ def rank_robustness(composite: DataFrame, xs=FACTORS) -> DataFrame:
     pairs = F.flatten(F.transform("t", lambda a: F.transform("t", lambda b: F.struct(
         a["treatment"].alias("treatment_a"), b["treatment"].alias("treatment_b"), a["rk"].alias("x"), b["rk"].alias("y")))))
     d = one.select("factor", F.explode(pairs).alias("p")).select("factor", "p.*")
-    g = d.groupBy("factor", "treatment_a", "treatment_b").agg(F.corr("x", "y").alias("c"))
+    g = d.groupBy("factor", "treatment_a", "treatment_b").agg(safe_corr("x", "y").alias("c"))
     return g.groupBy("treatment_a", "treatment_b").agg(F.avg("c").alias("rank_correlation"))
 
 

@@ -49,6 +49,23 @@ def dq_timestamp_gaps(df: DataFrame, max_gap_days: int = 5) -> DataFrame:
     return df.select("asset", "ts", gap.cast("bigint").alias("gap_days")).where(F.col("gap_days") > max_gap_days)
 
 
+def source_quality(df: DataFrame, keys: list[str], ts: str, values: list[str], max_gap_days: int | None = None) -> DataFrame:
+    """One row for any source: n_rows, missing values, repeated (keys, date) rows, gaps of over ``max_gap_days`` and whether it passes
+    (no repeats).
+
+    Rows are first counted by keys and date, so a key with very many rows is added up before it is put in order."""
+    missing = sum((F.count_if(F.col(v).isNull()) for v in values), F.lit(0))
+    day = df.groupBy(*keys, F.col(ts).cast("date").alias("_day")).agg(F.count(F.lit(1)).alias("k"), missing.alias("m"))
+    wide = F.lit(0)
+    if max_gap_days is not None:
+        day = day.withColumn("gap", F.datediff("_day", F.lag("_day").over(by_time(keys, "_day"))))
+        wide = F.count_if(F.col("gap") > max_gap_days)
+    g = day.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("m"), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("repeated"), wide.cast("bigint").alias("gaps"))
+    return g.withColumn("passed", (F.col("repeated") == 0).cast("int"))
+
+
 def dq_stationarity(returns: DataFrame, value: str = "r", alpha: float = 0.05, min_rows: int = 30) -> DataFrame:
     """ADF test of each asset's returns (one row per date, so a group is bounded by the calendar)."""
     def test(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, col, running, sample_kurtosis, sample_skew
+from ..functions.columns import by_time, col, running, safe_corr, sample_kurtosis, sample_skew
 
 
 def log_returns(prices: DataFrame, price: str = "close", dropna: bool = True) -> DataFrame:
@@ -64,7 +64,7 @@ def annualised_return(returns: DataFrame, value: str = "r", periods: int = 252,
 
 def compare_return_methods(returns: DataFrame, arith: str = "r", log: str = "lr") -> DataFrame:
     """Mean, deviation, bias-corrected skew and kurtosis of both methods and their correlation."""
-    aggs = [F.corr(arith, log).alias("correlation")]
+    aggs = [safe_corr(arith, log).alias("correlation")]
     for name, c in (("Arithmetic", arith), ("Logarithmic", log)):
         aggs += [F.struct(F.lit(name).alias("method"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                           sample_skew(c).alias("skewness"), sample_kurtosis(c).alias("kurtosis")).alias(f"_{name}")]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, clip, div, full, rolling_pair_sums, rolling_slope, running, spread, trailing, when_full, with_params
+from ..functions.columns import by_time, clip, div, full, rolling_pair_sums, rolling_slope, running, safe_corr, spread, trailing, when_full, with_params
 from ..functions.dist import t4_ppf
 from ..functions.gram import pair_moments
 from ..functions.ranking import average_rank
@@ -104,7 +104,7 @@ def beta(returns: DataFrame, benchmark: DataFrame, value: str = "r", window: int
     j = returns.join(benchmark, "ts").select("asset", "ts", F.col(value).alias("x"), F.col("bm").alias("y"))
     j = rolling_pair_sums(j, "x", "y", window).withColumn("roll", F.when(F.col("r_n") >= window, rolling_slope(1e-12)))
     g = j.groupBy("asset").agg(
-        F.covar_samp("x", "y").alias("c"), F.var_samp("y").alias("v"), F.var_samp("x").alias("vx"), F.corr("x", "y").alias("rho"),
+        F.covar_samp("x", "y").alias("c"), F.var_samp("y").alias("v"), F.var_samp("x").alias("vx"), safe_corr("x", "y").alias("rho"),
         F.count(F.lit(1)).alias("n"), F.max_by("roll", "ts").alias("rolling_beta"))
     b = F.coalesce(div("c", "v"), F.lit(1.0))
     g = g.withColumn("beta", b)

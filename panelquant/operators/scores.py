@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, clip, div
+from ..functions.columns import by_time, clip, div, safe_corr
 from ..functions.mixing import normal
 from ..functions.ranking import average_rank
 
@@ -39,7 +39,7 @@ def module_correlation(scores: DataFrame, entity=ENTITY, min_rows: int = 5, high
     keys = ["module_a", "module_b"]
     d = average_rank(d, keys, "x", out="rx", n="n")
     d = average_rank(d, keys, "y", out="ry", n="n2")
-    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("correlation")).where(F.col("n") >= min_rows)
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), safe_corr("rx", "ry").alias("correlation")).where(F.col("n") >= min_rows)
     return g.withColumn("high", F.abs("correlation") > high)
 
 

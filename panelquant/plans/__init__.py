@@ -1,4 +1,4 @@
 """Named queries over the given tables and the SQL they are checked against."""
 
-from . import ingest, panel, assets, regressions, portfolio, signals, backtests, research  # noqa: F401
+from . import ingest, panel, assets, regressions, portfolio, signals, backtests, research, universe  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -120,12 +120,6 @@ def _(p):
         "candidate", "ts", "ratio", "r_gross"), 8)
 
 
-@query("portfolio_path_net")
-def _(p):
-    t, r = _targets(p)
-    return rounded(bt.portfolio_path(t, r, bt.adv_and_vol_asof(p.closes("p_type")), ["candidate"]), 6)
-
-
 def metrics_sql(source: str, keys: str) -> str:
     return f"""
 SELECT {keys}, n, tr AS total_return, ann AS annualised_return, vol AS volatility, sh AS sharpe_ratio, CASE WHEN down > 0 THEN (ann - 0.0252) / down ELSE sh END AS sortino_ratio, mdd AS max_drawdown,
@@ -141,32 +135,79 @@ SELECT {keys}, n, tr AS total_return, ann AS annualised_return, vol AS volatilit
     GROUP BY {keys} HAVING count(r) >= 20))"""
 
 
-# Returns of the synthetic prices are noise of several hundred percent a day; a 500th of them compounds to ordinary figures.
+# Returns of the synthetic prices are noise of several hundred percent a day. CALM of them compounds to ordinary figures over
+# years; the regimes take REGIME, so that their fixed limits of 20 % are crossed.
+CALM, REGIME = 500, 50
+
+
 def _metrics_out(sql: str, keys: str) -> str:
     return f"SELECT {keys}, n, " + ", ".join(f"R6({m}) AS {m}" for m in bt.METRICS) + f" FROM ({sql})"
 
 
-@query("performance_metrics", _metrics_out(metrics_sql("SELECT asset, year(ts) AS fold, ts, r / 500 AS r, bm / 500 AS bm FROM ret_type JOIN bm_type USING (ts)", "asset, fold"), "asset, fold"))
+@query("performance_metrics", _metrics_out(metrics_sql(f"SELECT asset, year(ts) AS fold, ts, r / {CALM} AS r, bm / {CALM} AS bm FROM ret_type JOIN bm_type USING (ts)", "asset, fold"), "asset, fold"))
 def _(p):
     d = p.returns("p_type").join(p.benchmark("p_type"), "ts").select(
-        "asset", F.year("ts").alias("fold"), "ts", (F.col("r") / 500).alias("r"), (F.col("bm") / 500).alias("bm"))
+        "asset", F.year("ts").alias("fold"), "ts", (F.col("r") / CALM).alias("r"), (F.col("bm") / CALM).alias("bm"))
     return rounded(bt.performance_metrics(d, ["asset", "fold"]))
 
 
 VIEWS["bt_train"] = "SELECT wf.fold, r.asset, avg(r) / stddev_samp(r) * 25 + 50 AS score FROM wf JOIN bt_ret r USING (ts) WHERE role = 'train' GROUP BY ALL"
-VIEWS["bt_ret"] = "SELECT ts, asset, r / 500 AS r FROM ret_ok"
+VIEWS["bt_ret"] = f"SELECT ts, asset, r / {CALM} AS r FROM ret_ok"
 VIEWS["bt_w"] = """
 SELECT fold, asset, c / sum(c) OVER (PARTITION BY fold) AS w FROM (SELECT fold, asset, least(greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY fold), 0.40) AS c FROM bt_train)"""
+# Trades of a candidate in order of period and asset; the recursion carries its wealth from one to the next.
+VIEWS["net_h"] = "SELECT h.candidate, h.ts AS period, n.nxt, h.asset, h.w FROM cand_targets h JOIN (SELECT ts, lead(ts) OVER (ORDER BY ts) AS nxt FROM reb_m) n ON n.ts = h.ts"
+VIEWS["net_g"] = """
+SELECT asset, period, arg_max(g, ts) AS g FROM (
+  SELECT r.asset, m.period, r.ts, exp(sum(ln(1 + r.r)) OVER (PARTITION BY r.asset, m.period ORDER BY r.ts)) AS g
+  FROM bt_ret r JOIN (SELECT ts AS period, lead(ts) OVER (ORDER BY ts) AS nxt FROM reb_m) m ON r.ts >= m.period AND (m.nxt IS NULL OR r.ts < m.nxt)) GROUP BY ALL"""
+VIEWS["net_d"] = """
+SELECT candidate, nxt AS period, asset, w * g / sum(w * g) OVER (PARTITION BY candidate, period) AS drift, sum(w * g) OVER (PARTITION BY candidate, period) AS ratio, period AS before
+FROM net_h JOIN net_g USING (asset, period)"""
+VIEWS["net_path"] = gross_sql("cand_targets", "bt_ret", "candidate")
+VIEWS["liq_type"] = VIEWS["liq"].replace("bars_brand", "bars_type")
+VIEWS["net_t"] = f"""
+SELECT candidate, period, asset, q, coalesce(adv, 50e6) AS adv, coalesce(vol, 0.015) AS vol, sum(q) OVER (PARTITION BY candidate, period) / 2 AS turnover,
+  row_number() OVER (PARTITION BY candidate ORDER BY period, asset) AS k, coalesce(lag(period) OVER (PARTITION BY candidate ORDER BY period, asset) <> period, TRUE) AS opens FROM (
+  SELECT t.*, l.adv, l.vol / {CALM} AS vol FROM (
+    SELECT candidate, period, asset, abs(coalesce(w, 0) - coalesce(drift, 0)) AS q FROM net_h FULL JOIN (SELECT * FROM net_d WHERE period IS NOT NULL) USING (candidate, period, asset)) t
+  ASOF LEFT JOIN liq_type l ON l.asset = t.asset AND l.ts <= t.period)"""
+
+
+@query("portfolio_path_net", """
+WITH RECURSIVE e AS (SELECT DISTINCT candidate, before AS period, ratio FROM net_d),
+t AS (SELECT t.*, coalesce(e.ratio, 1) AS grown FROM net_t t LEFT JOIN (SELECT candidate, period, lead(period) OVER (PARTITION BY candidate ORDER BY period) AS nxt, ratio FROM e) e
+  ON e.candidate = t.candidate AND e.nxt = t.period),
+f AS (
+  SELECT candidate, 0::BIGINT AS k, NULL::DATE AS period, 1e7::DOUBLE AS aum, 0::DOUBLE AS cost, 0::DOUBLE AS impact, 0::DOUBLE AS turnover FROM (SELECT DISTINCT candidate FROM t)
+  UNION ALL
+  SELECT candidate, k, period, a - paid, c + paid, i + hit, turnover FROM (
+    SELECT *, size * 5 / 10000 + hit AS paid FROM (
+      SELECT *, size * (0.3 * vol * sqrt(least(abs(size) / greatest(adv, 10000), 1)) * 10000) / 10000 AS hit FROM (
+        SELECT t.candidate, t.k, t.period, t.q * (f.aum * CASE WHEN opens THEN grown ELSE 1 END) AS size, t.adv, t.vol, t.turnover, f.aum * CASE WHEN opens THEN grown ELSE 1 END AS a,
+          CASE WHEN opens THEN 0 ELSE f.cost END AS c, CASE WHEN opens THEN 0 ELSE f.impact END AS i
+        FROM f JOIN t ON t.candidate = f.candidate AND t.k = f.k + 1)))),
+s AS (SELECT candidate, period, arg_max(aum, k) AS aum, arg_max(cost, k) AS cost, arg_max(impact, k) AS impact, max(turnover) AS turnover FROM f WHERE k > 0 GROUP BY 1, 2),
+v AS (SELECT *, aum * ratio AS value FROM net_path JOIN s USING (candidate, period))
+SELECT candidate, D(ts) AS ts, R2(value) AS value, R6(r_gross) AS r_gross, R6(value / coalesce(lag(value) OVER (PARTITION BY candidate ORDER BY ts), 1e7) - 1) AS r_net,
+  R4(CASE WHEN ts = period THEN cost ELSE 0 END) AS cost, R4(CASE WHEN ts = period THEN impact ELSE 0 END) AS impact, R6(CASE WHEN ts = period THEN turnover ELSE 0 END) AS turnover FROM v""")
+def _(p):
+    t, r = _targets(p)
+    r = r.withColumn("r", F.col("r") / CALM)
+    liquidity = bt.adv_and_vol_asof(p.closes("p_type")).withColumn("vol", F.col("vol") / CALM)
+    return rounded(bt.portfolio_path(t, r, liquidity, ["candidate"]), 6, value=2, cost=4, impact=4)
+
+
 VIEWS["bt_test"] = "SELECT fold, ts, asset, r FROM wf JOIN bt_ret USING (ts) WHERE role = 'test'"
 VIEWS["bt_targets"] = """
 SELECT fold, ts, asset, w FROM (SELECT fold, max(ts) AS ts FROM bt_test GROUP BY fold, date_trunc('month', ts) UNION SELECT fold, min(ts) FROM bt_test GROUP BY fold) JOIN bt_w USING (fold)"""
-VIEWS["bt_metrics"] = metrics_sql("SELECT fold, p.ts, r_gross AS r, coalesce(bm / 500, 0) AS bm FROM (" + gross_sql("bt_targets", "bt_test", "fold") + ") p LEFT JOIN bm_type USING (ts)", "fold")
+VIEWS["bt_metrics"] = metrics_sql("SELECT fold, p.ts, r_gross AS r, coalesce(bm / " + str(CALM) + ", 0) AS bm FROM (" + gross_sql("bt_targets", "bt_test", "fold") + ") p LEFT JOIN bm_type USING (ts)", "fold")
 
 
 def _backtest(p, liquidity=False):
-    r = p.returns("p_type").withColumn("r", F.col("r") / 500)
+    r = p.returns("p_type").withColumn("r", F.col("r") / CALM)
     folds = cv.walk_forward_splits(complete_dates(r).select("ts"))
-    bm = p.benchmark("p_type").withColumn("bm", F.col("bm") / 500)
+    bm = p.benchmark("p_type").withColumn("bm", F.col("bm") / CALM)
 
     def score(train):
         return train.groupBy("fold", "asset").agg((F.avg("r") / F.stddev_samp("r") * 25 + 50).alias("score"))
@@ -191,18 +232,18 @@ def _(p):
 
 
 # -- regimes ------------------------------------------------------------------------------------------
-VIEWS["reg_bb"] = """
+VIEWS["reg_bb"] = f"""
 SELECT ts, CASE WHEN c / lo - 1 > 0.20 THEN 'bull' WHEN c / hi - 1 < -0.20 THEN 'bear' ELSE 'neutral' END AS regime FROM (
-  SELECT ts, c, max(c) OVER (ORDER BY ts) AS hi, min(c) OVER (ORDER BY ts) AS lo FROM (SELECT ts, exp(sum(ln(1 + bm / 50)) OVER (ORDER BY ts)) AS c FROM bm_type))"""
+  SELECT ts, c, max(c) OVER (ORDER BY ts) AS hi, min(c) OVER (ORDER BY ts) AS lo FROM (SELECT ts, exp(sum(ln(1 + bm / {REGIME})) OVER (ORDER BY ts)) AS c FROM bm_type))"""
 VIEWS["reg_vol"] = """
 SELECT ts, CASE WHEN v < lo THEN 'low_vol' WHEN v > hi THEN 'high_vol' ELSE 'normal_vol' END AS regime FROM reg_volv, (SELECT quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.75) AS hi FROM reg_volv)"""
-VIEWS["reg_volv"] = "SELECT ts, CASE WHEN count(*) OVER w = 63 THEN stddev_samp(bm / 50) OVER w * sqrt(252) END AS v FROM bm_type WINDOW w AS (ORDER BY ts ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"
+VIEWS["reg_volv"] = f"SELECT ts, CASE WHEN count(*) OVER w = 63 THEN stddev_samp(bm / {REGIME}) OVER w * sqrt(252) END AS v FROM bm_type WINDOW w AS (ORDER BY ts ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"
 VIEWS["reg_mac"] = """
 SELECT b.ts, CASE WHEN term_spread > 0 THEN 'expansion' WHEN term_spread < 0 THEN 'contraction' ELSE 'neutral' END AS regime FROM bm_type b JOIN macro_w ON last_day(b.ts) = month_end"""
 
 
 def _bm(p):
-    return p.benchmark("p_type").withColumn("bm", F.col("bm") / 50)
+    return p.benchmark("p_type").withColumn("bm", F.col("bm") / REGIME)
 
 
 def _spread(p):
@@ -229,12 +270,12 @@ def regime_sql(reg: str, scheme: str | None = None) -> str:
     return f"""
 SELECT {f"'{scheme}' AS scheme, " if scheme else ''}asset, regime, R6(avg(r) * 252) AS port_return, R6(stddev_samp(r) * sqrt(252)) AS port_vol, R6(avg(r) * 252 / (stddev_samp(r) * sqrt(252))) AS port_sharpe, R6(min(dd)) AS port_max_dd,
   R6(avg(bm) * 252) AS bench_return, R6(avg(bm) * 252 / (stddev_samp(bm) * sqrt(252))) AS bench_sharpe FROM (
-  SELECT *, w / max(w) OVER (PARTITION BY asset, regime ORDER BY ts) - 1 AS dd FROM (SELECT asset, regime, ts, r / 500 AS r, bm / 500 AS bm, exp(sum(ln(1 + r / 50)) OVER (PARTITION BY asset, regime ORDER BY ts)) AS w
+  SELECT *, w / max(w) OVER (PARTITION BY asset, regime ORDER BY ts) - 1 AS dd FROM (SELECT asset, regime, ts, r / {REGIME} AS r, bm / {REGIME} AS bm, exp(sum(ln(1 + r / {REGIME})) OVER (PARTITION BY asset, regime ORDER BY ts)) AS w
     FROM ret_type JOIN bm_type USING (ts) JOIN {reg} USING (ts))) GROUP BY asset, regime HAVING count(*) >= 2"""
 
 
 def _asset_path(p):
-    return p.returns("p_type").select("asset", "ts", (F.col("r") / 50).alias("r")).join(_bm(p), "ts")
+    return p.returns("p_type").select("asset", "ts", (F.col("r") / REGIME).alias("r")).join(_bm(p), "ts")
 
 
 @query("regime_performance", regime_sql("reg_vol"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import quality as q
-from ..sources import files
+from ..sources import catalog, files
 from .registry import query
 
 BARS = ["open", "high", "low", "close", "adj_close", "volume"]
@@ -98,15 +98,58 @@ def _(p):
     return rounded(files.scan_macro_series(p.spark, path))
 
 
-@query("load_panel", """
-SELECT 'prices' AS source, count(*) AS n_rows, count(DISTINCT asset) AS n_entities, D(min(ts)) AS first_date, D(max(ts)) AS last_date FROM bars_brand
-UNION ALL SELECT 'statements', count(*), count(DISTINCT asset), D(min(period_end)), D(max(period_end)) FROM stmts
-UNION ALL SELECT 'macro', count(*), count(DISTINCT series), D(min(ts)), D(max(ts)) FROM macro_daily
-UNION ALL SELECT 'news', count(*), count(DISTINCT asset), D(min(published_at)), D(max(published_at)) FROM news""")
+def _quality_sql(source: str, keys: list[str], ts: str, missing: str, gap: int | None) -> str:
+    return f"""(SELECT sum(k) AS n, sum(m) AS missing, sum(k - 1) AS repeated, count(*) FILTER (gap > {gap if gap else 'NULL'}) AS gaps FROM (
+  SELECT *, date_diff('day', lag(day) OVER (PARTITION BY {", ".join(keys)} ORDER BY day), day) AS gap FROM (
+    SELECT {", ".join(keys)}, {ts} AS day, count(*) AS k, sum({missing}) AS m FROM {source} GROUP BY ALL)))"""
+
+
+# source, view, entity, date, availability lag in days, keys, values, widest gap in days
+LOADED = [("prices", "bars_brand", "asset", "ts", 0, ["asset"], ["close", "volume"], 5),
+          ("statements", "stmts", "asset", "period_end", 45, ["asset", "stmt", "item"], ["value"], None),
+          ("macro", "macro_daily", "series", "ts", 30, ["series"], ["value"], None), ("news", "news", "asset", "published_at", 0, ["doc_id"], ["text"], None)]
+
+
+def _check(keys, ts, values, gap=None):
+    return lambda d: q.source_quality(d, keys, ts, values, gap)
+
+
+@query("load_panel", " UNION ALL ".join(f"""
+SELECT '{n}' AS source, 1 AS version, s.n_rows, s.n_entities, s.first_date, s.last_date, {lag} AS lag_days, CAST(missing AS DOUBLE) AS missing, CAST(repeated AS DOUBLE) AS repeated,
+  CAST(gaps AS DOUBLE) AS gaps, repeated = 0 AS passed FROM (SELECT count(*) AS n_rows, count(DISTINCT {e}) AS n_entities, D(min({t})) AS first_date, D(max({t})) AS last_date FROM {v}) s,
+  {_quality_sql(v, keys, t, " + ".join(f"({x} IS NULL)::INT" for x in values), gap)}""" for n, v, e, t, lag, keys, values, gap in LOADED))
 def _(p):
-    return files.load_panel({
-        "prices": (p.closes(), "asset", "ts"), "statements": (p.statements(), "asset", "period_end"),
-        "macro": (p.macro_daily(), "series", "ts"), "news": (p.news(), "asset", "published_at")})
+    rows = {"prices": p.closes(), "statements": p.statements(), "macro": p.macro_daily(), "news": p.news()}
+    store = catalog.Catalog(p.spark, files.scratch(p.spark, "catalog"))
+    done = catalog.load_panel(store, {n: (rows[n], e, t, lag, _check(keys, t, values, gap)) for n, _, e, t, lag, keys, values, gap in LOADED})
+    checks = store.quality().groupBy("source", "version").agg(*[
+        F.max(F.when(F.col("check") == c, F.col("value"))).alias(c) for c in ("missing", "repeated", "gaps", "passed")])
+    return done.join(checks, ["source", "version"]).select(
+        "source", "version", "n_rows", "n_entities", "first_date", "last_date", "lag_days", "missing", "repeated", "gaps",
+        (F.col("passed") == 1).alias("passed"))
+
+
+# Prices until 1999, then a delivery that goes on from mid-1998 and restates what it repeats.
+@query("panel_versions", """
+WITH v AS (
+  SELECT 1 AS version, asset, ts, close, volume FROM bars_brand WHERE ts < DATE '1999-01-01'
+  UNION ALL SELECT 2, asset, ts, CASE WHEN ts >= DATE '1998-06-01' THEN close + 1 ELSE close END, volume FROM bars_brand)
+SELECT version, upper(asset) AS asset, count(*) AS n_rows, R6(avg(close)) AS close, CAST(sum(volume) AS BIGINT) AS volume, D(max(ts)) AS last_date,
+  CAST(count(*) FILTER (ts <= DATE '1998-12-01') AS BIGINT) AS known_by_then FROM v GROUP BY 1, 2""")
+def _(p):
+    b = p.closes()
+    store = catalog.Catalog(p.spark, files.scratch(p.spark, "catalog"))
+    check = _check(["asset"], "ts", ["close", "volume"])
+    first = store.load("prices", b.where("ts < date'1999-01-01'"), lag_days=1, check=check)
+    second = store.append("prices", b.where("ts >= date'1998-06-01'").withColumn("close", F.col("close") + 1), check)
+    out = None
+    for version in (first, second):
+        d = store.read("prices", version, ["asset", "ts"])
+        one = d.groupBy("asset").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.avg("close").alias("close"), F.sum("volume").alias("volume"), F.max("ts").alias("last_date"),
+            F.count_if(F.col("t_avail") <= F.lit("1998-12-02").cast("date")).alias("known_by_then")).withColumn("version", F.lit(version))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 @query("sink_results_json", """

@@ -53,8 +53,9 @@ def expand(sql: str) -> str:
     body = sql.strip()
     if needed:
         ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
-        if re.match(r"(?i)with\b", body):
-            body = f"WITH {ctes},\n" + body[4:].lstrip()
+        own = re.match(r"(?i)with(\s+recursive)?\b", body)
+        if own:
+            body = f"{own.group(0)} {ctes},\n" + body[own.end():].lstrip()
         else:
             body = f"WITH {ctes}\n{body}"
     for k in range(1, 11):

@@ -107,7 +107,7 @@ def _(p):
 WITH p AS (SELECT a.module AS module_a, b.module AS module_b, a.score AS x, b.score AS y FROM clipped a JOIN clipped b ON a.asset = b.asset AND a.ts = b.ts AND a.module < b.module),
 r AS (SELECT module_a, module_b, rank() OVER (PARTITION BY module_a, module_b ORDER BY x) + (count(*) OVER (PARTITION BY module_a, module_b, x) - 1) / 2.0 AS rx,
   rank() OVER (PARTITION BY module_a, module_b ORDER BY y) + (count(*) OVER (PARTITION BY module_a, module_b, y) - 1) / 2.0 AS ry FROM p)
-SELECT module_a, module_b, count(*) AS n, R6(corr(rx, ry)) AS correlation, abs(corr(rx, ry)) > 0.7 AS high FROM r GROUP BY 1, 2 HAVING count(*) >= 5""")
+SELECT module_a, module_b, count(*) AS n, R6(CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END) AS correlation, abs(CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END) > 0.7 AS high FROM r GROUP BY 1, 2 HAVING count(*) >= 5""")
 def _(p):
     return rounded(sc.module_correlation(sc.clip_scores(p.module_scores())))
 
@@ -162,7 +162,7 @@ WITH ci AS ({_ci_sql("equal", "coalesce(M5, 50)").replace("FROM mweights", "")})
 mp AS (SELECT a.module AS module_a, b.module AS module_b, a.score AS x, b.score AS y FROM clipped a JOIN clipped b ON a.asset = b.asset AND a.ts = b.ts AND a.module < b.module),
 mr AS (SELECT module_a, module_b, rank() OVER (PARTITION BY module_a, module_b ORDER BY x) + (count(*) OVER (PARTITION BY module_a, module_b, x) - 1) / 2.0 AS rx,
   rank() OVER (PARTITION BY module_a, module_b ORDER BY y) + (count(*) OVER (PARTITION BY module_a, module_b, y) - 1) / 2.0 AS ry FROM mp),
-hi AS (SELECT coalesce(string_agg(pair, ', ' ORDER BY pair), '') AS correlated FROM (SELECT module_a || '-' || module_b AS pair FROM mr GROUP BY module_a, module_b HAVING count(*) >= 5 AND abs(corr(rx, ry)) > 0.7))
+hi AS (SELECT coalesce(string_agg(pair, ', ' ORDER BY pair), '') AS correlated FROM (SELECT module_a || '-' || module_b AS pair FROM mr GROUP BY module_a, module_b HAVING count(*) >= 5 AND var_pop(rx) > 0 AND var_pop(ry) > 0 AND abs(CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END) > 0.7))
 SELECT {E}, n_modules, R6(composite) AS composite, R6(coalesce(risk, 50)) AS risk, R6(0.3 * (100 - coalesce(risk, 50)) / 100) AS penalty, R6(composite * (1 - 0.3 * (100 - coalesce(risk, 50)) / 100) + 1e-9::DOUBLE) AS adjusted,
   R6(lo) AS ci_lower, R6(hi) AS ci_upper, correlated, CASE WHEN n_modules < 3 THEN 'Only ' || n_modules || ' modules produced valid scores' ELSE '' END AS warning
 FROM compos_eq JOIN ci USING (asset, ts), hi""")

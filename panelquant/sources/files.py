@@ -162,19 +162,6 @@ def scan_macro_series(spark, path) -> DataFrame:
     return month_end_series(df)
 
 
-def load_panel(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """Inventory of the loaded sources: rows, entities and date span of each
-    (name -> (frame, entity column, date column))."""
-    out = None
-    for name, (df, entity, ts) in sources.items():
-        one = df.select(F.lit(name).alias("source"), F.col(entity).cast("string").alias("e"),
-                        F.col(ts).cast("date").alias("d"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("e").alias("n_entities"),
-        F.min("d").alias("first_date"), F.max("d").alias("last_date"))
-
-
 def sink_results_json(df: DataFrame, path: str, exclude: tuple[str, ...] = ("regime_probs",)) -> None:
     """Results as JSON lines, NaN as null, nulls written out, excluded sections dropped."""
     cols = [null_nan(n).alias(n) if t in ("double", "float") else F.col(n)
