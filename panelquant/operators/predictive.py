@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, div, safe_corr
-from ..functions.linear import moment_columns, moment_names, ols_from_moments, solve_moments
+from ..functions.linear import merged_columns, moment_columns, moment_names, ols_from_moments, solve_stack, stacked
 from ..functions.ranking import average_rank
 
 # Characteristics of each factor.
@@ -69,26 +69,24 @@ def oos_models(panel: DataFrame, xs=FACTORS, window_days: int = 252, min_dates:
     """(treatment, ts, dropped, coefficients, y_bar) trained on the dates in [ts - window, ts). ``dropped`` is
     'none' for the full model, else the factor left out. NULL coefficients stand for left-out factors."""
     xs, k = list(xs), len(xs)
-    per = panel.groupBy(*KEYS).agg(*moment_columns("y", xs))
+    per = panel.groupBy(*KEYS).agg(*moment_columns("y", xs)).where("_n > 0")
     w = Window.partitionBy("treatment").orderBy(F.unix_date("ts")).rangeBetween(-window_days, -1)
-    names = moment_names(k)
-    d = per.select(*KEYS, F.count(F.lit(1)).over(w).alias("_dates"), *[F.sum(n).over(w).alias(n) for n in names])
-    d = d.where((F.col("_dates") >= min_dates) & (F.col("_xx_0_0") >= k + 2))
+    d = per.select(*KEYS, F.count(F.lit(1)).over(w).alias("_dates"), *merged_columns(k, w, Window.partitionBy("treatment")))
+    d = d.where((F.col("_dates") >= min_dates) & (F.col("_n") >= k + 2))
     schema = "treatment string, ts date, dropped string, y_bar double, c0 double, " + ", ".join(f"c_{x} double" for x in xs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                for drop in ["none", *xs]:
-                    use = [i for i, x in enumerate(xs) if x != drop]
-                    coef, *_ = solve_moments(row, k, use)
-                    rec = {"treatment": row["treatment"], "ts": row["ts"], "dropped": drop, "y_bar": row["_xy_0"] / row["_xx_0_0"], "c0": coef[0]}
-                    rec |= {f"c_{xs[i]}": c for i, c in zip(use, coef[1:])}
-                    out.append(rec)
-            yield pd.DataFrame(out, columns=["treatment", "ts", "dropped", "y_bar", "c0", *[f"c_{x}" for x in xs]])
-
-    return d.select(*KEYS, *names).mapInPandas(run, schema)
+            n, mean, c = stacked(pdf, k)
+            for drop in ["none", *xs]:
+                use = [i for i, x in enumerate(xs) if x != drop]
+                coef, *_ = solve_stack(n, mean, c, use)
+                out = pdf[KEYS].assign(dropped=drop, y_bar=mean[:, -1], c0=coef[:, 0])
+                for i, x in enumerate(xs):
+                    out[f"c_{x}"] = coef[:, 1 + use.index(i)] if i in use else None
+                yield out
+
+    return d.select(*KEYS, *moment_names(k)).mapInPandas(run, schema)
 
 
 def oos_prediction(panel: DataFrame, models: DataFrame, xs=FACTORS, target: str | None = None) -> DataFrame:

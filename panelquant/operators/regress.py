@@ -41,7 +41,7 @@ def factor_panel(prices: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def factor_loadings(panel: DataFrame, xs=None, y: str = "y", min_rows: int = 12, keys=("asset",)) -> DataFrame:
-    """OLS with a constant per asset, from one aggregate of products."""
+    """OLS with a constant per asset, from one aggregate of moments."""
     xs = xs or FACTORS
     m = panel.groupBy(*keys).agg(*moment_columns(y, xs))
     return ols_from_moments(m, list(keys), xs, min_rows)
@@ -85,7 +85,7 @@ def rolling_factor_loadings(panel: DataFrame, xs=None, y: str = "y", window: int
     xs = xs or FACTORS
     d = panel.dropna(subset=[y, *xs])
     w = trailing(window, ts=ts)
-    m = d.select("asset", ts, *moment_columns(y, xs, over=w)).where(F.col("_xx_0_0") == window)
+    m = d.select("asset", ts, *moment_columns(y, xs, over=w)).where(F.col("_n") == window)
     return ols_from_moments(m, ["asset", ts], xs, window, full=False)
 
 

@@ -7,10 +7,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from panelquant.functions import linear
 from panelquant.functions.columns import safe_corr
 from panelquant.operators import backtest as bt
 from panelquant.operators import fundamentals as fd
-from panelquant.operators import pit, predictive, quality, returns, risk, scores
+from panelquant.operators import pit, predictive, quality, regress, returns, risk, scores
 from panelquant.operators import universe as un
 from panelquant.sources import catalog
 from panelquant.sources.files import scratch
@@ -251,3 +252,43 @@ def test_correlations_of_constant_columns(spark):
     assert found.first().correlation is None and found.first().n == n
     c = spark.createDataFrame([(t, day(0), a, 1.0) for t in ("t1", "t2") for a in ("A", "B")], "treatment string, ts date, asset string, value_factor double")
     assert all(r.rank_correlation is None for r in predictive.rank_robustness(c, ["value_factor"]).collect())
+
+
+def test_regression_of_a_high_level(spark):
+    """Levels of a million under unit noise: coefficients and errors keep eight digits."""
+    g = rng(11)
+    x = g.normal(size=(240, 2))
+    y = 3 + x @ [0.5, -2.0] + g.normal(size=240)
+    rows = [("A", day(i), float(1e6 + y[i]), float(1e6 + x[i, 0]), float(1e6 + x[i, 1])) for i in range(240)]
+    df = spark.createDataFrame(rows, "asset string, month date, y double, f1 double, f2 double").repartition(7)
+    a = np.column_stack([np.ones(240), x])
+    coef, res, *_ = np.linalg.lstsq(a, y, rcond=None)
+    se = np.sqrt(np.diag(np.linalg.inv(a.T @ a)) * res[0] / 237)
+    got = regress.factor_loadings(df, ["f1", "f2"]).first()
+    assert [got.b_f1, got.b_f2] == pytest.approx(coef[1:], abs=1e-8)
+    assert [got.t_b_f1, got.t_b_f2] == pytest.approx(coef[1:] / se[1:], rel=1e-7)
+    assert got.r2 == pytest.approx(1 - res[0] / np.var(y) / 240, abs=1e-8)
+    roll = pdf(regress.rolling_factor_loadings(df, ["f1", "f2"], window=36), "month")
+    for i, r in enumerate(roll.itertuples()):
+        want = np.linalg.lstsq(a[i:i + 36], y[i:i + 36], rcond=None)[0]
+        assert [r.b_f1, r.b_f2] == pytest.approx(want[1:], abs=1e-7)
+    assert len(roll) == 205
+
+
+def test_stacks_with_singular_systems():
+    g = rng(12)
+    a = g.normal(size=(50, 9, 4))
+    a[::5, :, 3] = a[::5, :, 0] * 2  # determined by another
+    a[1::5, :, 2] = 7.0  # constant
+    y = g.normal(size=(50, 9))
+    data = np.concatenate([a, y[..., None]], axis=2)
+    mean = data.mean(1)
+    c = np.einsum("nri,nrj->nij", data - mean[:, None], data - mean[:, None]) / 9
+    coef, se, r2 = linear.solve_stack(np.full(50, 9.0), mean, c)
+    for i in range(50):
+        design = np.column_stack([np.ones(9), a[i]])
+        fit = design @ np.linalg.lstsq(design, y[i], rcond=1e-10)[0]
+        assert design @ coef[i] == pytest.approx(fit, abs=1e-8)
+        assert r2[i] == pytest.approx(1 - ((y[i] - fit) ** 2).sum() / ((y[i] - y[i].mean()) ** 2).sum(), abs=1e-8)
+    low, good = linear.cholesky_stack(np.einsum("nki,nkj->nij", a[2::5], a[2::5]))
+    assert good.all() and low == pytest.approx(np.linalg.cholesky(np.einsum("nki,nkj->nij", a[2::5], a[2::5])))
