@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 META = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 _BY_SPACE = re.compile(r" *[^ ]+| +")
-CACHED = 600_000  # segmentations that a Python worker remembers, about 150 bytes each
+CACHED = 400_000  # segmentations that a Python worker remembers, about 230 bytes each
 UNSEEN, ONCE = -1, -2  # in place of a node
 SKIPS = 2  # segmentations with more skipped merges are not remembered
 LONGEST = 48  # characters of a chunk that is merged on a list and remembered
 NEVER = 1 << 62
 SYMBOL = 22  # bits of a piece id or a character
 PLACE = 6  # bits of a place in a chunk of at most LONGEST characters
-TOGETHER = 2_000_000  # bytes of text whose chunks are merged together
+TOGETHER = 1_000_000  # bytes of text whose chunks are merged together
 
 
 def _hash(key: int, at: int, rank: int) -> int:
@@ -461,7 +461,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
 
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("0")))
-    return docs.withColumn(out, F.arrow_udf(ids, "array<int>")(F.col(text_col), key))
+    # A deterministic function would be run once for its column and again inside each function that takes the column.
+    once = F.arrow_udf(ids, "array<int>").asNondeterministic()
+    return docs.withColumn(out, once(F.col(text_col), key))
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "text") -> DataFrame:
