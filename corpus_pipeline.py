@@ -39,10 +39,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text with merge-dropout, and whether they decode to the text."""
-    model = pieces.installed_model()
-    coded = pieces.encode(docs.select("doc_id", "text"), model)
-    return pieces.decode(coded, model, out="decoded").select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    coded = pieces.round_trip(docs.select("doc_id", "text"), pieces.installed_model())
+    return coded.select(
+        "doc_id", F.col("coded.ids").alias("ids"), F.size("coded.ids").cast("long").alias("n_pieces"),
+        F.coalesce("coded.text", F.lit("")).eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -448,30 +448,45 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     A null or empty text has no ids. The id only keys the skips; a null id counts as 0, rows that repeat an id have the same keys. The whole text is encoded, however long. An empty table gives no rows. A column called ``out`` is replaced,
     all others pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    run = F.arrow_udf(lambda values, keys: _ids(_load(shared.value), values, keys, dropout, seed), "array<int>")
+    return docs.withColumn(out, run(F.col(text_col), _key(id_col)))
 
-    def ids(values: pa.Array, keys: pa.Array) -> pa.Array:
-        p, keys, flat, ends = _load(shared.value), keys.to_pylist(), [], [0]
-        sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy()
-        group = np.cumsum(sizes) // TOGETHER
-        for rows in np.split(np.arange(len(values)), np.flatnonzero(np.diff(group)) + 1):
-            texts = [t or "" for t in values.slice(int(rows[0]), len(rows)).to_pylist()] if len(rows) else []
-            for got in p.encode_many(texts, keys[rows[0]:rows[-1] + 1] if len(rows) else [], dropout, seed):
-                flat.append(got)
-                ends.append(ends[-1] + len(got))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
 
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("0")))
-    # A deterministic function would be run once for its column and again inside each function that takes the column.
-    once = F.arrow_udf(ids, "array<int>").asNondeterministic()
-    return docs.withColumn(out, once(F.col(text_col), key))
+def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, out: str = "coded") -> DataFrame:
+    """``docs`` with a column ``out``: struct of the ids that ``encode`` gives and the text that ``decode`` makes of them.
+
+    In one pass: a column that one function makes and another takes would be made twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def both(values: pa.Array, keys: pa.Array) -> pa.Array:
+        p = _load(shared.value)
+        ids = _ids(p, values, keys, dropout, seed)
+        return pa.StructArray.from_arrays([ids, _texts(p, ids)], ["ids", "text"])
+
+    return docs.withColumn(out, F.arrow_udf(both, "struct<ids:array<int>,text:string>")(F.col(text_col), _key(id_col)))
+
+
+def _key(id_col: str):
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("0")))
+
+
+def _ids(p: Pieces, values: pa.Array, keys: pa.Array, dropout: float, seed: int) -> pa.Array:
+    keys, flat, ends = keys.to_pylist(), [], [0]
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy()
+    group = np.cumsum(sizes) // TOGETHER
+    for rows in np.split(np.arange(len(values)), np.flatnonzero(np.diff(group)) + 1):
+        texts = [t or "" for t in values.slice(int(rows[0]), len(rows)).to_pylist()] if len(rows) else []
+        for got in p.encode_many(texts, keys[rows[0]:rows[-1] + 1] if len(rows) else [], dropout, seed):
+            flat.append(got)
+            ends.append(ends[-1] + len(got))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
+
+
+def _texts(p: Pieces, ids: pa.Array) -> pa.Array:
+    return pa.array([p.decode(v.values.to_numpy().tolist()) if v.is_valid else None for v in ids], pa.string())
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "text") -> DataFrame:
     """``rows`` with a column ``out``: the text of the ids. Null ids give a null text, no ids an empty one."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def texts(values: pa.Array) -> pa.Array:
-        p = _load(shared.value)
-        return pa.array([p.decode(v.values.to_numpy().tolist()) if v.is_valid else None for v in values], pa.string())
-
-    return rows.withColumn(out, F.arrow_udf(texts, "string")(F.col(ids_col)))
+    return rows.withColumn(out, F.arrow_udf(lambda values: _texts(_load(shared.value), values), "string")(F.col(ids_col)))

@@ -26,11 +26,10 @@ def query(key: str, sql: str | None = None):
 
 @query("op1_sentencepiece")
 def op1(read):
-    model = pieces.installed_model()
-    coded = pieces.encode(read("documents").select("doc_id", "text"), model)
-    return pieces.decode(coded, model, out="decoded").select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        F.coalesce("decoded", F.lit("")).eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"))
+    coded = pieces.round_trip(read("documents").select("doc_id", "text"), pieces.installed_model())
+    return coded.select(
+        "doc_id", F.size("coded.ids").cast("long").alias("n_pieces"), F.xxhash64("coded.ids").alias("ids_hash"),
+        F.coalesce("coded.text", F.lit("")).eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
 def held_out() -> Column:

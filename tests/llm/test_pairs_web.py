@@ -147,7 +147,9 @@ def test_pieces_table(spark):
     model = pieces.installed_model()
     out = collected(pieces.decode(pieces.encode(docs, model, dropout=0.2), model, out="back"), "doc_id")
     assert [r["back"] for r in out] == ["no id", "Hello  world\n", "", "", LONG, "same", "same", "  lead"]
-    assert pieces.encode(docs.limit(0), model).count() == 0
+    both = collected(pieces.round_trip(docs, model, dropout=0.2), "doc_id")
+    assert [(r["coded"]["ids"], r["coded"]["text"]) for r in both] == [(r["ids"], r["back"]) for r in out]
+    assert pieces.encode(docs.limit(0), model).count() == pieces.round_trip(docs.limit(0), model).count() == 0
 
 
 def brute_ranks(edges, seeds, steps, unit):
