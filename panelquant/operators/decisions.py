@@ -72,6 +72,10 @@ def pre_trade_checks(weights: DataFrame, current: DataFrame | None = None, max_w
     return g.withColumn("violations", bad).withColumn("passed", F.size("violations") == 0)
 
 
+# Actions when running, on the day of a loss, once stopped, and the text when running.
+OUTCOMES = ("PROCEED", "HALT_TRADING", "HALT_TRADING_LIQUIDATE", "All risk limits normal")
+
+
 def kill_switch(status: DataFrame, max_daily_loss: float = 0.05, max_drawdown: float = 0.25) -> DataFrame:
     """Latched stop per portfolio: once a day loses too much or the drawdown is too deep it stays tripped.
     ``status`` holds (portfolio, ts, pnl, drawdown)."""
@@ -83,8 +87,8 @@ def kill_switch(status: DataFrame, max_daily_loss: float = 0.05, max_drawdown: f
     tripped = F.col("reason").isNotNull()
     fresh = (F.col("_t") == F.col("ts")) & (F.col("reason") == "MAX_DAILY_LOSS")
     return d.select("portfolio", "ts", tripped.alias("tripped"),
-                    F.when(~tripped, "PROCEED").when(fresh, "HALT_TRADING").otherwise("HALT_TRADING_LIQUIDATE").alias("action"),
-                    F.coalesce("reason", F.lit("All risk limits normal")).alias("reason"))
+                    F.when(~tripped, OUTCOMES[0]).when(fresh, OUTCOMES[1]).otherwise(OUTCOMES[2]).alias("action"),
+                    F.coalesce("reason", F.lit(OUTCOMES[3])).alias("reason"))
 
 
 def running_drawdown(pnl: DataFrame) -> DataFrame:

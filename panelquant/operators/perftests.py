@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, div
 from ..functions.dist import norm_cdf, norm_ppf
-from ..functions.gram import pair_moments
+from ..functions.gram import block_count, block_pairs, pair_moments
 from ..functions.mixing import mix, unit
 from ..functions.ranking import running_extreme, value_ladder
 from .returns import running_product
 
 GAMMA = 0.57721566490153286  # Euler-Mascheroni
+REPLICATES_PER_TASK = 4096
 
 
 def jobson_korkie_memmel(returns: DataFrame, chunk, asset: str = "asset", value: str = "r", min_rows: int = 10) -> DataFrame:
@@ -70,27 +73,42 @@ def stationary_bootstrap(returns: DataFrame, replicates: int = 1000, block_lengt
     return _resampled(returns, replicates, block_length, seed)[1]
 
 
-def _pairs(items: str) -> Column:
-    return F.flatten(F.transform(items, lambda x: F.transform(
-        F.filter(items, lambda y: y["asset"] > x["asset"]),
-        lambda y: F.struct(x["asset"].alias("a"), y["asset"].alias("b"), (x["sr"] - y["sr"]).alias("diff")))))
+def bootstrap_sharpe_diff(returns: DataFrame, replicates: int = 1000, block_length: float = 10.0, seed: int = 42, min_rows: int = 10,
+                          blocks: int | None = None) -> DataFrame:
+    """Share of resamples whose centred Sharpe difference is at least the observed one, per pair.
 
-
-def bootstrap_sharpe_diff(returns: DataFrame, replicates: int = 1000, block_length: float = 10.0, seed: int = 42, min_rows: int = 10) -> DataFrame:
-    """Share of resamples whose centred Sharpe difference is at least the observed one, per pair."""
+    Strategies are dealt into blocks. A pair of blocks meets once for each stretch of replicates, as two matrices (replicate by strategy),
+    and gives counts per pair; only those are added up by shuffle."""
     pos, boot = _resampled(returns, replicates, block_length, seed)
-    sr = F.coalesce(div("mean", "std"), F.lit(0.0)).alias("sr")
-    base = pos.groupBy("asset").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.count("r").alias("n"))
-    # One entry per strategy and replicate; the pairs of a replicate are bounded by the strategy list.
-    emp = base.agg(F.array_sort(F.collect_list(F.struct("asset", sr))).alias("s"), F.max("n").alias("n"))
-    emp = emp.select(F.explode(_pairs("s")).alias("e"), "n").select(F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("e.diff").alias("emp"), "n")
-    per = boot.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("asset", sr))).alias("s"))
-    d = per.select(F.explode(_pairs("s")).alias("e")).select("e.*").join(emp, ["a", "b"])
-    hit = (F.abs(F.col("diff") - F.col("emp")) >= F.abs("emp")).cast("double")
-    g = d.groupBy("a", "b").agg(F.avg(hit).alias("p"), F.max("emp").alias("emp"), F.max("n").alias("n"))
-    few = F.col("n") < min_rows
+    sr = F.coalesce(div("mean", "std"), F.lit(0.0))
+    base = pos.groupBy("asset").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.count("r").alias("k"))
+    base = base.select("asset", sr.alias("seen"), "k")
+    rows = boot.select("rep", "asset", sr.alias("sr")).join(base, "asset")
+    blocks = block_count(base) if blocks is None else blocks
+    src = block_pairs(rows, blocks).withColumn("_c", F.floor(F.col("rep") / REPLICATES_PER_TASK))
+    kind = dict(rows.dtypes)["asset"]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = pdf["bi"].iat[0], pdf["bj"].iat[0]
+        one = pdf.drop_duplicates("asset").sort_values("asset")
+        names, home, seen, k = (one[c].to_numpy() for c in ("asset", "_b", "seen", "k"))
+        wide = pdf.pivot(index="rep", columns="asset", values="sr").reindex(columns=names).to_numpy(float)
+        left, right = np.flatnonzero(home == bi), np.flatnonzero(home == bj)
+        want = seen[left][:, None] - seen[right][None, :]
+        hits = np.zeros(want.shape, np.int64)
+        for row in wide:  # one replicate at a time: a matrix of pairs, no array over replicates and pairs
+            hits += np.abs(row[left][:, None] - row[right][None, :] - want) >= np.abs(want)
+        a, b = (g.ravel() for g in np.meshgrid(left, right, indexing="ij"))
+        swap = names[a] > names[b]
+        out = pd.DataFrame({"a": np.where(swap, names[b], names[a]), "b": np.where(swap, names[a], names[b]), "hits": hits.ravel(), "reps": len(wide),
+                            "diff": np.where(swap, -want.ravel(), want.ravel()), "k": np.maximum(k[a], k[b])})
+        return out[~swap & (a != b)] if bi == bj else out
+
+    parts = src.groupBy("bi", "bj", "_c").applyInPandas(count, f"a {kind}, b {kind}, hits bigint, reps bigint, diff double, k bigint")
+    g = parts.groupBy("a", "b").agg((F.sum("hits") / F.sum("reps")).alias("p"), F.max("diff").alias("diff"), F.max("k").alias("k"))
+    few = F.col("k") < min_rows
     return g.select(F.col("a").alias("strategy_a"), F.col("b").alias("strategy_b"),
-                    F.when(few, 1.0).otherwise(F.col("p")).alias("p_value"), F.when(few, 0.0).otherwise(F.col("emp")).alias("sharpe_diff"))
+                    F.when(few, 1.0).otherwise(F.col("p")).alias("p_value"), F.when(few, 0.0).otherwise(F.col("diff")).alias("sharpe_diff"))
 
 
 def multiple_comparison(tests: DataFrame, family: list[str], p: str = "p", method: str = "benjamini_hochberg", out: str = "p_adjusted") -> DataFrame:

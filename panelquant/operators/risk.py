@@ -6,12 +6,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, clip, div, full, rolling_pair_sums, rolling_slope, running, safe_corr, spread, trailing, when_full, with_params
 from ..functions.dist import t4_ppf
-from ..functions.gram import pair_moments
+from ..functions.gram import block_count, block_pairs, pair_moments
 from ..functions.ranking import average_rank
 from ..sources.files import cut
 from .timeseries import _current
@@ -187,6 +187,46 @@ def joint_tail_risk(returns: DataFrame, weights: DataFrame, portfolio: str = "ca
     return v.select(portfolio, F.col("var").alias("var_99"), F.col("cvar").alias("cvar_99"), p.scalar().alias("joint_crash_probability"))
 
 
+def lower_tail_dependence(returns: DataFrame, level: float = 0.05, value: str = "r", blocks: int | None = None) -> DataFrame:
+    """(a < b, n, both, dependence): on how many of the dates with both assets both are in their own lower tail, over ``level`` of them.
+
+    A tail is what lies at or below the asset's own quantile. Each asset becomes a bitmap of its tail dates and one of its dates, 64 trading
+    dates a word. Blocks of assets meet once per stretch of the calendar and are counted by bitwise and, so no date is joined with
+    itself. Pairs without a common date have no row."""
+    d = returns.select("asset", "ts", F.col(value).alias("r")).where("r is not null")
+    low = d.groupBy("asset").agg(F.percentile("r", level).alias("_q"))
+    cal = d.select("ts").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(F.lit("all")).orderBy("ts")) - 1)  # one row a date
+    bit = F.expr("shiftleft(1L, _i % 64)")
+    words = d.join(low, "asset").join(cal, "ts").groupBy("asset", F.floor(F.col("_i") / 64).cast("int").alias("word")).agg(
+        F.bit_or(bit).alias("seen"), F.coalesce(F.bit_or(F.when(F.col("r") <= F.col("_q"), bit)), F.lit(0).cast("long")).alias("tail"))
+    words = cut(words)
+    src = block_pairs(words, block_count(words) if blocks is None else blocks).withColumn("_c", F.floor(F.col("word") / 64))
+    kind = dict(words.dtypes)["asset"]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = pdf["bi"].iat[0], pdf["bj"].iat[0]
+        names, at = np.unique(pdf["asset"].to_numpy(), return_inverse=True)
+        home = np.empty(len(names), np.int64)
+        home[at] = pdf["_b"].to_numpy()
+        place = pdf["word"].to_numpy() % 64
+        maps = []
+        for c in ("seen", "tail"):
+            m = np.zeros((64, len(names)), np.uint64)
+            m[place, at] = pdf[c].to_numpy(np.int64).view(np.uint64)
+            maps.append(m)
+        left, right = np.flatnonzero(home == bi), np.flatnonzero(home == bj)
+        common = [sum(np.bitwise_count(w[left][:, None] & w[right][None, :]).astype(np.int64) for w in m) for m in maps]
+        a, b = (g.ravel() for g in np.meshgrid(names[left], names[right], indexing="ij"))
+        swap = a > b
+        out = pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "n": common[0].ravel(), "both": common[1].ravel()})
+        keep = (out["n"] > 0) & (a != b)
+        return out[keep & ~swap] if bi == bj else out[keep]
+
+    parts = src.groupBy("bi", "bj", "_c").applyInPandas(count, f"a {kind}, b {kind}, n bigint, both bigint")
+    g = parts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("both").alias("both"))
+    return g.withColumn("dependence", F.col("both") / (F.col("n") * level))
+
+
 def evt_peaks_over_threshold(returns: DataFrame, value: str = "r", threshold: float = 0.95, level: float = 0.99) -> DataFrame:
     """Generalised-Pareto tail of losses: threshold, shape and scale by the method of moments, VaR, ES.
     Short series and few exceedances fall back to empirical quantiles (x1.25 and x1.2)."""

@@ -135,6 +135,14 @@ def _(p):
     return rounded(rk.joint_tail_risk(p.returns("p_type"), p.candidate_weights()))
 
 
+@query("lower_tail_dependence", """
+WITH t AS (SELECT asset, ts, r <= quantile_cont(r, 0.05) OVER (PARTITION BY asset) AS low FROM ret_brand)
+SELECT a.asset AS a, b.asset AS b, count(*) AS n, count(*) FILTER (a.low AND b.low) AS "both", R6(count(*) FILTER (a.low AND b.low) / (count(*) * 0.05)) AS dependence
+FROM t a JOIN t b ON a.ts = b.ts AND a.asset < b.asset GROUP BY 1, 2""")
+def _(p):
+    return rounded(rk.lower_tail_dependence(p.returns()))
+
+
 @query("evt_peaks_over_threshold", """
 WITH l AS (SELECT asset, -r AS x FROM ret_brand), c AS (SELECT asset, quantile_cont(x, 0.95) AS u, quantile_cont(x, 0.99) AS q, count(*) AS n FROM l GROUP BY asset),
 g AS (SELECT asset, any_value(u) AS u, any_value(q) AS q, any_value(n) AS n, count(*) FILTER (x > u) AS k, avg(x - u) FILTER (x > u) AS m, var_samp(x - u) FILTER (x > u) AS s2 FROM l JOIN c USING (asset) GROUP BY asset),

@@ -11,7 +11,7 @@ from panelquant.functions import linear
 from panelquant.functions.columns import safe_corr
 from panelquant.operators import backtest as bt
 from panelquant.operators import fundamentals as fd
-from panelquant.operators import pit, predictive, quality, regress, returns, risk, scores
+from panelquant.operators import perftests, pit, predictive, quality, regress, returns, risk, scores
 from panelquant.operators import universe as un
 from panelquant.sources import catalog
 from panelquant.sources.files import scratch
@@ -292,3 +292,40 @@ def test_stacks_with_singular_systems():
         assert r2[i] == pytest.approx(1 - ((y[i] - fit) ** 2).sum() / ((y[i] - y[i].mean()) ** 2).sum(), abs=1e-8)
     low, good = linear.cholesky_stack(np.einsum("nki,nkj->nij", a[2::5], a[2::5]))
     assert good.all() and low == pytest.approx(np.linalg.cholesky(np.einsum("nki,nkj->nij", a[2::5], a[2::5])))
+
+
+def test_lower_tail_dependence(spark):
+    rows, df = sparse(spark, SPANS, seed=6)
+    got = {(r.a, r.b): r for r in risk.lower_tail_dependence(df, 0.1, blocks=2).collect()}
+    held = {a: {t: r for x, t, r in rows if x == a} for a in SPANS}
+    low = {a: {t for t, r in v.items() if r <= np.quantile(list(v.values()), 0.1)} for a, v in held.items()}
+    for a in SPANS:
+        for b in SPANS:
+            n = len(held[a].keys() & held[b].keys())
+            if a < b and n:
+                assert (got[a, b].n, got[a, b].both) == (n, len(low[a] & low[b]))
+                assert got[a, b].dependence == pytest.approx(len(low[a] & low[b]) / (0.1 * n))
+    assert len(got) == 10
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_bootstrap_pairs_by_blocks(spark, blocks):
+    g = rng(7)
+    df = panel(spark, {f"s{i}": g.normal(0.01 * i, 1, 40) for i in range(7)})
+    per = {(r.rep, r.asset): r["mean"] / r["std"] for r in perftests.stationary_bootstrap(df, 60).collect()}
+    base = {r.asset: r.m / r.s for r in df.groupBy("asset").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s")).collect()}
+    got = perftests.bootstrap_sharpe_diff(df, 60, blocks=blocks).collect()
+    assert len(got) == 21
+    for r in got:
+        a, b = r.strategy_a, r.strategy_b
+        want = base[a] - base[b]
+        assert a < b and r.sharpe_diff == pytest.approx(want)
+        assert r.p_value == pytest.approx(np.mean([abs(per[k, a] - per[k, b] - want) >= abs(want) for k in range(60)]))
+
+
+def test_bootstrap_of_five_thousand_strategies(spark):
+    df = spark.range(5000).select(F.format_string("s%04d", "id").alias("asset"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).select(
+        "asset", F.date_add(F.lit("2020-01-01").cast("date"), F.col("k")).alias("ts"), F.sin(F.xxhash64("asset", "k") / 1e15).alias("r"))
+    got = perftests.bootstrap_sharpe_diff(df, 3)
+    n, low, high = got.agg(F.count(F.lit(1)), F.min("p_value"), F.max("p_value")).first()
+    assert n == 5000 * 4999 // 2 and 0 <= low <= high <= 1
