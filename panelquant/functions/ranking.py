@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import cut
+
 PER_BUCKET = 20_000  # distinct values that a bucket is meant to hold
 GRID = 1024  # cut points that are estimated; a group uses as many of them as it needs
 
@@ -85,3 +87,16 @@ def group_quantiles(df: DataFrame, keys: list[str], probs: dict[str, float], val
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         cols.append((lo + (hi - lo) * frac).alias(name))
     return stats.select(*keys, *cols)
+
+
+def gapless_rank(df: DataFrame, *order, out: str = "rank") -> DataFrame:
+    """Adds the row's place from 0 in an order over all rows, without gaps, for any number of rows.
+
+    Rows are range-partitioned and sorted within their range; the sizes of the ranges before give each range its offset. The sorted rows are
+    written before they are numbered, so that equal rows keep their places when a task is run again."""
+    w = Window.orderBy("_part")  # one row per range
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_off"))
+    return rows.join(offsets, "_part").withColumn(out, F.col("_off") + F.col("_at")).drop("_id", "_part", "_at", "_off")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, safe_corr, trailing, when_full
-from ..functions.mixing import mix
+from ..functions.ranking import gapless_rank
 from ..sources.files import cut
 
 
@@ -63,19 +63,25 @@ def meta_model_predict(model, data: DataFrame, features: list[str], keys: list[s
     return p.select(*keys, y.alias("expected_excess_return"), (1 / (1 + F.exp(-15 * y))).alias("outperformance_prob"), clip(50 + 500 * y, 0, 100).alias("composite_score"))
 
 
+def permuted(df: DataFrame, column: str, key: list[str], seed: int = 42) -> DataFrame:
+    """``df`` with one column permuted over all its rows: the value at a place of one random order goes to the row at that place of another."""
+    def draw(name: str):
+        return F.xxhash64(F.lit(seed), F.lit(name), *key)
+
+    target = gapless_rank(df.drop(column).withColumn("_h", draw("rows")), "_h", *key, out="_place").drop("_h")
+    source = gapless_rank(df.select(column, draw(column).alias("_h"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]),
+                          "_h", *[f"_k{i}" for i in range(len(key))], out="_place").select("_place", column)
+    return target.join(source, "_place").select(*df.columns)
+
+
 def permutation_importance(model, data: DataFrame, features: list[str], key: list[str], seed: int = 42) -> DataFrame:
-    """Mean squared change of the forecast when one column is shuffled, as shares. The shuffle pairs every
-    row with another row of its hash bucket, so it never sorts all rows in one task."""
+    """Mean squared change of the forecast when one column is permuted over all rows, as shares."""
     d = cut(data.fillna(0.0, subset=features).select(*key, *features))
     base = cut(model.transform(d).select(*key, F.col("prediction").alias("p0")))
-    h = mix(*[F.abs(F.xxhash64(k)) for k in key], seed=seed)
-    bucketed = d.withColumn("_h", h).withColumn("_b", F.col("_h") % 1024)
     out = None
     for f in features:
-        w = Window.partitionBy("_b").orderBy("_h", *key)
-        first = F.first(f).over(Window.partitionBy("_b").orderBy("_h", *key))
-        s = bucketed.withColumn("_v", F.coalesce(F.lead(f).over(w), first)).drop(f).withColumnRenamed("_v", f)
-        one = model.transform(s).join(base, key).agg(F.avg(F.pow(F.col("prediction") - F.col("p0"), 2.0)).alias("importance")).withColumn("feature", F.lit(f))
+        one = model.transform(permuted(d, f, key, seed)).join(base, key).agg(
+            F.avg(F.pow(F.col("prediction") - F.col("p0"), 2.0)).alias("importance")).withColumn("feature", F.lit(f))
         out = one if out is None else out.unionByName(one)
     out = cut(out)
     t = out.agg(F.sum("importance").alias("t")).scalar()

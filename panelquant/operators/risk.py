@@ -155,15 +155,77 @@ def complete_dates(returns: DataFrame, keys=()) -> DataFrame:
     return returns.join(good, [*keys, "ts"], "left_semi")
 
 
-def copula_rank_correlation(returns: DataFrame, chunk: Column, value: str = "r", nu: float = 4.0) -> DataFrame:
+def copula_rank_correlation(returns: DataFrame, chunk: Column, value: str = "r", nu: float = 4.0, floor: float | None = 1e-6) -> DataFrame:
     """Correlation (a <= b) of the t quantiles of pseudo-observations (rank - 0.5) / n; at least 30
-    complete dates. The t with four degrees of freedom has a closed quantile."""
+    complete dates. The t with four degrees of freedom has a closed quantile. Eigenvalues stay at or above ``floor``, the diagonal at one."""
     if nu != 4.0:
         raise ValueError("only four degrees of freedom have a closed-form quantile")
     r = average_rank(complete_dates(returns), ["asset"], value).where("n >= 30")
     q = r.withColumn("q", t4_ppf((F.col("rank") - 0.5) / F.col("n")))
-    m = pair_moments(q, [], chunk, value="q")
-    return correlation(m)
+    m = correlation(pair_moments(q, [], chunk, value="q"))
+    if floor is None:
+        return m
+    raised = eigen_floor(m.withColumnRenamed("corr", "value").withColumn("_g", F.lit(0)), "_g", floor)
+    return raised.select("a", "b", F.col("value").alias("corr"))
+
+
+def lowest_eigenvalue(matrix: DataFrame, group: str, enough: float = float("inf"), steps: int = 60, tol: float = 1e-9) -> dict:
+    """A lower bound of the smallest eigenvalue of each group's symmetric matrix (group, a <= b, value), to a part in 1 / tol of its scale.
+
+    Lanczos steps: the matrix stays a table, each step joins it with a vector and adds up products, and only two numbers a group come to
+    the driver. The smallest eigenvalue of the small tridiagonal matrix, less its residual, bounds the wanted one; groups stop once
+    that bound has converged or lies above ``enough``."""
+    off = matrix.where("a <> b").select(group, F.col("b").alias("a"), F.col("a").alias("b"), "value")
+    full = cut(matrix.select(group, "a", "b", "value").unionByName(off))
+    size = full.where("a = b").groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("value")).alias("scale"))
+    # A start vector with a part in every direction, from a hash, so every rerun takes the same steps.
+    start = full.where("a = b").select(group, F.col("a").alias("at"), (F.pmod(F.xxhash64("a"), F.lit(1000003)) / 1000003.0 + 0.5).alias("v"))
+    norm = start.groupBy(group).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_l"))
+    v = cut(start.join(norm, group).select(group, "at", (F.col("v") / F.col("_l")).alias("v"), F.lit(0.0).alias("u")))
+    sizes = {r[group]: (r["n"], max(r["scale"] / r["n"], 1e-300)) for r in size.collect()}
+    alpha: dict = {g: [] for g in sizes}
+    beta: dict = {g: [] for g in sizes}
+    bound: dict = {}
+    for _ in range(steps):
+        w = full.join(v.select(group, F.col("at").alias("b"), "v"), [group, "b"]).groupBy(group, F.col("a").alias("at")).agg(
+            F.sum(F.col("value") * F.col("v")).alias("w"))
+        w = cut(w.join(v, [group, "at"]))
+        a_of = dict(w.groupBy(group).agg(F.sum(F.col("w") * F.col("v"))).collect())
+        table = matrix.sparkSession.createDataFrame(
+            [(g, float(a), beta[g][-1] if beta[g] else 0.0) for g, a in a_of.items()], f"`{group}` {dict(matrix.dtypes)[group]}, _a double, _b double")
+        w = cut(w.join(table, group).select(group, "at", (F.col("w") - F.col("_a") * F.col("v") - F.col("_b") * F.col("u")).alias("w"), "v"))
+        b_of = dict(w.groupBy(group).agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).collect())
+        for g, a in a_of.items():
+            alpha[g].append(a)
+            e, s = np.linalg.eigh(np.diag(alpha[g]) + np.diag(beta[g], 1) + np.diag(beta[g], -1))
+            rest = b_of[g] * abs(s[-1, 0])
+            beta[g].append(b_of[g])
+            if rest <= tol * sizes[g][1] or e[0] - rest > enough or len(alpha[g]) >= sizes[g][0]:
+                bound[g] = float(e[0] - rest)
+        open_ = [(g, b_of[g]) for g in a_of if g not in bound]
+        if not open_:
+            break
+        table = matrix.sparkSession.createDataFrame(open_, f"`{group}` {dict(matrix.dtypes)[group]}, _b double")
+        v = cut(w.join(table, group).select(group, "at", (F.col("w") / F.col("_b")).alias("v"), F.col("v").alias("u")))
+    for g in sizes:
+        if g not in bound:  # not converged: what is certain
+            e, s = np.linalg.eigh(np.diag(alpha[g]) + np.diag(beta[g][:-1], 1) + np.diag(beta[g][:-1], -1))
+            bound[g] = float(e[0] - beta[g][-1] * abs(s[-1, 0]))
+    return bound
+
+
+def eigen_floor(matrix: DataFrame, group: str, floor: float = 1e-6, steps: int = 60) -> DataFrame:
+    """(group, a, b, value) with no eigenvalue below ``floor``: matrices that have one are shrunk toward their mean variance times the
+    identity, just far enough. A correlation matrix keeps its unit diagonal."""
+    matrix = cut(matrix.select(group, "a", "b", "value"))
+    lowest = lowest_eigenvalue(matrix, group, floor, steps)
+    mean = dict(matrix.where("a = b").groupBy(group).agg(F.avg("value")).collect())
+    share = {g: (floor - e) / (mean[g] - e) if e < floor < mean[g] else 0.0 for g, e in lowest.items()}
+    rows = [(g, s, mean[g]) for g, s in share.items()]
+    table = matrix.sparkSession.createDataFrame(rows, f"`{group}` {dict(matrix.dtypes)[group]}, _s double, _m double")
+    own = F.when(F.col("a") == F.col("b"), F.col("_s") * F.col("_m")).otherwise(0.0)
+    value = F.when(F.col("_s") == 0, F.col("value")).otherwise((1 - F.col("_s")) * F.col("value") + own)
+    return matrix.join(table, group).select(group, "a", "b", value.alias("value"))
 
 
 def correlation(m: DataFrame, keys=()) -> DataFrame:

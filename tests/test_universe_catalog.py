@@ -7,11 +7,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from panelquant.functions import linear
+from panelquant.functions import linear, ranking
 from panelquant.functions.columns import safe_corr
 from panelquant.operators import backtest as bt
 from panelquant.operators import fundamentals as fd
-from panelquant.operators import perftests, pit, predictive, quality, regress, returns, risk, scores
+from panelquant.operators import models, perftests, pit, predictive, quality, regress, returns, risk, scores
 from panelquant.operators import universe as un
 from panelquant.sources import catalog
 from panelquant.sources.files import scratch
@@ -329,3 +329,34 @@ def test_bootstrap_of_five_thousand_strategies(spark):
     got = perftests.bootstrap_sharpe_diff(df, 3)
     n, low, high = got.agg(F.count(F.lit(1)), F.min("p_value"), F.max("p_value")).first()
     assert n == 5000 * 4999 // 2 and 0 <= low <= high <= 1
+
+
+def matrix_rows(name, m):
+    return [(name, f"x{i:02d}", f"x{j:02d}", float(m[i, j])) for i in range(len(m)) for j in range(i, len(m))]
+
+
+def test_eigenvalue_floor(spark):
+    g = rng(9)
+    x = g.normal(size=(5, 12))
+    short = np.corrcoef(x, rowvar=False)  # rank 4 of 12
+    good = np.cov(g.normal(size=(400, 8)), rowvar=False)
+    one = np.array([[0.5]])
+    df = spark.createDataFrame(matrix_rows("short", short) + matrix_rows("good", good) + matrix_rows("one", one), "g string, a string, b string, value double")
+    low = risk.lowest_eigenvalue(df, "g")
+    assert low["good"] == pytest.approx(np.linalg.eigvalsh(good)[0], rel=1e-6) and low["one"] == pytest.approx(0.5) and abs(low["short"]) < 1e-6
+    got = risk.eigen_floor(df, "g").toPandas()
+    new = risk.square(got[got.g == "short"])[1]
+    assert np.linalg.eigvalsh(new)[0] >= 1e-6 - 1e-9 and np.diag(new) == pytest.approx(np.ones(12))
+    assert np.abs(new - short).max() < 1e-4
+    assert risk.square(got[got.g == "good"])[1] == pytest.approx(good, abs=0)
+
+
+def test_permutation_of_a_column(spark):
+    n = 10_007
+    df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("x"), (F.col("id") % 3).alias("y")).repartition(7)
+    got = models.permuted(df, "x", ["k"]).toPandas()
+    assert sorted(got.x) == list(range(n)) and sorted(got.k) == list(range(n)) and (got.y == got.k % 3).all()
+    assert (got.x == got.k).sum() < 10 and abs(np.corrcoef(got.x, got.k)[0, 1]) < 0.04
+    ranks = ranking.gapless_rank(df, F.col("k").desc()).toPandas()
+    assert (ranks["rank"] == n - 1 - ranks.k).all()
+    assert models.permuted(df.limit(0), "x", ["k"]).count() == 0
