@@ -127,9 +127,26 @@ def regime_posterior(model, order, features: DataFrame, states: int = 3) -> Data
     return d.withColumn("dominant_regime", F.element_at(F.array(*[F.lit(n) for n in names]), at))
 
 
-def regime_transitions(posterior: DataFrame) -> DataFrame:
-    """(state_from, state_to, probability) between consecutive dates."""
+def regime_transitions(posterior: DataFrame, states: int = 3) -> DataFrame:
+    """(state_from, state_to, n, probability) between consecutive dates, for every pair of states; a state that is never left has no probabilities."""
+    names = STATE_NAMES if states == 3 else [f"prob_state_{i}" for i in range(states)]
     nxt = F.lead("dominant_regime").over(Window.partitionBy(F.lit(1)).orderBy("ts"))
     t = posterior.select(F.col("dominant_regime").alias("state_from"), nxt.alias("state_to")).where("state_to is not null")
     c = t.groupBy("state_from", "state_to").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("state_from")))
+    cells = posterior.sparkSession.createDataFrame([(a, b) for a in names for b in names], "state_from string, state_to string")
+    full = cells.join(c, ["state_from", "state_to"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return full.withColumn("probability", F.col("n") / F.nullif(F.sum("n").over(Window.partitionBy("state_from")), F.lit(0)))
+
+
+def regime_means(model, order, features: DataFrame, columns: list[str], states: int = 3) -> DataFrame:
+    """(state, feature, fitted_mean, observed_mean, n): the mixture's means in order of volatility, and those of the dates that each state
+    dominates. Without a model there are no rows."""
+    schema = "state string, feature string, fitted_mean double"
+    names = STATE_NAMES if states == 3 else [f"prob_state_{i}" for i in range(states)]
+    spark = features.sparkSession
+    rows = [] if model is None else [
+        (n, c, float(model.stages[-1].gaussians[k].mean[i])) for n, k in zip(names, order) for i, c in enumerate(columns)]
+    fitted = spark.createDataFrame(rows, schema)
+    d = features.join(regime_posterior(model, order, features, states).select("ts", F.col("dominant_regime").alias("state")), "ts")
+    seen = d.unpivot(["state"], columns, "feature", "x").groupBy("state", "feature").agg(F.avg("x").alias("observed_mean"), F.count("x").alias("n"))
+    return fitted.join(seen, ["state", "feature"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

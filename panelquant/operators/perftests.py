@@ -178,6 +178,7 @@ def qualification_dsr(returns: DataFrame, strategy: str = "strategy", value: str
                     "skewness", "kurtosis", F.lit(cut).alias("trials_penalty"))
 
 
+# Stage of each verdict.
 STAGES = {"PASS": "Scale / Multi-Asset Deployment", "CONDITIONAL PASS": "Paper Trading / Small Capital Testing",
           "OVERFIT": "Reject & Redesign Alpha", "FAILED": "Reject"}
 
@@ -196,4 +197,16 @@ def qualification_verdict(path: DataFrame, strategy: str = "strategy", value: st
               .when(F.abs("max_drawdown") > 0.35, "FAILED").when(dsr < 0.85, "CONDITIONAL PASS").otherwise("PASS"))
     stages = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])
     d = d.withColumn("qualification_status", status)
-    return d.withColumn("deployment_stage", stages[F.col("qualification_status")])
+    return d.withColumn("deployment_stage", stages[F.col("qualification_status")]).withColumn("reasons", F.array(_reason()))
+
+
+def _reason() -> Column:
+    """Why a strategy got its verdict, with the figure that decided."""
+    dsr, deep = F.col("deflated_sharpe_ratio") * 100, F.abs("max_drawdown") * 100
+    status = F.col("qualification_status")
+    return (F.when(status == "OVERFIT", F.format_string("Deflated Sharpe ratio of %.1f%% is below 50%%: likely an effect of the trials", dsr))
+            .when((status == "FAILED") & ((F.col("observed_sharpe") < 0.40) | (F.col("information_ratio") < 0)),
+                  F.format_string("Too little return for its risk: Sharpe %.2f, information ratio %.2f", "observed_sharpe", "information_ratio"))
+            .when(status == "FAILED", F.format_string("Largest drawdown of %.1f%% is beyond 35%%", deep))
+            .when(status == "CONDITIONAL PASS", F.format_string("Deflated Sharpe ratio of %.1f%% asks for more dates out of sample", dsr))
+            .otherwise(F.format_string("Deflated Sharpe ratio of %.1f%% holds after costs and trials", dsr)))

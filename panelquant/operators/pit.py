@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,10 +34,36 @@ def month_starts(first: int, last: int) -> list[dt.date]:
     return out
 
 
-def valid_at(df: DataFrame, as_of: list, keys="asset", ts="ts", name="as_of") -> DataFrame:
+@dataclass(frozen=True)
+class Grid:
+    """Decision dates at a regular pace between two dates, both included: the Mondays (weekly) or all weekdays (daily).
+
+    A grid makes the dates between two rows from these alone, so the work of a row is that of the dates it holds for, however long the grid is."""
+
+    first: dt.date
+    last: dt.date
+    pace: str
+
+    def inside(self, lo: Column, hi: Column) -> Column:
+        """Grid dates from ``lo`` up to, not including, ``hi``; to the end where that is null."""
+        lo = F.greatest(lo, F.lit(self.first))
+        hi = F.coalesce(F.least(F.date_sub(hi, 1), F.lit(self.last)), F.lit(self.last))
+        if self.pace == "weekly":
+            lo = F.next_day(F.date_sub(lo, 1), "MON")
+            days = F.sequence(lo, hi, F.expr("INTERVAL 7 DAYS"))
+        elif self.pace == "daily":
+            days = F.filter(F.sequence(lo, hi), lambda d: F.weekday(d) < 5)
+        else:
+            raise ValueError(f"unknown pace: {self.pace}")
+        return F.when(lo <= hi, days).otherwise(F.array().cast("array<date>"))
+
+
+def valid_at(df: DataFrame, as_of: list | Grid, keys="asset", ts="ts", name="as_of") -> DataFrame:
     """The last row per key at each decision date: a row holds from its own date until the next
     one, so each date picks one row and nothing is joined."""
     nxt = F.lead(ts).over(by_time(keys, ts))
+    if isinstance(as_of, Grid):
+        return df.withColumn("_next", nxt).withColumn(name, F.explode(as_of.inside(F.col(ts), F.col("_next")))).drop("_next")
     inside = lambda d: (d >= F.col(ts)) & (F.col("_next").isNull() | (d < F.col("_next")))
     return df.withColumn("_next", nxt).withColumn(
         name, F.explode(F.filter(dates(as_of), inside))).drop("_next")

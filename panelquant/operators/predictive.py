@@ -159,6 +159,12 @@ def magnitude_change(delta: DataFrame, baseline: str = BASELINE) -> DataFrame:
     return d.select("treatment", "factor", a.alias("abs_change"), div(a, F.abs("b_m")).alias("rel_change"))
 
 
+def experiment_grid(panel: DataFrame, xs=FACTORS, window_days: int = 252, min_dates: int = 3) -> DataFrame:
+    """(treatment, ts, factor, delta_r2) of a regression panel at any pace: out-of-sample R2 lost without each factor, per decision date."""
+    pred = oos_prediction(panel, oos_models(panel, xs, window_days, min_dates), xs)
+    return oos_incremental(pred, ("treatment", "factor", "ts")).select("treatment", "ts", "factor", "delta_r2")
+
+
 def robustness_summary(delta: DataFrame) -> DataFrame:
     """Range and deviation of the mean delta R2 across treatments."""
     g = _means(delta).where("m is not null").groupBy("factor").agg(F.min("m").alias("min"), F.max("m").alias("max"), F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("std"))
@@ -178,9 +184,12 @@ def rank_robustness(composite: DataFrame, xs=FACTORS) -> DataFrame:
 
 
 def predictive_robustness(r2: DataFrame, baseline: str = BASELINE) -> DataFrame:
-    """(treatment, r2, delta_from_baseline)."""
-    b = r2.where(F.col("treatment") == baseline).agg(F.max("r2").alias("b"))
-    return r2.select("treatment", "r2", (F.col("r2") - b.scalar()).alias("delta_from_baseline"))
+    """(treatment[, factor], r2, delta_from_baseline), against the same factor of the baseline treatment."""
+    keys = [c for c in ("factor",) if c in r2.columns]
+    base = r2.where(F.col("treatment") == baseline).select(*keys, F.col("r2").alias("_b"))
+    if not keys:
+        return r2.select("treatment", "r2", (F.col("r2") - base.agg(F.max("_b").alias("b")).scalar()).alias("delta_from_baseline"))
+    return r2.join(base, keys, "left").select("treatment", *keys, "r2", (F.col("r2") - F.col("_b")).alias("delta_from_baseline"))
 
 
 def robustness_report(sections: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:

@@ -117,11 +117,19 @@ def mean_aggregator(modules: dict[str, Column]) -> Column:
     return total / F.nullif(n, F.lit(0))
 
 
-def module_ablation(wide: DataFrame, modules=MODULES, aggregator: Callable[[dict[str, Column]], Column] = mean_aggregator) -> DataFrame:
-    """Mean absolute change of the composite when a module is left out, also as a share; one pass."""
+def risk_aggregator(modules: dict[str, Column], risk: Column, lam: float = 0.3) -> Column:
+    """The mean of the modules less the penalty of the risk score; an unknown risk counts as 50."""
+    return mean_aggregator(modules) * (1 - lam * (100.0 - F.coalesce(risk, F.lit(50.0))) / 100.0)
+
+
+def module_ablation(wide: DataFrame, modules=MODULES, aggregator: Callable[..., Column] = mean_aggregator, risk: str | None = None) -> DataFrame:
+    """Mean absolute change of the composite when a module is left out, also as a share; one pass.
+
+    With ``risk`` the aggregator gets that column as its second argument. It stays when a module is left out, also its own."""
     cols = {m: F.col(m) for m in modules}
-    d = wide.withColumn("_full", aggregator(cols))
-    change = {m: F.abs(F.col("_full") - aggregator({k: c for k, c in cols.items() if k != m})) for m in modules}
+    more = () if risk is None else (F.col(risk),)
+    d = wide.withColumn("_full", aggregator(cols, *more))
+    change = {m: F.abs(F.col("_full") - aggregator({k: c for k, c in cols.items() if k != m}, *more)) for m in modules}
     g = d.agg(F.avg(F.abs("_full")).alias("_f"), *[F.avg(c).alias(m) for m, c in change.items()])
     long = g.unpivot(["_f"], list(modules), "module", "score_change")
     return long.select("module", "score_change", F.coalesce(div("score_change", "_f"), F.lit(0.0)).alias("pct_change"))

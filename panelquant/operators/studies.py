@@ -135,19 +135,46 @@ def best_method_dsr(ens: DataFrame, n_obs: int | None = None) -> DataFrame:
     return pt.deflated_sharpe(d)
 
 
-def findings_headline(tests: DataFrame) -> DataFrame:
-    """One row: how many pairs differ at 5 % after adjustment, and who wins (the higher Sharpe)."""
-    win = F.when(F.col("sharpe_a") >= F.col("sharpe_b"), F.col("strategy_a")).otherwise(F.col("strategy_b"))
-    lose = F.when(F.col("sharpe_a") >= F.col("sharpe_b"), F.col("strategy_b")).otherwise(F.col("strategy_a"))
-    text = F.concat(win, F.lit(" significantly outperforms "), lose, F.format_string(" (p=%.4f)", F.col("bh_p")))
-    top = F.greatest(F.struct(F.col("sharpe_a").alias("s"), F.col("strategy_a").alias("m")), F.struct(F.col("sharpe_b").alias("s"), F.col("strategy_b").alias("m")))
-    g = tests.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("significant").alias("n_significant"), F.max(top).alias("best"),
-                  F.array_join(F.array_sort(F.collect_list(F.when(F.col("significant"), text))), ". ").alias("list"))  # one entry per method pair
-    none = F.concat(F.lit("There were no statistically significant differences among the methods at the 5% level after Benjamini-Hochberg correction. The best point estimate was "),
-                    F.col("best.m"), F.format_string(" (Sharpe %.2f).", F.col("best.s")))
-    one = F.concat("list", F.lit(". No other pairwise comparison reaches statistical significance after correction."))
-    return g.select("n_pairs", "n_significant", F.col("best.m").alias("best_method"),
-                    F.when(F.col("n_significant") == 0, none).when(F.col("n_significant") == 1, one).otherwise(F.concat("list", F.lit("."))).alias("headline"))
+def findings_headline(tests: DataFrame, baseline: str = METHODS["equal_weight"]) -> DataFrame:
+    """One row: how many pairs differ at 5 % after adjustment, and which methods win them (the higher Sharpe).
+
+    Winners come in order of their Sharpe ratio, each with the methods it beats; where the best method doesn't beat the ``baseline``, that is said.
+    The table has one row per pair of methods."""
+    ahead = F.col("sharpe_a") >= F.col("sharpe_b")
+    pairs = tests.select(
+        F.when(ahead, F.col("strategy_a")).otherwise(F.col("strategy_b")).alias("winner"), F.when(ahead, F.col("strategy_b")).otherwise(F.col("strategy_a")).alias("loser"),
+        F.greatest("sharpe_a", "sharpe_b").alias("s"), "bh_p", "significant")
+    top = F.max(F.struct("s", "winner")).alias("best")
+    all_of = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("significant").alias("n_significant"), top)
+    beaten = F.concat("loser", F.format_string(" (p=%.4f)", F.col("bh_p")))
+    wins = pairs.where("significant").groupBy("winner").agg(F.max("s").alias("s"), F.array_join(F.array_sort(F.collect_list(beaten)), ", ").alias("l"))
+    text = F.concat("winner", F.lit(" significantly outperforms "), "l")
+    told = wins.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), text.alias("t")))), lambda x: x["t"]), ". ").alias("told"))
+    best = all_of.select(F.col("best.winner").alias("_w"))
+    versus = pairs.where((F.col("loser") == baseline) & (F.col("winner") == best.scalar())).agg(
+        F.max(F.struct(F.col("significant").alias("beats"), "bh_p")).alias("base"))
+    d = all_of.withColumn("told", told.scalar()).withColumn("base", versus.scalar())
+    p = F.format_string(" (p=%.4f)", F.col("base.bh_p"))
+    open_ = F.col("base").isNotNull() & ~F.col("base.beats")
+    none = F.concat(F.lit("No two methods differ at the 5% level after Benjamini-Hochberg correction. The best point estimate is "), F.col("best.winner"),
+                    F.format_string(" (Sharpe %.2f)", F.col("best.s")), F.when(open_, F.concat(F.lit(f", not significantly better than {baseline}"), p)).otherwise(F.lit("")), F.lit("."))
+    one = F.concat("told", F.lit(". No other pair differs after correction."))
+    many = F.concat("told", F.lit("."), F.when(open_, F.concat(F.lit(" Even "), F.col("best.winner"), F.lit(f" doesn't beat {baseline} after correction"), p, F.lit("."))).otherwise(F.lit("")))
+    return d.select("n_pairs", "n_significant", F.col("best.winner").alias("best_method"),
+                    F.when(F.col("n_significant") == 0, none).when(F.col("n_significant") == 1, one).otherwise(many).alias("headline"))
+
+
+def findings_track1(study: DataFrame) -> DataFrame:
+    """(metric, arm, value): averages of the estimator study's columns over its splits, how much shrinkage lowers the condition number
+    (percent), and 1 for the arm with the lowest turnover."""
+    names = [c for c, t in study.dtypes if t == "double"]
+    g = study.agg(*[F.avg(c).alias(c) for c in names])
+    turn = [c for c in names if c.startswith("turnover_")]
+    lower = F.when(F.col("cond_sample") > 0, (1 - F.col("cond_lw") / F.col("cond_sample")) * 100)
+    g = g.withColumn("cond_reduction_pct", lower).withColumns({f"lowest_{c}": (F.col(c) == F.least(*turn)).cast("double") for c in turn})
+    long = g.unpivot([], [c for c in g.columns], "name", "value")
+    arm = F.regexp_extract("name", r"_(sample|lw|hrp)$", 1)
+    return long.select(F.regexp_replace("name", r"_(sample|lw|hrp)$", "").alias("metric"), arm.alias("arm"), "value")
 
 
 def findings_tables(paths: DataFrame) -> DataFrame:

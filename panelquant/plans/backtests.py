@@ -420,7 +420,12 @@ dd AS (SELECT strategy, min(wealth / top - 1) AS mdd FROM (SELECT strategy, weal
 v AS (SELECT strategy, sr, {norm_cdf('z')} AS dsr, ir, mdd FROM qual JOIN ir USING (strategy) JOIN dd USING (strategy)),
 s AS (SELECT *, CASE WHEN dsr < 0.50 THEN 'OVERFIT' WHEN sr < 0.40 OR ir < 0 THEN 'FAILED' WHEN abs(mdd) > 0.35 THEN 'FAILED' WHEN dsr < 0.85 THEN 'CONDITIONAL PASS' ELSE 'PASS' END AS st FROM v)
 SELECT strategy, st AS qualification_status, CASE st WHEN 'PASS' THEN 'Scale / Multi-Asset Deployment' WHEN 'CONDITIONAL PASS' THEN 'Paper Trading / Small Capital Testing' WHEN 'OVERFIT' THEN 'Reject & Redesign Alpha' ELSE 'Reject' END AS deployment_stage,
-  R6(sr) AS observed_sharpe, R6(dsr) AS deflated_sharpe_ratio, R6(ir) AS information_ratio FROM s""")
+  R6(sr) AS observed_sharpe, R6(dsr) AS deflated_sharpe_ratio, R6(ir) AS information_ratio,
+  CASE WHEN st = 'OVERFIT' THEN printf('Deflated Sharpe ratio of %.1f%% is below 50%%: likely an effect of the trials', dsr * 100)
+    WHEN st = 'FAILED' AND (sr < 0.40 OR ir < 0) THEN printf('Too little return for its risk: Sharpe %.2f, information ratio %.2f', sr, ir)
+    WHEN st = 'FAILED' THEN printf('Largest drawdown of %.1f%% is beyond 35%%', abs(mdd) * 100)
+    WHEN st = 'CONDITIONAL PASS' THEN printf('Deflated Sharpe ratio of %.1f%% asks for more dates out of sample', dsr * 100)
+    ELSE printf('Deflated Sharpe ratio of %.1f%% holds after costs and trials', dsr * 100) END AS reasons FROM s""")
 def _(p):
     d = p.returns().join(p.benchmark(), "ts", "left").select(F.col("asset").alias("strategy"), "ts", "r", "bm")
-    return rounded(pt.qualification_verdict(d).select("strategy", "qualification_status", "deployment_stage", "observed_sharpe", "deflated_sharpe_ratio", "information_ratio"))
+    return rounded(pt.qualification_verdict(d).select("strategy", "qualification_status", "deployment_stage", "observed_sharpe", "deflated_sharpe_ratio", "information_ratio", F.array_join("reasons", "; ").alias("reasons")))

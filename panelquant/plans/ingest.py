@@ -59,10 +59,7 @@ def _statement_files(p):
 
 @query("scan_statements", "SELECT asset, stmt, D(period_end) AS period, item, R2(value) AS value FROM stmts")
 def _(p):
-    path = _statement_files(p)
-    raw = p.spark.read.text(path)  # JSON lines written above; one record per line
-    parsed = raw.select(F.from_json("value", files.STATEMENT_SCHEMA).alias("j")).select("j.*")
-    return rounded(files.normalise_statements(parsed), 2)
+    return rounded(files.scan_statements(p.spark, _statement_files(p), per_file=False), 2)
 
 
 @query("statements_to_wide", """

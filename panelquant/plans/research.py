@@ -1,5 +1,8 @@
 """Predictive regressions, robustness, studies, learned models and decision tables."""
 
+import datetime as dt
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -16,7 +19,7 @@ from ..operators import studies as st
 from ..operators import timeseries as tsr
 from ..sources.files import cut, stored
 from .assets import LOW, MOM, QUALITY, VALUE
-from .panel import FWD, XS, months
+from .panel import _SPAN, FWD, MONTHS_SQL, XS, months
 from .regressions import _wide, moments_sql, ols_sql
 from .registry import query
 from .shared_sql import VIEWS
@@ -45,17 +48,21 @@ VIEWS["xsreg"] = ols_sql(f"SELECT treatment, ts, {moments_sql('y', pv.FACTORS)}
 VIEWS["fm_v"] = " UNION ALL ".join(f"SELECT treatment, ts, '{n}' AS factor, c{i} AS coef FROM xsreg" for i, n in enumerate(["const", *pv.FACTORS]))
 
 
-def _composite(p):
+def _dates_of(p, pace: str):
+    return months(p) if pace == "monthly" else pit.Grid(*(dt.date(y, *md) for y, md in zip(p.years(), ((1, 1), (12, 31)), strict=True)), pace)
+
+
+def _composite(p, pace: str = "monthly"):
     def build():
-        q = p.statements("quarter")
-        raw = pv.characteristics([fd.factor_value(q, p.closes(), months(p)), fd.factor_quality(q, months(p)),
-                                  tsr.factor_momentum(p.closes(), months(p)), tsr.factor_low_risk(p.returns(), months(p))])
+        q, d = p.statements("quarter"), _dates_of(p, pace)
+        raw = pv.characteristics([fd.factor_value(q, p.closes(), d), fd.factor_quality(q, d),
+                                  tsr.factor_momentum(p.closes(), d), tsr.factor_low_risk(p.returns(), d)])
         return pv.factor_composite(nz.apply_normalization(cut(raw), list(nz.TREATMENTS)))
-    return stored(p.spark, (p.path, "composite"), build)
+    return stored(p.spark, (p.path, "composite", pace), build)
 
 
-def _rpanel(p):
-    return stored(p.spark, (p.path, "rpanel"), lambda: pv.regression_panel(_composite(p), pit.forward_returns(p.closes(), months(p), 21)))
+def _rpanel(p, pace: str = "monthly"):
+    return stored(p.spark, (p.path, "rpanel", pace), lambda: pv.regression_panel(_composite(p, pace), pit.forward_returns(p.closes(), _dates_of(p, pace), 21)))
 
 
 def _pred(p):
@@ -140,6 +147,37 @@ def _(p):
     return rounded(_delta(p).select("treatment", "ts", "factor", "delta_r2"), 5)
 
 
+_WEEKDAYS = "CAST(d AS DATE) AS as_of FROM (SELECT unnest(generate_series(lo, hi + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM {span}) WHERE dayofweek(d) {which}"
+PACES = {"weekly": "= 1", "daily": "BETWEEN 1 AND 5"}
+
+
+def _paced(root: str, pace: str) -> str:
+    """The view ``root`` and all it rests on with the decision dates of another pace; returns the new name."""
+    days = f"(SELECT {_WEEKDAYS.format(span=_SPAN, which=PACES[pace])})"
+    done: dict[str, str] = {}
+
+    def visit(name: str) -> str:
+        if name not in done:
+            body = VIEWS[name].replace(MONTHS_SQL, days)
+            changed = body != VIEWS[name]
+            for other in [v for v in VIEWS if v != name and re.search(rf"\b{v}\b", body)]:
+                new = visit(other)
+                if new != other:
+                    body, changed = re.sub(rf"\b{other}\b", new, body), True
+            done[name] = f"{name}_{pace}" if changed else name
+            if changed:
+                VIEWS[done[name]] = body
+        return done[name]
+
+    return visit(root)
+
+
+for _pace in PACES:
+    @query(f"experiment_grid_{_pace}", f"SELECT {K}, factor, R4(dr) AS delta_r2 FROM {_paced('delta_v', _pace)}")
+    def _(p, pace=_pace):
+        return rounded(pv.experiment_grid(_rpanel(p, pace)), 4)
+
+
 VIEWS["nw_v"] = """
 WITH u AS (SELECT treatment, factor, ts, coef, coef - avg(coef) OVER (PARTITION BY treatment, factor) AS u FROM fm_v), l AS (SELECT *, """ + ", ".join(
     f"lag(u, {k}) OVER (PARTITION BY treatment, factor ORDER BY ts) AS l{k}" for k in range(1, 6)) + """ FROM u),
@@ -191,20 +229,43 @@ def _(p):
 
 
 def _r2(p):
-    return pv.oos_incremental(_pred(p).where("factor = 'value'")).select("treatment", F.col("r2_oos_full").alias("r2"))
+    return pv.oos_incremental(_pred(p)).select("treatment", "factor", F.col("r2_oos_full").alias("r2"))
+
 
+VIEWS["pred_rob"] = f"SELECT a.treatment, a.factor, a.rf AS r2, a.rf - b.rf AS delta_from_baseline FROM oos_inc a JOIN oos_inc b ON b.treatment = {B} AND b.factor = a.factor"
 
-@query("predictive_robustness", f"SELECT treatment, R5(rf) AS r2, R5(rf - (SELECT rf FROM oos_inc WHERE treatment = {B} AND factor = 'value')) AS delta_from_baseline FROM oos_inc WHERE factor = 'value'")
+
+@query("predictive_robustness", "SELECT treatment, factor, R5(r2) AS r2, R5(delta_from_baseline) AS delta_from_baseline FROM pred_rob")
 def _(p):
     return rounded(pv.predictive_robustness(_r2(p)), 5)
 
 
+# section, key, metrics and the view they are in
+SECTIONS = [
+    ("Summary Statistics", "factor", {"min": "min", "max": "max", "range": "max - min", "std": "std"}, "(SELECT factor, min(m) AS min, max(m) AS max, stddev_samp(m) AS std FROM delta_m GROUP BY factor)"),
+    ("Sign Stability", "treatment || '|' || factor", {"same_sign": "same_sign"},
+     f"(SELECT a.treatment, a.factor, avg((sign(a.dr) = sign(b.dr))::INT) AS same_sign FROM delta_v a JOIN delta_v b ON b.treatment = {B} AND a.factor = b.factor AND a.ts = b.ts GROUP BY 1, 2)"),
+    ("Magnitude Change", "treatment || '|' || factor", {"abs_change": "c", "rel_change": "c / m"},
+     f"(SELECT a.treatment, a.factor, abs(a.m - b.m) AS c, abs(b.m) AS m FROM delta_m a JOIN delta_m b ON b.treatment = {B} AND a.factor = b.factor WHERE a.treatment <> {B})"),
+    ("Statistical Robustness", "treatment || '|' || factor", {
+        "n": "n", "mean_coeff": "m", "nw_se": "se", "nw_t_stat": "m / se", "ci_lower": "m - 1.96 * se", "ci_upper": "m + 1.96 * se",
+        "significant": "(m - 1.96 * se > 0 OR m + 1.96 * se < 0)::INT"}, "(SELECT *, sqrt(v * n / (n - 1)) AS se FROM nw_v)"),
+    ("Rank Robustness", "treatment_a || '|' || treatment_b", {"rank_correlation": "c"}, "rankrob"),
+    ("Predictive Robustness", "treatment || '|' || factor", {"r2": "r2", "delta_from_baseline": "delta_from_baseline"}, "pred_rob"),
+]
+
+
 @query("robustness_report", " UNION ALL ".join(
-    f"SELECT 'Summary Statistics' AS section, factor AS key, '{n}' AS metric, R5({e}) AS value FROM delta_m GROUP BY factor" for n, e in (("min", "min(m)"), ("max", "max(m)"), ("range", "max(m) - min(m)"), ("std", "stddev_samp(m)")))
-    + f" UNION ALL SELECT 'Sign Stability', a.treatment || '|' || a.factor, 'same_sign', R5(avg((sign(a.dr) = sign(b.dr))::INT)) FROM delta_v a JOIN delta_v b ON b.treatment = {B} AND a.factor = b.factor AND a.ts = b.ts GROUP BY a.treatment, a.factor")
+    f"SELECT '{section}' AS section, {key} AS key, '{metric}' AS metric, R4({value}) AS value FROM {view}"
+    for section, key, metrics, view in SECTIONS for metric, value in metrics.items()))
 def _(p):
     d = _delta(p)
-    return rounded(pv.robustness_report({"Summary Statistics": (pv.robustness_summary(d), ["factor"]), "Sign Stability": (pv.sign_stability(d), ["treatment", "factor"])}), 5)
+    return rounded(pv.robustness_report({
+        "Summary Statistics": (pv.robustness_summary(d), ["factor"]), "Sign Stability": (pv.sign_stability(d), ["treatment", "factor"]),
+        "Magnitude Change": (pv.magnitude_change(d), ["treatment", "factor"]),
+        "Statistical Robustness": (pv.coefficient_significance(_fm(p)), ["treatment", "factor"]),
+        "Rank Robustness": (pv.rank_robustness(_composite(p)), ["treatment_a", "treatment_b"]),
+        "Predictive Robustness": (pv.predictive_robustness(_r2(p)), ["treatment", "factor"])}), 4)
 
 
 VIEWS["month_w"] = """
@@ -260,6 +321,12 @@ def _(p):
     return st.findings_headline(_pair_tests(p))
 
 
+@query("findings_track1")
+def _(p):
+    r, cand = _study_inputs(p)
+    return rounded(st.findings_track1(st.estimator_stability_study(r, cv.purged_cv_splits(r, 10, embargo_days=5), cand, "year(ts)")))
+
+
 @query("findings_tables")
 def _(p):
     return rounded(st.findings_tables(_bench_paths(p)))
@@ -320,6 +387,12 @@ def _(p):
     return rounded(ml.regime_transitions(ml.regime_posterior(*ml.regime_mixture_fit(f, REG), f)))
 
 
+@query("regime_means")
+def _(p):
+    f = cut(_regime_features(p))
+    return rounded(ml.regime_means(*ml.regime_mixture_fit(f, REG), f, REG))
+
+
 @query("regime_posterior")
 def _(p):
     f = cut(_regime_features(p))

@@ -189,6 +189,16 @@ def _(p):
     return rounded(sc.module_ablation(sc.wide_scores(p.module_scores())))
 
 
+_PENALTY = "(1 - 0.3 * (100 - coalesce(M5, 50)) / 100)"
+VIEWS["ablation_r"] = " UNION ALL ".join(
+    f"SELECT '{m}' AS module, avg(abs({_mean_sql(sc.MODULES)} - {_mean_sql([x for x in sc.MODULES if x != m])}) * {_PENALTY}) AS score_change, avg(abs({_mean_sql(sc.MODULES)}) * {_PENALTY}) AS base FROM scores_wide" for m in sc.MODULES)
+
+
+@query("module_ablation_risk", "SELECT module, R6(score_change) AS score_change, R6(score_change / base) AS pct_change FROM ablation_r")
+def _(p):
+    return rounded(sc.module_ablation(sc.wide_scores(p.module_scores()), aggregator=sc.risk_aggregator, risk="M5"))
+
+
 @query("rank_modules", """
 SELECT module, R6(score_change) AS score_impact, rank() OVER (ORDER BY score_change DESC) AS rank, CASE WHEN score_change > 0.5 THEN 'Critical component, highly unique information.'
   WHEN score_change > 0.1 THEN 'Valuable component, adds some unique information.' ELSE 'Redundant component, provides little unique information.' END AS interpretation FROM ablation_v""")

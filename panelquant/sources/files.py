@@ -89,10 +89,10 @@ def extend_merge_bars(*pieces: DataFrame) -> DataFrame:
     return out.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_src")
 
 
-def scan_statements(spark, path) -> DataFrame:
-    """Nested statement JSON to (asset, stmt, period, item, value); files whose three statements
-    are all empty are skipped, NaN becomes NULL."""
-    raw = spark.read.schema(STATEMENT_SCHEMA).option("multiLine", True).json(path)
+def scan_statements(spark, path, per_file: bool = True) -> DataFrame:
+    """Nested statement JSON, one document a file or (``per_file`` off) one a line, to (asset, stmt, period, item, value); documents
+    whose three statements are all empty are skipped, NaN becomes NULL."""
+    raw = spark.read.schema(STATEMENT_SCHEMA).option("multiLine", per_file).json(path)
     return normalise_statements(raw.select("*", _ticker_from_file().alias("file_ticker")))
 
 
