@@ -181,3 +181,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     guess = F.arrow_udf(predict, "struct<lang: string, score: double>")(F.when(has_letter, text))
     return docs.withColumn(out, guess)
+
+
+def certain(model: Model, language: Column, margin: float = 0.05) -> Column:
+    """Whether a result (lang, score) of ``identify`` names a language of the model with a score above chance.
+
+    Chance is one family among the known ones, and an undecided pair inside it; the score has to be ``margin`` of the way from there to 1."""
+    chance = {lang: (0.5 if len(langs) > 1 else 1.0) / len(model.families) for langs in model.members.values() for lang in langs}
+    if not chance:
+        return F.lit(False)
+    least = F.create_map(*[F.lit(v) for lang, c in chance.items() for v in (lang, c + margin * (1 - c))])
+    return F.coalesce(language["score"] >= F.try_element_at(least, language["lang"]), F.lit(False))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 META = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 _BY_SPACE = re.compile(r" *[^ ]+| +")
-CACHED = 400_000  # segmentations that a Python worker remembers, about 230 bytes each
+CACHED = 200_000  # segmentations that a Python worker remembers, about 230 bytes each
 UNSEEN, ONCE = -1, -2  # in place of a node
 SKIPS = 2  # segmentations with more skipped merges are not remembered
 LONGEST = 48  # characters of a chunk that is merged on a list and remembered

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 import corpus_pipeline
-from panelquant.llm import components, html, jaccard, pieces, urls
+from panelquant.llm import components, html, jaccard, langid, pieces, urls
 
 from .tables import LONG, collected, documents
 
@@ -259,7 +259,9 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    keep = {i for i, t in rows.items() if any(c.isalpha() for c in t or "")}
+    model = langid.train(docs)
+    chance = 1 / len(model.families) / (2 if all(len(m) > 1 for m in model.members.values()) else 1)
+    keep = {i for i, t in rows.items() if any(c.isalpha() for c in t or "") and model.predict(t.encode())[1] >= chance + 0.05 * (1 - chance)}
     first = {}
     for i in sorted(keep):
         first.setdefault(rows[i], i)

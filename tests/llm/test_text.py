@@ -1,11 +1,13 @@
 """Decontamination, secrets, personal data and language identification against brute force."""
 
+import math
 import random
 import re
 
 import pytest
 from panelquant.llm import decontaminate as dc
 from panelquant.llm import langid, pii, secrets
+from pyspark.sql import functions as F
 
 from .tables import LONG, collected, documents
 
@@ -182,3 +184,50 @@ def test_language(spark):
     assert all(0 <= r.language.score <= 1 for r in out)
     none = langid.train(docs.limit(0))
     assert {r.language.lang for r in langid.identify(docs, none).collect()} == {"und"}
+
+
+def plain_prediction(model, text):
+    """Votes and score with dictionaries and loops."""
+    kept, last = [], None
+    for b in text.encode():
+        c = ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else b if b >= 128 else 32
+        if not (c == 32 and last == 32):
+            kept.append(c)
+        last = c
+    grams = {}
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            code = 0
+            for c in kept[i:i + n]:
+                code = (code * 257 + c) % 2**32
+            at = (code * 2654435761 + n * 40503) % 2**32 >> 20
+            grams[at] = grams.get(at, 0) + 1
+    length = sum(grams.values()) ** 0.5
+    x = {k: v ** 0.5 / length for k, v in grams.items()}
+    dot = lambda w, bias: sum(w[k] * v for k, v in x.items()) + bias
+    z = [dot(w, b) for w, b in zip(model.family_weights, model.family_bias, strict=True)]
+    e = [math.exp(v - max(z)) for v in z]
+    best = e.index(max(e))
+    langs = model.members[model.families[best]]
+    votes, belief = dict.fromkeys(langs, 0), dict.fromkeys(langs, 0.0)
+    for a, b, w, bias in model.pairs[model.families[best]]:
+        m = dot(w, bias)
+        votes[b if m > 0 else a] += 1
+        q = 1 / (1 + math.exp(-2 * m))
+        belief[a], belief[b] = belief[a] + 1 - q, belief[b] + q
+    lang = sorted(langs, key=lambda v: (-votes[v], -belief[v], v))[0]
+    return lang, max(e) / sum(e) * (belief[lang] / (len(langs) - 1) if len(langs) > 1 else 1.0)
+
+
+def test_language_equals_plain_votes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, per_lang=30)
+    out = langid.identify(docs, model).select("doc_id", "text", "language", langid.certain(model, F.col("language")).alias("sure")).collect()
+    assert len(out) == 200
+    for r in out:
+        if r.language.lang != "und" and len(r.text) < 4000:
+            lang, score = plain_prediction(model, r.text)
+            assert r.language.lang == lang and r.language.score == pytest.approx(score, abs=1e-9)
+        assert r.sure == (r.language.score >= 0.25 + 0.05 * 0.75)
+    none = langid.Model([], model.family_weights, model.family_bias, {}, {})
+    assert not langid.identify(docs, none).where(langid.certain(none, F.col("language"))).take(1)
