@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelquant.llm import decontaminate, exact, jaccard, langid, pieces
-from panelquant.llm.common import settle
+from panelquant.llm.common import drop_settled, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Keeps documents in a known language: drops null texts, texts without a letter and those whose language isn't told from chance."""
     model = langid.train(docs)
-    return langid.identify(docs, model, out="_language").where(F.col("_language.lang") != langid.UNDETERMINED).select(*docs.columns)
+    known = langid.certain(model, F.col("_language"))
+    return langid.identify(docs, model, out="_language").where(known).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = settled = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
-    return docs
+        before, settled = settled, settle(stage(spark, settled, sf_dir))
+        if before is not docs:
+            drop_settled(before)  # all that its successor needs is written
+    return settled
