@@ -19,8 +19,13 @@ STATEMENTS = ("income_stmt", "balance_sheet", "cash_flow")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``. Where that is unset a local session takes its warehouse;
+    on a cluster that may be a machine's own disk, so it is an error there."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/panelquant-{uuid.uuid4().hex}/{name}"
 
 
