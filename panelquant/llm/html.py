@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from itertools import product
 
 import pyarrow as pa
@@ -62,6 +63,7 @@ def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # (tag, furniture, article) with what encloses it
+    opened: Counter = Counter()  # tags on the stack, by name
     parts: list[tuple[str, bool]] = []
     tag, attrs, own, link, at = "", "", 0, 0, 0
 
@@ -106,11 +108,13 @@ def blocks(page: str) -> list[Block]:
                     furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                     hint = _hint(inside)
                     furniture = furniture or hint < 0 or name in FURNITURE and not (name == "header" and article)
+                    opened[name] += 1
                     stack.append((name, furniture, not furniture and (article or hint > 0 or name in ("article", "main"))))
-                else:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
+                elif opened[name]:  # a stray closing tag walks no stack
+                    while True:
+                        inner = stack.pop()[0]
+                        opened[inner] -= 1
+                        if inner == name:
                             break
     flush()
     return out

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -326,11 +328,16 @@ def spans_of(text: str, model: SemiCRF) -> list[tuple[str, int, int, bool]]:
     if not _SIGN.search(text):
         return []
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = zip(*sorted((s, e) for _, s, e in base), strict=True) if base else ((), ())
+    furthest = [*accumulate(ends, max)]  # end of the spans up to each in order of start
+
+    def free(s: int, e: int) -> bool:
+        before = bisect_left(starts, e)
+        return not before or furthest[before - 1] <= s
+
     out = [(k, s, e, True) for k, s, e in base]
     for a, b in regions(text):
-        near = [(s, e) for s, e in taken if s < b and e > a]
-        out += [(k, s, e, False) for k, s, e in model.decode(text, a, b) if not any(s < y and e > x for x, y in near)]
+        out += [(k, s, e, False) for k, s, e in model.decode(text, a, b) if free(s, e)]
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 

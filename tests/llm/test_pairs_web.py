@@ -3,6 +3,7 @@
 import html as stdlib_html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -246,6 +247,14 @@ def test_html(spark):
     assert html.extract(pages.limit(0), tree).count() == 0
 
 
+def test_html_of_deep_and_stray_tags():
+    page = "<div>" * 20_000 + "</section>" * 20_000 + "<p>one</p></div><nav><p>menu</div>" + "</div>" * 5 + "<article><p>two</article>"
+    begin = time.process_time()
+    found = html.blocks(page)
+    assert time.process_time() - begin < 3
+    assert [(b.furniture, b.article) for b in found] == [(False, False), (True, False), (False, True)]
+
+
 def test_html_articles(spark):
     tree = html.train(spark)
     for page_id, page in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect():
