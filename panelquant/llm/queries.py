@@ -77,7 +77,7 @@ def op3(read):
     )
 
 
-def _op4_sql(steps: int = 10) -> str:
+def _op4_sql(steps: int = 400) -> str:
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lambda u: "coalesce(" + low.format(f"regexp_extract({u}, '{urls.URL}', 1)") + ", '')"
     fits = []
@@ -86,12 +86,8 @@ def _op4_sql(steps: int = 10) -> str:
         fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{rule}'")
     verdicts = " ".join(f"WHEN '{rule}' THEN '{v}'" for v, rule in urls.RULES)
     link = urls.LINK.replace("'", "''")
-    rounds = "".join(f""",
-m{k} AS (SELECT kind, src, CAST(sum(mass) AS BIGINT) AS mass FROM (
-  SELECT b.kind, b.dst AS src, m.mass * {urls.WALK} // (20 * degree) AS mass FROM b JOIN m{k - 1} m ON b.kind = m.kind AND b.src = m.src
-  UNION ALL SELECT kind, src, mass * {urls.STAY} // 20 FROM m0) GROUP BY 1, 2 HAVING sum(mass) > 0)""" for k in range(1, steps + 1))
     return f"""
-WITH p AS (SELECT page_id, html, {host("url")} AS host, coalesce(regexp_extract(url, '{urls.URL}', 2), '') AS path FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, html, {host("url")} AS host, coalesce(regexp_extract(url, '{urls.URL}', 2), '') AS path FROM pages),
 r AS (SELECT *, CASE {" ".join(fits)} END AS rule FROM p),
 v AS (SELECT *, CASE rule {verdicts} END AS verdict FROM r),
 l AS (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p),
@@ -102,8 +98,11 @@ e2 AS (SELECT 0 AS kind, src, dst FROM e1 UNION ALL SELECT 1, dst, src FROM e1),
 b AS (SELECT *, count(*) OVER (PARTITION BY kind, src) AS degree FROM e2),
 s AS (SELECT host, count(*) FILTER (verdict = 'allow') * {urls.UNIT} // count(*) AS trust, count(*) FILTER (verdict = 'block') * {urls.UNIT} // count(*) AS distrust
       FROM v WHERE host <> '' GROUP BY 1),
-m0 AS (SELECT 0 AS kind, host AS src, trust AS mass FROM s WHERE trust > 0 UNION ALL SELECT 1, host, distrust FROM s WHERE distrust > 0){rounds},
-f AS (SELECT src, sum(CASE WHEN kind = 1 THEN mass ELSE -mass END) AS excess FROM m{steps} GROUP BY 1)
+m0 AS (SELECT 0 AS kind, host AS src, trust AS mass FROM s WHERE trust > 0 UNION ALL SELECT 1, host, distrust FROM s WHERE distrust > 0),
+w AS (SELECT kind, src, mass * {urls.STAY} // 20 AS mass, 0 AS k FROM m0
+  UNION ALL SELECT b.kind, b.dst, CAST(sum(w.mass * {urls.WALK} // (20 * degree)) AS BIGINT), w.k + 1 FROM w JOIN b ON b.kind = w.kind AND b.src = w.src
+  WHERE w.k < {steps} GROUP BY b.kind, b.dst, w.k HAVING sum(w.mass * {urls.WALK} // (20 * degree)) > 0),
+f AS (SELECT src, sum(CASE WHEN kind = 1 THEN mass ELSE -mass END) AS excess FROM w GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(excess, 0) >= {urls.UNIT * urls.STAY // 40} THEN 'block' ELSE 'allow' END) AS verdict
 FROM v LEFT JOIN f ON v.host = f.src
 """

@@ -5,10 +5,11 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pytest
 import corpus_pipeline
-from panelquant.llm import components, html, jaccard, langid, pieces, urls
+from panelquant.llm import components, html, jaccard, langid, pieces, queries, urls
 
 from .tables import LONG, collected, documents
 
@@ -193,14 +194,19 @@ def test_urls(spark):
         if fit:
             n[1 if fit[0][0] == "allow" else 2] += 1
     seeds.pop("", None)
-    trust = brute_ranks(sorted(edges), {h: n[1] * urls.UNIT // n[0] for h, n in seeds.items()}, 10, urls.UNIT)
-    distrust = brute_ranks(sorted((b, a) for a, b in edges), {h: n[2] * urls.UNIT // n[0] for h, n in seeds.items()}, 10, urls.UNIT)
+    trust = brute_ranks(sorted(edges), {h: n[1] * urls.UNIT // n[0] for h, n in seeds.items()}, 200, urls.UNIT)
+    distrust = brute_ranks(sorted((b, a) for a, b in edges), {h: n[2] * urls.UNIT // n[0] for h, n in seeds.items()}, 200, urls.UNIT)
     for r in out:
         host, path, rule, verdict = ruled[r.page_id]
         bad = distrust.get(host, 0) - trust.get(host, 0) >= 0.5 * urls.UNIT * 3 // 20
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if bad else "allow"))
     assert {"allow", "block"} == {r.verdict for r in out if r.rule is None}
     assert urls.judge(pages.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.register("pages", pages.drop("host").toPandas())
+    want = con.execute(queries.ORACLE["op4_url_filter"]).fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, want)) == sorted(key((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in out)
 
 
 def test_ranks_on_long_chains_are_converged(spark):
