@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_settled, free_shuffles, settle
 from .components import components
 
 PIECE = 1 << 22  # bytes that are hashed at a time
@@ -204,14 +204,17 @@ def _candidate_nodes(docs: DataFrame, nodes: DataFrame, percent: int, size: int)
     held = grams.join(shared, "gram").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("held"))
     held = held.where(F.expr(f"100 * size(held) >= {percent} * n"))  # a node's own n-grams, never a group of nodes
     chosen = held.withColumn("p", _chooser(percent)(F.col("n"), F.col("held")))
-    return settle(chosen.select("node", "n", F.col("held.gram").alias("grams"), F.size("held").cast("long").alias("s"), F.col("p.l").alias("l"), F.col("p.prefix").alias("prefix")))
+    out = settle(chosen.select("node", "n", F.col("held.gram").alias("grams"), F.size("held").cast("long").alias("s"), F.col("p.l").alias("l"), F.col("p.prefix").alias("prefix")))
+    drop_settled(kept)
+    return out
 
 
 _NODE = ("node", "n", "s", "l", "width", "at")
 
 
-def similar_links(candidates: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect exactly the nodes that similar pairs connect."""
+def similar_links(candidates: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that connect exactly the nodes that similar pairs connect, and the written frames that they are read from."""
+    spark = candidates.sparkSession
     index = candidates.select("node", "n", "s", "l", F.size("prefix").alias("width"), F.posexplode("prefix").alias("at", "gram"))
 
     # the pivot of a list is the node with the smallest share of n-grams of its own
@@ -222,6 +225,8 @@ def similar_links(candidates: DataFrame, percent: int) -> DataFrame:
     best = at_pivot.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("hits"))
     best = best.groupBy("node_a").agg(F.max(F.struct("hits", "node_b")).alias("best")).select(F.col("node_a").alias("a"), F.col("best.node_b").alias("b"))
     stars = settle(_verified(best, candidates, percent))
+    del pivots, at_pivot, best
+    free_shuffles(spark)
 
     labels = components(stars)
     labelled = settle(index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -232,7 +237,7 @@ def similar_links(candidates: DataFrame, percent: int) -> DataFrame:
     right = rows.select("gram", "main", *[F.col(c).alias(f"{c}_b") for c in (*_NODE, "label")])
     met = (left["gram"] == right["gram"]) & (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
     crossing = left.join(right, met & _may_reach(percent) & _first_shared(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return stars.union(_verified(crossing, candidates, percent))
+    return stars.union(_verified(crossing, candidates, percent)), [stars, labelled]
 
 
 def _reaches(in_prefixes: str, percent: int):
@@ -271,10 +276,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("low")
     nodes = signed.where("n > 0").groupBy("node", "n").agg(low, F.first(F.struct("l", "prefix")).alias("f"))  # f is equal in all rows of a set
     nodes = settle(nodes.select("node", "n", "f.l", "f.prefix", F.col("low.doc_id").alias("low_id"), "low.row_id"))
+    free_shuffles(docs.sparkSession)
     candidates = _candidate_nodes(base, nodes, percent, size)
-    labels = components(similar_links(candidates, percent))
+    free_shuffles(docs.sparkSession)
+    links, read = similar_links(candidates, percent)
+    labels = components(links)
+    del links
+    for used in (candidates, *read):
+        drop_settled(used)
     row = F.struct(F.col("low_id").isNull().alias("no_id"), F.col("low_id").alias("component_id"), F.col("row_id").alias("kept_row"))
     labelled = settle(nodes.select("node", row.alias("row")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    drop_settled(nodes)
+    free_shuffles(docs.sparkSession)
     lowest = labelled.groupBy("label").agg(F.min("row").alias("row"))
     of_node = labelled.drop("row").join(lowest, "label").select("node", "row.component_id", "row.kept_row")
     some = F.col("n") > 0
