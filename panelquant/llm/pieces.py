@@ -11,6 +11,7 @@ Characters that the vocabulary lacks become byte pieces, also the meta symbol U+
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import re
 import zlib
@@ -461,11 +462,23 @@ def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
     def both(values: pa.Array, keys: pa.Array) -> pa.Array:
         p = _load(shared.value)
         ids = _ids(p, values, keys, dropout, seed)
-        return pa.StructArray.from_arrays([ids, _texts(p, ids)], ["ids", "text"])
+        out = pa.StructArray.from_arrays([ids, _texts(p, ids)], ["ids", "text"])
+        _give_back()
+        return out
 
     return docs.withColumn(out, F.arrow_udf(both, "struct<ids:array<int>,text:string>")(F.col(text_col), _key(id_col)))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+
+
+def _give_back() -> None:
+    """Freed memory back to the system, so that a worker between tasks holds what it remembers and not what its last batch took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def _key(id_col: str):
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("0")))
 
