@@ -24,7 +24,8 @@ def value_ladder(df: DataFrame, keys: list[str], value: str = "value", per_bucke
     grid = F.percentile_approx(value, [i / GRID for i in range(1, GRID)], 10 * GRID)
     step = F.greatest(F.floor(GRID / F.ceil(F.col("_values") / per_bucket)), F.lit(1))
     cuts = freq.groupBy(*keys).agg(grid.alias("_grid"), F.count(F.lit(1)).alias("_values"))
-    cuts = cuts.select(*keys, F.filter("_grid", lambda _, i: (i + 1) % step == 0).alias("_cuts"))
+    # Estimated cut points depend on the order in which partial results arrive. Two branches below read them, so they are estimated once.
+    cuts = cut(cuts.select(*keys, F.filter("_grid", lambda _, i: (i + 1) % step == 0).alias("_cuts")))
     placed = freq.join(cuts, keys).select(
         *keys, value, "cnt",
         F.aggregate("_cuts", F.lit(0), lambda a, c: a + (c < F.col(value)).cast("int")).alias("_b"),

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelquant.functions.ranking import average_rank, group_quantiles
+from panelquant.functions.ranking import average_rank, group_quantiles, value_ladder
 from panelquant.streaming.kill_switch import write_audit_batch
 
 
@@ -25,6 +25,15 @@ def test_large_and_small_groups(spark):
             assert np.allclose(q[g], part["value"].dropna().quantile([0.1, 0.75]))
 
 
+def test_cut_points_are_estimated_once(spark):
+    """Both readers of the cut points must see the same ones, in whatever order partial estimates arrive."""
+    df = spark.range(0, 200_000, 1, 16).select(F.lit("g").alias("g"), F.pmod(F.hash("id"), F.lit(1 << 30)).cast("double").alias("value"))
+    ladder = value_ladder(df, ["g"], per_bucket=1000)
+    assert "percentile_approx" not in ladder._jdf.queryExecution().optimizedPlan().toString()
+    got = average_rank(df, ["g"], ladder=ladder).toPandas()
+    assert np.array_equal(got["rank"], got["value"].rank(method="average"))
+
+
 def test_replayed_audit_batch(spark, tmp_path):
     d = spark.createDataFrame([("a", 0.5, 0.2), ("b", 0.1, 0.4)], "asset string, target_weight double, previous_weight double")
     for batch in (0, 1, 1):
