@@ -130,8 +130,17 @@ def rolling_slope(min_var: float = 0.0) -> Column:
     return F.when(var / (n - 1) > min_var, cov / F.nullif(var, F.lit(0.0)))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a small table that is about to grow in a join. The partition count is given, so that
-    adaptive execution does not fold the still small table into one task."""
+GROWN_ROWS = 4_000_000  # that a task is meant to make of its share of a table that grows in a join
+
+
+def spread(df: DataFrame, *keys: str, growth: int = 30) -> DataFrame:
+    """Hash-partition a small table that is about to grow in a join, a row to about ``growth`` rows. The partition count is given, so that
+    adaptive execution does not fold the still small table into one task; it follows the rows, so that tasks don't grow with the table."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartition(n, *keys)
+    return df.repartition(max(n, -(-df.count() * growth // GROWN_ROWS)), *keys)
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast. The planner's estimates miss the rows that ``explode`` makes, so
+    a large table can look small enough to pass through the driver."""
+    return df.hint("merge")

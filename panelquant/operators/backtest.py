@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import by_time, div, running, spread, trailing, unpivot, when_full
+from ..functions.columns import by_shuffle, by_time, div, running, spread, trailing, unpivot, when_full
 from ..sources.files import cut
 from .pit import asof_join
 from .returns import running_product
@@ -47,7 +47,7 @@ def normalise_targets(weights: DataFrame, keys: list[str]) -> DataFrame:
     """Negative weights to zero, rest to sum one, equal weights where nothing is left."""
     d = weights.withColumn("w", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)))
     t = d.groupBy(*keys, "ts").agg(F.sum("w").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    return d.join(t, [*keys, "ts"]).select(*keys, "ts", "asset", F.when(F.col("_t") > 0, F.col("w") / F.col("_t")).otherwise(1.0 / F.col("_k")).alias("w"))
+    return d.join(by_shuffle(t), [*keys, "ts"]).select(*keys, "ts", "asset", F.when(F.col("_t") > 0, F.col("w") / F.col("_t")).otherwise(1.0 / F.col("_k")).alias("w"))
 
 
 FAR = "9999-12-31"
@@ -62,7 +62,7 @@ def holding_growth(targets: DataFrame, returns: DataFrame, keys: list[str]) -> t
     shared = [k for k in keys if k in returns.columns]
     nxt = F.coalesce(F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts")), F.lit(FAR).cast("date"))
     calendar = targets.select(*keys, "ts").distinct().withColumn("nxt", nxt)  # one row per rebalance of a portfolio
-    plan = targets.join(calendar, [*keys, "ts"]).select(*keys, "asset", F.col("ts").alias("period"), "nxt", "w")
+    plan = cut(targets.join(by_shuffle(calendar), [*keys, "ts"]).select(*keys, "asset", F.col("ts").alias("period"), "nxt", "w"))
     spans = plan.select(*shared, "period", "nxt").distinct()
     cal = F.array_sort(F.collect_set("ts")).alias("_cal")  # trading dates, bounded by the calendar
     spans = spans.join(returns.groupBy(*shared).agg(cal), shared) if shared else spans.withColumn("_cal", returns.agg(cal).scalar())
@@ -86,13 +86,18 @@ def gross_path(plan: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame
     return v.withColumn("r_gross", F.col("ratio") / prev - 1)
 
 
-def rebalance_trades(plan: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, period, asset, dw): change from the drifted weight of the period just before (zero if not held in it)."""
+def period_ends(plan: DataFrame, growth: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The plan with the growth ``g`` of each holding over its whole period, and (keys, period, growth) of the portfolios."""
     shared = [k for k in keys if k in growth.columns]
     last = growth.groupBy(*shared, "period", "nxt", "asset").agg(F.max_by("growth", "ts").alias("g"))
     end = plan.join(last, [*shared, "period", "nxt", "asset"])
-    total = end.groupBy(*keys, "period").agg(F.sum(F.col("w") * F.col("g")).alias("_v"))
-    d = end.join(total, [*keys, "period"]).withColumn("drift", F.col("w") * F.col("g") / F.nullif("_v", F.lit(0.0)))
+    return end, end.groupBy(*keys, "period").agg(F.sum(F.col("w") * F.col("g")).alias("growth"))
+
+
+def rebalance_trades(plan: DataFrame, growth: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, period, asset, dw): change from the drifted weight of the period just before (zero if not held in it)."""
+    end, total = period_ends(plan, growth, keys)
+    d = end.join(by_shuffle(total), [*keys, "period"]).withColumn("drift", F.col("w") * F.col("g") / F.nullif("growth", F.lit(0.0)))
     held = d.where(F.col("nxt") < F.lit(FAR).cast("date")).select(*keys, "asset", F.col("nxt").alias("period"), "drift")
     both = plan.select(*keys, "asset", "period", "w").join(held, [*keys, "asset", "period"], "full")  # sold assets have no target
     return both.select(*keys, "period", "asset", (F.coalesce("w", F.lit(0.0)) - F.coalesce("drift", F.lit(0.0))).alias("dw"))
@@ -105,13 +110,15 @@ def portfolio_path(targets: DataFrame, returns: DataFrame, liquidity: DataFrame,
     Growth, turnover and liquidity are set-oriented. Only the wealth after costs is sequential (``cost_fold``): trades in order of
     period and asset name, one pass over a sorted partition."""
     t = normalise_targets(targets, keys)
-    plan, growth = holding_growth(cut(t), cut(returns), keys)
+    plan, growth = holding_growth(t, cut(returns), keys)
     growth = cut(growth)
     path = gross_path(plan, growth, keys)
-    trades = asof_join(rebalance_trades(plan, growth, keys), liquidity, ["asset"], "period", "ts", ["adv", "vol"])  # the last row known then
-    ends = path.groupBy(*keys, "period").agg(F.max_by("ratio", "ts").alias("growth"))
-    chain = cost_fold(trades.join(ends, [*keys, "period"]), keys, capital, linear_bps)
-    d = path.join(chain, [*keys, "period"])
+    # The last row known then is looked up once per asset and date, not per portfolio. Trades are where a period begins or ends.
+    pairs = plan.select("asset", "period").unionByName(plan.select("asset", F.col("nxt").alias("period"))).distinct()
+    known = cut(asof_join(pairs, liquidity, ["asset"], "period", "ts", ["adv", "vol"]).drop("matched_ts"))
+    trades = rebalance_trades(plan, growth, keys).join(known, ["asset", "period"])
+    chain = cost_fold(trades.join(by_shuffle(period_ends(plan, growth, keys)[1]), [*keys, "period"]), keys, capital, linear_bps)
+    d = path.join(by_shuffle(chain), [*keys, "period"])
     value = F.col("start") * F.col("ratio")
     w = Window.partitionBy(*keys).orderBy("ts")
     first = F.col("ts") == F.col("period")
