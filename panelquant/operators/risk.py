@@ -243,7 +243,8 @@ def joint_tail_risk(returns: DataFrame, weights: DataFrame, portfolio: str = "ca
     crash = d.groupBy("ts").agg((F.count_if(F.col("r") < drop) >= F.count(F.lit(1)) / 2).cast("double").alias("c"))
     total = weights.groupBy(portfolio).agg(F.sum("w").alias("_t"))
     w = weights.join(total, portfolio).where("_t > 0").select(portfolio, "asset", (F.col("w") / F.col("_t")).alias("w"))
-    path = spread(w, portfolio).join(d, "asset").groupBy(portfolio, "ts").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
+    dates = d.select("ts").distinct().count()
+    path = spread(w, portfolio, growth=dates).join(d, "asset").groupBy(portfolio, "ts").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
     v = value_at_risk(path, levels=(0.99,), keys=(portfolio,))
     p = crash.agg(F.avg("c").alias("p"))
     return v.select(portfolio, F.col("var").alias("var_99"), F.col("cvar").alias("cvar_99"), p.scalar().alias("joint_crash_probability"))
