@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import div
+from ..functions.columns import by_shuffle, div
 from ..functions.gram import pair_moments
 from .risk import complete_dates, correlation, square
 
@@ -104,15 +104,15 @@ def candidate_portfolio_scoring(weights: DataFrame, mu: DataFrame, cov: DataFram
     keys = list(keys)
     ok = weights.groupBy(*keys, candidate).agg(F.min("w").alias("lo"), F.max("w").alias("hi"), F.sum("w").alias("t")).where(
         (F.col("lo") >= 0) & (F.col("hi") <= max_weight) & (F.abs(F.col("t") - 1) < 1e-9)).select(*keys, candidate)
-    w = weights.join(ok, [*keys, candidate], "left_semi")
+    w = weights.join(by_shuffle(ok), [*keys, candidate], "left_semi")
     both = cov.select(*keys, F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).alias("e"), "value").select(*keys, "e.a", "e.b", "value")
     left = w.select(*keys, candidate, F.col("asset").alias("a"), "w").join(both, [*keys, "a"]).groupBy(*keys, candidate, "b").agg(
         F.sum(F.col("w") * F.col("value")).alias("sw"))
-    risk = left.join(w.select(*keys, candidate, F.col("asset").alias("b"), "w"), [*keys, candidate, "b"]).groupBy(*keys, candidate).agg(
+    risk = left.join(by_shuffle(w.select(*keys, candidate, F.col("asset").alias("b"), "w")), [*keys, candidate, "b"]).groupBy(*keys, candidate).agg(
         F.sqrt(F.greatest(F.sum(F.col("w") * F.col("sw")), F.lit(0.0))).alias("expected_volatility"))
     ret = w.join(mu.select(*keys, "asset", "mu"), [*keys, "asset"]).groupBy(*keys, candidate).agg(F.sum(F.col("w") * F.col("mu")).alias("expected_return"))
-    d = ret.join(risk, [*keys, candidate]).withColumn(
+    d = ret.join(by_shuffle(risk), [*keys, candidate]).withColumn(
         "sharpe_ratio", F.coalesce(div(F.col("expected_return") - risk_free, "expected_volatility"), F.lit(0.0)))
     if keys:
         best = d.groupBy(*keys).agg(F.min_by(candidate, F.struct(F.coalesce(-F.col("sharpe_ratio"), F.lit(float("inf"))), candidate)).alias("_best"))

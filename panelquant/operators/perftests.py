@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, div
+from ..functions.columns import by_shuffle, col, div
 from ..functions.dist import norm_cdf, norm_ppf
 from ..functions.gram import block_count, block_pairs, pair_moments
 from ..functions.mixing import mix, unit
@@ -64,7 +64,7 @@ def _resampled(returns: DataFrame, replicates: int, block_length: float, seed: i
     pos = positions(returns)
     size = pos.agg((F.max("src") + 1).alias("n"))
     idx = bootstrap_index(F.col("n"), size, replicates, block_length, seed)
-    return pos, idx.join(pos, "src").groupBy("rep", "asset").agg(
+    return pos, by_shuffle(idx).join(pos, "src").groupBy("rep", "asset").agg(
         F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"))
 
 

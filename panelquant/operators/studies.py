@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import div
+from ..functions.columns import by_shuffle, div
 from ..sources.files import cut
 from . import allocation as al
 from . import perftests as pt
@@ -41,7 +41,7 @@ def split_weights(tagged: DataFrame, candidates: DataFrame, chunk: str, views: D
 
     def best(cov: DataFrame, mean: DataFrame, method: str) -> DataFrame:
         top = al.candidate_portfolio_scoring(cand, mean, cov, keys=["path_id"]).where("best").select("path_id", "candidate")
-        return cand.join(top, ["path_id", "candidate"]).select("path_id", F.lit(method).alias("method"), "asset", "w")
+        return by_shuffle(cand).join(top, ["path_id", "candidate"]).select("path_id", F.lit(method).alias("method"), "asset", "w")
 
     even = mu.withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("path_id"))).select("path_id", F.lit("equal_weight").alias("method"), "asset", "w")
     mu_reg = mu
