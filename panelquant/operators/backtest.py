@@ -117,7 +117,8 @@ def portfolio_path(targets: DataFrame, returns: DataFrame, liquidity: DataFrame,
     pairs = plan.select("asset", "period").unionByName(plan.select("asset", F.col("nxt").alias("period"))).distinct()
     known = cut(asof_join(pairs, liquidity, ["asset"], "period", "ts", ["adv", "vol"]).drop("matched_ts"))
     trades = rebalance_trades(plan, growth, keys).join(known, ["asset", "period"])
-    chain = cost_fold(trades.join(by_shuffle(period_ends(plan, growth, keys)[1]), [*keys, "period"]), keys, capital, linear_bps)
+    ends = path.groupBy(*keys, "period").agg(F.max_by("ratio", "ts").alias("growth"))
+    chain = cost_fold(trades.join(by_shuffle(ends), [*keys, "period"]), keys, capital, linear_bps)
     d = path.join(by_shuffle(chain), [*keys, "period"])
     value = F.col("start") * F.col("ratio")
     w = Window.partitionBy(*keys).orderBy("ts")
