@@ -8,6 +8,7 @@ from panelquant.operators import allocation as al
 from panelquant.operators import backtest as bt
 from panelquant.operators import perftests as pt
 from panelquant.operators import risk as rk
+from panelquant.sources.panels import Panels
 
 from .helpers import day
 
@@ -68,3 +69,9 @@ def test_tasks_follow_the_rows_that_a_join_makes(spark, monkeypatch):
     path = _returns(spark, 300).groupBy("ts").agg(F.avg("r").alias("r")).toPandas()["r"]
     q = path.quantile(0.01)
     assert len(got) == 40 and np.allclose(got.var_99, -q) and np.allclose(got.cvar_99, max(-q, -path[path <= q].mean()))
+
+
+def test_parts_and_customers_are_not_broadcast(spark):
+    p = Panels(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in _plan(p.trades())
+    assert p.trades().count() == p.table("lineitem").count()
