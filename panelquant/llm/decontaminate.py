@@ -13,13 +13,14 @@ travel with it from pass to pass.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import held, settle
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 PIECE = 1 << 22  # bytes of a document that are split into words at a time
@@ -111,17 +112,12 @@ def search_text(text: bytes, tables: list[tuple], size: int) -> tuple[int, list[
     return done, merge(spans), items
 
 
-_TABLES: dict[int, list[tuple]] = {}
-
-
 def _marker(broadcast, size: int):
     """Text and earlier marks -> marks."""
+    key = uuid.uuid4().hex  # a worker's address of the broadcast can be that of an earlier one
+
     def mark(text: pa.Array, before: pa.Array) -> pa.Array:
-        key = broadcast._jbroadcast.id() if getattr(broadcast, "_jbroadcast", None) is not None else id(broadcast)
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = pattern_tables(broadcast.value, size)
-        tables, out = _TABLES[key], []
+        tables, out = held("decontaminate", key, lambda: pattern_tables(broadcast.value, size)), []
         for value, old in zip(text, before, strict=True):
             value, old = value.as_buffer(), old.as_py() or {"hits": [], "items": []}
             n, spans, items = search_text(value.to_pybytes() if value else b"", tables, size)

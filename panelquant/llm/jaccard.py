@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, free_shuffles, settle
+from .common import drop_settled, free_shuffles, let_go, number_lists, settle
 from .components import components
 
 PIECE = 1 << 22  # bytes that are hashed at a time
@@ -90,33 +90,40 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+GRAMS_A_TASK = 1 << 19  # n-grams of prefixes that a task counts, about 120 bytes each
 _SIGNATURE = "struct<n: bigint, node: bigint, l: int, prefix: array<int>>"
 
 
 def _signature(percent: int, size: int):
-    kind = pa.struct([("n", pa.int64()), ("node", pa.int64()), ("l", pa.int32()), ("prefix", pa.list_(pa.int32()))])
-
     def sign(values: pa.Array) -> pa.Array:
-        out = []
+        let_go("jaccard")
+        sizes, nodes, needs, prefixes = [], [], [], []
         for v in values:
             grams = ngrams(v.as_buffer().to_pybytes(), size) if v.is_valid else ()
             n = len(grams)
+            sizes.append(n)
             if not n:
-                out.append({"n": 0, "node": None, "l": 0, "prefix": []})
+                nodes.append(None)
+                needs.append(0)
+                prefixes.append(np.zeros(0, np.int32))
                 continue
             node = int(_mix(np.array([int(np.bitwise_xor.reduce(_mix(grams + _U(1)))) ^ (int(grams.sum()) * 31 + n) & (1 << 64) - 1], _U))[0].astype(np.int64))
             o = least_overlap(n, percent)
             matches = min(o, 1 + (n - o) * 5 // 8)
             low = np.partition(_mix(grams), min(n - 1, n - o + matches - 1))[:n - o + matches]
-            out.append({"n": n, "node": node, "l": matches, "prefix": (low & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()})
-        return pa.array(out, kind)
+            nodes.append(node)
+            needs.append(matches)
+            prefixes.append((low & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+        columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), number_lists(prefixes, np.int32)]
+        return pa.StructArray.from_arrays(columns, ["n", "node", "l", "prefix"])
 
     return F.arrow_udf(sign, _SIGNATURE)
 
 
 def _ngram_lists(size: int):
     def lists(values: pa.Array) -> pa.Array:
-        return pa.array([ngrams(v.as_buffer().to_pybytes(), size).view(np.int64).tolist() for v in values], pa.list_(pa.int64()))
+        let_go("jaccard")
+        return number_lists([ngrams(v.as_buffer().to_pybytes(), size).view(np.int64) for v in values], np.int64)
 
     return F.arrow_udf(lists, "array<bigint>")
 
@@ -186,13 +193,24 @@ def _may_hold(kept: DataFrame):
     return lambda row_id: test(*_bit_places(row_id))
 
 
+def _repeated(nodes: DataFrame) -> DataFrame:
+    """(gram) that several prefixes hold, written.
+
+    Nearly all n-grams are in one prefix only, so counting before the shuffle takes a table entry for each n-gram that a task
+    sees: tasks are dealt out by the n-grams, not by the size of the files. Counts and n-grams aren't on disk at the same time."""
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    dealt = nodes.select("node", "prefix").repartition(1 + total // GRAMS_A_TASK, "node").select(F.explode("prefix").alias("gram"))
+    return settle(dealt.groupBy("gram").count().where("count > 1").select("gram"))
+
+
 def _candidate_nodes(docs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
     """(node, n, grams, s, l, prefix) of nodes that may have a similar one.
 
     ``nodes`` has (node, n, l, prefix, low_id, row_id); the last two name the row of ``docs`` (doc_id, row_id, text) that stands
     for the node, so the text of a hot group of copies is read once."""
     index = nodes.select("node", F.explode("prefix").alias("gram"))
-    often = index.groupBy("gram").count().where("count > 1").select("gram")
+    often = _repeated(nodes)
+    free_shuffles(docs.sparkSession)
     hits = index.join(often, "gram").groupBy("node").count()
     named = nodes.select("node", "n", "l", "row_id", F.coalesce("low_id", F.lit(0)).alias("low_id"), F.col("low_id").isNull().alias("no_id"))
     kept = settle(named.join(hits, "node").where("count >= l").drop("count", "l"))
@@ -206,6 +224,7 @@ def _candidate_nodes(docs: DataFrame, nodes: DataFrame, percent: int, size: int)
     chosen = held.withColumn("p", _chooser(percent)(F.col("n"), F.col("held")))
     out = settle(chosen.select("node", "n", F.col("held.gram").alias("grams"), F.size("held").cast("long").alias("s"), F.col("p.l").alias("l"), F.col("p.prefix").alias("prefix")))
     drop_settled(kept)
+    drop_settled(often)
     return out
 
 

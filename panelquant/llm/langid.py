@@ -18,7 +18,7 @@ from pyspark.ml.linalg import SparseVector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import let_go, number_lists, settle
 
 #: Families of common language codes; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -105,11 +105,8 @@ class Model:
 
 def _vectors(text: Column) -> Column:
     def vector(values: pa.Array) -> pa.Array:
-        out = []
-        for v in values:
-            x = features(v.as_buffer().to_pybytes())
-            out.append(x.astype(np.float32).tolist())
-        return pa.array(out, pa.list_(pa.float32()))
+        let_go("langid")
+        return number_lists([features(v.as_buffer().to_pybytes()).astype(np.float32) for v in values], np.float32)
 
     return F.arrow_udf(vector, "array<float>")(text)
 
@@ -173,6 +170,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(values: pa.Array) -> pa.Array:
+        let_go("langid")
         m = shared.value
         found = [m.predict(v.as_buffer().to_pybytes()) if v.is_valid else (UNDETERMINED, 0.0) for v in values]
         return pa.array([{"lang": a, "score": b} for a, b in found], pa.struct([("lang", pa.string()), ("score", pa.float64())]))

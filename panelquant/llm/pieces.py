@@ -11,7 +11,6 @@ Characters that the vocabulary lacks become byte pieces, also the meta symbol U+
 
 from __future__ import annotations
 
-import ctypes
 import heapq
 import re
 import zlib
@@ -25,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back, held
+
 META = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 _BY_SPACE = re.compile(r" *[^ ]+| +")
@@ -418,15 +419,8 @@ class Pieces:
         return b"".join([table[i] for i in ids])[1:].decode()
 
 
-_LOADED: dict[bytes, Pieces] = {}
-
-
 def _load(model: bytes) -> Pieces:
-    key = model[:64] + zlib.crc32(model).to_bytes(4, "big")
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Pieces(model)
-    return _LOADED[key]
+    return held("pieces", model[:64] + zlib.crc32(model).to_bytes(4, "big"), lambda: Pieces(model))
 
 
 def read_model(spark: SparkSession, path: str) -> bytes:
@@ -463,22 +457,12 @@ def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
         p = _load(shared.value)
         ids = _ids(p, values, keys, dropout, seed)
         out = pa.StructArray.from_arrays([ids, _texts(p, ids)], ["ids", "text"])
-        _give_back()
+        give_back()
         return out
 
     return docs.withColumn(out, F.arrow_udf(both, "struct<ids:array<int>,text:string>")(F.col(text_col), _key(id_col)))
 
 
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-
-
-def _give_back() -> None:
-    """Freed memory back to the system, so that a worker between tasks holds what it remembers and not what its last batch took."""
-    pa.default_memory_pool().release_unused()
-    if _trim is not None:
-        _trim(0)
-
-
 def _key(id_col: str):
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("0")))
 

@@ -4,12 +4,15 @@ import html as stdlib_html
 import random
 import re
 import time
+import tracemalloc
+import weakref
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import corpus_pipeline
-from panelquant.llm import components, html, jaccard, langid, pieces, queries, urls
+from panelquant.llm import common, components, html, jaccard, langid, pieces, queries, urls
 
 from .tables import LONG, collected, documents
 
@@ -89,6 +92,61 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     assert len(set(jaccard.word_hashes(b"a A b ab a b").tolist())) == 3
 
 
+def test_worker_keeps_tables_of_one_step(monkeypatch):
+    class Task:
+        stage = 1
+
+        @classmethod
+        def get(cls):
+            return cls
+
+        @classmethod
+        def stageId(cls):  # noqa: N802
+            return cls.stage
+
+    monkeypatch.setattr(common, "TaskContext", Task, raising=False)
+    model, texts = pieces.installed_model(), pa.array(["a b c d e f"])
+    near, lists = jaccard._signature(80, 5).func, jaccard._ngram_lists(5).func
+    for other in (near, lists):
+        tables = weakref.ref(pieces._load(model))
+        assert pieces._load(model) is tables()
+        other(texts)
+        assert tables() is not None  # a step of the same stage
+        Task.stage += 1
+        other(texts)
+        assert tables() is None
+
+
+def test_ngram_lists_are_no_python_integers():
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.random()) for _ in range(2000)) for _ in range(100)]
+    values, total = pa.array(texts), 100 * 1996
+    run = jaccard._ngram_lists(5).func
+    run(values[:1])
+    tracemalloc.start()
+    try:
+        out = run(values)
+        assert tracemalloc.get_traced_memory()[1] < 24 * total
+    finally:
+        tracemalloc.stop()
+    assert [len(x) for x in out] == [1996] * 100
+    assert sorted(out[7].as_py()) == sorted(jaccard.ngrams(texts[7].encode(), 5).view(np.int64).tolist())
+    assert jaccard._signature(80, 5).func(pa.array(["", None, "a b"])).to_pylist()[:2] == [{"n": 0, "node": None, "l": 0, "prefix": []}] * 2
+
+
+def test_prefixes_are_counted_in_tasks_that_follow_the_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GRAMS_A_TASK", 100)
+    rows = [(node, [node * 100 + k for k in range(40)] + [-1 - node % 7, -50]) for node in range(50)]
+    nodes = spark.createDataFrame(rows, "node long, prefix array<int>").coalesce(1)
+    tasks = []
+    groups = type(nodes).groupBy
+    monkeypatch.setattr(type(nodes), "groupBy", lambda self, *cols: tasks.append(self.rdd.getNumPartitions()) or groups(self, *cols))
+    repeated = jaccard._repeated(nodes)
+    assert tasks[-1] == 1 + 50 * 42 // 100
+    assert sorted(r.gram for r in repeated.collect()) == sorted([-50, *range(-7, 0)])
+    assert not jaccard._repeated(nodes.limit(0)).collect()
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(500, k) for k in range(501, 560)] + [(7, 7)]

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from panelquant.llm import decontaminate as dc
 from panelquant.llm import langid, pii, secrets
@@ -249,3 +250,15 @@ def test_spans_of_a_text_of_many_addresses():
         for _, s, e, base in rng.sample(got, 200):
             assert base or not any(s < y and e > x for x, y in taken)
     assert took[1] < 9 * took[0]
+
+
+def test_patterns_of_another_broadcast_at_the_same_address(spark):
+    class Sent:
+        _jbroadcast = None
+        value = [("1", b"one two")]
+
+    texts, before = pa.array(["one two", "three four"]), pa.array([None, None])
+    first, second = (dc._marker(Sent, 10).func for _ in range(2))
+    assert [x["items"] for x in first(texts, before).to_pylist()] == [["1"], []]
+    Sent.value = [("2", b"three four")]
+    assert [x["items"] for x in second(texts, before).to_pylist()] == [[], ["2"]]
