@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelquant.llm import decontaminate, exact, jaccard, langid, pieces
-from panelquant.llm.common import drop_settled, settle
+from panelquant.llm.common import bound_batches, drop_settled, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language: drops null texts, texts without a letter and those whose language isn't told from chance."""
+    bound_batches(spark)
     model = langid.train(docs)
     known = langid.certain(model, F.col("_language"))
     return langid.identify(docs, model, out="_language").where(known).select(*docs.columns)
@@ -29,17 +30,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each class of texts that share 0.8 of their five-word shingles."""
+    bound_batches(spark)
     return jaccard.drop_near_copies(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item."""
+    bound_batches(spark)
     marked = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_hits")
     return marked.where(F.size("_hits.hits") == 0).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text with merge-dropout, and whether they decode to the text."""
+    bound_batches(spark)
     coded = pieces.round_trip(docs.select("doc_id", "text"), pieces.installed_model())
     return coded.select(
         "doc_id", F.col("coded.ids").alias("ids"), F.size("coded.ids").cast("long").alias("n_pieces"),

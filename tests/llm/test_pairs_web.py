@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import corpus_pipeline
+from pyspark.sql import functions as F
 from panelquant.llm import common, components, html, jaccard, langid, pieces, queries, urls
 
 from .tables import LONG, collected, documents
@@ -134,6 +135,28 @@ def test_ngram_lists_are_no_python_integers():
     assert jaccard._signature(80, 5).func(pa.array(["", None, "a b"])).to_pylist()[:2] == [{"n": 0, "node": None, "l": 0, "prefix": []}] * 2
 
 
+def test_stages_get_long_texts_in_bounded_batches(spark, tmp_path):
+    key, n, length = "spark.sql.execution.arrow.maxBytesPerBatch", 60, 400_000
+    spark.createDataFrame([(1, "ten words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, ["short text", None, ""])
+    texts = spark.range(0, n, 1, 1).select(F.repeat(F.lit("w "), length // 2).alias("text"))
+    size = F.arrow_udf(lambda values: pa.array([values.nbytes] * len(values), pa.int64()), "long")
+    largest = lambda: texts.select(size("text").alias("size")).agg(F.max("size")).first()[0]
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            assert largest() > 2 * common.BATCH_BYTES
+            stage(spark, docs, str(tmp_path))
+            if name != "exact_dedup":  # runs no Python
+                assert largest() < common.BATCH_BYTES + 2 * length, name
+        for own, then in (("1m", "1m"), ("1g", str(common.BATCH_BYTES))):
+            spark.conf.set(key, own)
+            common.bound_batches(spark)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.unset(key)
+
+
 def test_prefixes_are_counted_in_tasks_that_follow_the_ngrams(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GRAMS_A_TASK", 100)
     rows = [(node, [node * 100 + k for k in range(40)] + [-1 - node % 7, -50]) for node in range(50)]
