@@ -214,6 +214,7 @@ def _candidate_nodes(docs: DataFrame, nodes: DataFrame, percent: int, size: int)
     hits = index.join(often, "gram").groupBy("node").count()
     named = nodes.select("node", "n", "l", "row_id", F.coalesce("low_id", F.lit(0)).alias("low_id"), F.col("low_id").isNull().alias("no_id"))
     kept = settle(named.join(hits, "node").where("count >= l").drop("count", "l"))
+    free_shuffles(docs.sparkSession)  # all prefixes, which would lie beside the n-grams of the next step
     rows = docs.where(_may_hold(kept)(F.col("row_id")))
     rows = rows.select("row_id", F.coalesce("doc_id", F.lit(0)).alias("low_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     texts = rows.join(kept, ["row_id", "low_id", "no_id"]).dropDuplicates(["row_id", "low_id", "no_id"])

@@ -157,6 +157,15 @@ def test_stages_get_long_texts_in_bounded_batches(spark, tmp_path):
         spark.conf.unset(key)
 
 
+def test_shuffle_of_prefixes_is_let_go_before_ngrams(spark, monkeypatch):
+    done, settle, lists = [], jaccard.settle, jaccard._ngram_lists
+    monkeypatch.setattr(jaccard, "settle", lambda df: (settle(df), done.append("written"))[0])
+    monkeypatch.setattr(jaccard, "free_shuffles", lambda spark: done.append("freed"))
+    monkeypatch.setattr(jaccard, "_ngram_lists", lambda size: (lists(size), done.append("n-grams"))[0])
+    jaccard.near_classes(documents(spark, ["a b c d e f g", "a b c d e f g h", "x y"]))
+    assert done[done.index("n-grams") - 2:][:2] == ["written", "freed"]
+
+
 def test_prefixes_are_counted_in_tasks_that_follow_the_ngrams(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GRAMS_A_TASK", 100)
     rows = [(node, [node * 100 + k for k in range(40)] + [-1 - node % 7, -50]) for node in range(50)]
