@@ -17,10 +17,15 @@ PER_BUCKET = 20_000  # distinct values that a bucket is meant to hold
 GRID = 1024  # cut points that are estimated; a group uses as many of them as it needs
 
 
-def value_ladder(df: DataFrame, keys: list[str], value: str = "value", per_bucket: int = PER_BUCKET) -> DataFrame:
+def value_counts(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """One row per (keys, distinct non-null value) with the number of its rows, ``cnt``."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def value_ladder(df: DataFrame, keys: list[str], value: str = "value", per_bucket: int = PER_BUCKET, counts: DataFrame | None = None) -> DataFrame:
     """One row per (keys, distinct non-null value): ``cnt``, ``before`` (rows with a smaller
-    value) and ``n`` (rows of the group)."""
-    freq = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    value) and ``n`` (rows of the group). ``counts`` are those of the values, where they are known already."""
+    freq = counts if counts is not None else value_counts(df, keys, value)
     grid = F.percentile_approx(value, [i / GRID for i in range(1, GRID)], 10 * GRID)
     step = F.greatest(F.floor(GRID / F.ceil(F.col("_values") / per_bucket)), F.lit(1))
     cuts = freq.groupBy(*keys).agg(grid.alias("_grid"), F.count(F.lit(1)).alias("_values"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, full, running, sample_kurtosis, sample_skew, unpivot
+from ..functions.columns import clip, full, rounded, running, sample_kurtosis, sample_skew, unpivot
 from ..functions.dist import norm_ppf
-from ..functions.ranking import average_rank, group_quantiles, value_ladder
+from ..functions.ranking import average_rank, group_quantiles, value_counts, value_ladder
+from ..sources.files import cut
 
 XS = ["ts", "characteristic"]
 
@@ -89,9 +90,9 @@ def _with_moments(df: DataFrame, value: str = "value") -> DataFrame:
     return df.join(s, XS)
 
 
-def _z(value: str = "value"):
-    return F.when(F.col("_s") == 0, F.when(F.col(value).isNotNull(), F.lit(0.0))).otherwise(
-        (F.col(value) - F.col("_m")) / F.nullif("_s", F.lit(0.0)))
+def _z(value: str = "value", mean: str = "_m", deviation: str = "_s"):
+    return F.when(F.col(deviation) == 0, F.when(F.col(value).isNotNull(), F.lit(0.0))).otherwise(
+        (F.col(value) - F.col(mean)) / F.nullif(deviation, F.lit(0.0)))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -137,34 +138,52 @@ TREATMENTS = {
 }
 
 
-def apply_normalization(df: DataFrame, names, **params) -> DataFrame:
-    """One or several treatments by name; several come back stacked with a treatment column."""
+def apply_normalization(df: DataFrame, names, digits: int | None = None, **params) -> DataFrame:
+    """One or several treatments by name; several come back stacked with a treatment column. ``digits`` rounds the scores."""
     for n in [names] if isinstance(names, str) else names:
         if n not in TREATMENTS:
             raise ValueError(f"unknown normalization {n!r}; known: {sorted(TREATMENTS)}")
     if isinstance(names, str):
-        return TREATMENTS[names](df, **params)
-    return _stacked(df, list(names))
+        out = TREATMENTS[names](df, **params)
+        return out if digits is None else rounded(out, digits)
+    return _stacked(df, list(names), digits, **params)
 
 
-def _stacked(df: DataFrame, names: list[str], lower_pct: float = 0.01, upper_pct: float = 0.99, scale_factor: float = 1.4826) -> DataFrame:
-    """All treatments from shared statistics: one ladder gives ranks and quantiles for every one of them."""
-    ladder = value_ladder(df, XS)
-    r = average_rank(df, XS, ladder=ladder)
-    q = group_quantiles(df, XS, {"lo": lower_pct, "med": 0.5, "hi": upper_pct}, ladder=ladder)
-    d = r.join(q, XS, "left").withColumn("_v", F.when(F.col("value").isNotNull(), F.least(F.greatest("value", "lo"), F.col("hi"))))
+def _value_scores(counts: DataFrame, names: list[str], digits: int | None, lower_pct: float, upper_pct: float, scale_factor: float) -> DataFrame:
+    """One row per (ts, characteristic, distinct value) with a column of scores for each treatment.
+
+    Equal values of a cross-section have equal scores, so all statistics come from the counts of values. Moments are taken around the
+    median, which is within a deviation of the mean: sums lose no digits, and a constant cross-section has a deviation of exactly zero."""
+    ladder = cut(value_ladder(counts, XS, counts=counts))
+    quantiles = cut(group_quantiles(counts, XS, {"lo": lower_pct, "med": 0.5, "hi": upper_pct}, ladder=ladder))  # a row per cross-section
+    d = ladder.join(quantiles, XS).withColumn("_v", F.least(F.greatest("value", "lo"), F.col("hi")))
     d = d.withColumn("_dev", F.abs(F.col("value") - F.col("med")))
-    s = d.groupBy(*XS).agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.avg("_v").alias("_mw"), F.stddev_samp("_v").alias("_sw"))
-    d = d.join(s, XS)
+
+    def moments(x: str, mean: str, deviation: str) -> list:
+        off, n = F.col(x) - F.col("med"), F.sum("cnt")
+        total, square = F.sum(off * F.col("cnt")), F.sum(off * off * F.col("cnt"))
+        spread = F.greatest(square - total * total / n, F.lit(0.0))
+        return [(F.first("med") + total / n).alias(mean), F.sqrt(spread / F.nullif(n - 1, F.lit(0))).alias(deviation)]
+
+    stats = d.groupBy(*XS).agg(*moments("value", "_m", "_s"), *moments("_v", "_mw", "_sw"))
     if "robust_zscore" in names:
-        mad = group_quantiles(d.select(*XS, "asset", F.col("_dev").alias("value")), XS, {"mad": 0.5})
-        d = d.join(mad, XS, "left")
-    win = F.when(F.col("_sw") == 0, F.when(F.col("_v").isNotNull(), F.lit(0.0))).otherwise((F.col("_v") - F.col("_mw")) / F.nullif("_sw", F.lit(0.0)))
+        devs = cut(d.groupBy(*XS, F.col("_dev").alias("value")).agg(F.sum("cnt").alias("cnt")))
+        stats = stats.join(group_quantiles(devs, XS, {"mad": 0.5}, ladder=value_ladder(devs, XS, counts=devs)), XS)
+    rank = F.col("before") + (F.col("cnt") + 1) / 2.0
     forms = {
-        "cross_sectional_zscore": lambda: _z(), "rank": lambda: (F.col("rank") - 0.5) / F.col("n") * 100,
-        "winsorized_zscore": lambda: win,
+        "cross_sectional_zscore": lambda: _z(), "rank": lambda: (rank - 0.5) / F.col("n") * 100,
+        "winsorized_zscore": lambda: _z("_v", "_mw", "_sw"),
         "robust_zscore": lambda: (F.col("value") - F.col("med")) / F.nullif(F.col("mad") * scale_factor, F.lit(0.0)),
-        "normal_score": lambda: norm_ppf(F.col("rank") / (F.col("n") + 1)),
+        "normal_score": lambda: norm_ppf(rank / (F.col("n") + 1)),
     }
-    rows = F.array(*[F.struct(F.lit(n).alias("treatment"), forms[n]().alias("score")) for n in names])
-    return d.select(*XS, "asset", F.explode(rows).alias("t")).select("ts", "asset", "characteristic", "t.score", "t.treatment")
+    score = lambda n: forms[n]() if digits is None else F.round(forms[n](), digits)
+    return d.join(cut(stats), XS).select(*XS, "value", *[score(n).alias(n) for n in names])
+
+
+def _stacked(df: DataFrame, names: list[str], digits: int | None = None, lower_pct: float = 0.01, upper_pct: float = 0.99,
+             scale_factor: float = 1.4826) -> DataFrame:
+    """All treatments from the counts of values: each distinct value of a cross-section is scored once, and one join gives the
+    scores to the rows. A row without a value has scores of NULL; rows without a date or characteristic are left out."""
+    scores = _value_scores(cut(value_counts(df, XS)), names, digits, lower_pct, upper_pct, scale_factor)
+    rows = df.dropna(subset=XS).join(scores, ["value", *XS], "left")
+    return unpivot(rows, ["ts", "asset", "characteristic"], names, "treatment", "score").select("ts", "asset", "characteristic", "score", "treatment")

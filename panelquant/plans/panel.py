@@ -353,4 +353,4 @@ def _(p):
 @query("apply_normalization", f"WITH {RANKED}, {XS['winsorized_zscore'][0]}, {XS['robust_zscore'][0]} " + " UNION ALL ".join(
     f"SELECT D(ts) AS ts, asset, characteristic, R6(score) AS score, '{n}' AS treatment FROM ({b})" for n, (_, b) in XS.items()))
 def _(p):
-    return rounded(nz.apply_normalization(p.chars(), list(nz.TREATMENTS)))
+    return nz.apply_normalization(p.chars(), list(nz.TREATMENTS), digits=6)

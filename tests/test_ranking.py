@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelquant.functions.ranking import average_rank, group_quantiles, value_ladder
+from panelquant.operators import normalize as nz
 from panelquant.streaming.kill_switch import write_audit_batch
 
 
@@ -34,6 +35,24 @@ def test_cut_points_are_estimated_once(spark):
     assert np.array_equal(got["rank"], got["value"].rank(method="average"))
 
 
+def test_stacked_treatments_score_each_value_once(spark):
+    """Same scores as the treatments one by one, for ties, empty values, a constant cross-section and a lone row; the rows are read and joined once."""
+    x = (F.when(F.col("id") % 4 == 0, F.pmod(F.hash("id"), F.lit(40)) * 0.1).when(F.col("id") % 4 == 1, F.when(F.col("id") % 3 > 0, F.rand(1) + 1e6))
+         .when(F.col("id") % 4 == 2, F.lit(0.1)).when(F.col("id") == 3, F.lit(5.0)))
+    group = F.when((F.col("id") % 4 == 3) & (F.col("id") > 3), F.lit("empty")).otherwise(F.concat(F.lit("g"), F.col("id") % 4))
+    df = spark.range(0, 2000, 1, 4).select(F.lit("2020-01-31").cast("date").alias("ts"), F.col("id").alias("asset"), group.alias("characteristic"), x.alias("value"))
+    out = nz.apply_normalization(df, list(nz.TREATMENTS))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    got = out.toPandas().pivot(index="asset", columns="treatment", values="score")
+    assert len(got) == 2000
+    for name in nz.TREATMENTS:
+        want = nz.apply_normalization(df, name).toPandas().set_index("asset")["score"].reindex(got.index)
+        assert np.allclose(got[name], want, rtol=1e-6, atol=1e-9, equal_nan=True), name
+    assert (got["cross_sectional_zscore"][2::4] == 0).all()
+    rounded = nz.apply_normalization(df, list(nz.TREATMENTS), digits=2).toPandas().pivot(index="asset", columns="treatment", values="score")
+    assert np.allclose(rounded, got, atol=0.00500001, equal_nan=True) and np.allclose(rounded, rounded.round(2), atol=1e-12, equal_nan=True)
+
+
 def test_replayed_audit_batch(spark, tmp_path):
     d = spark.createDataFrame([("a", 0.5, 0.2), ("b", 0.1, 0.4)], "asset string, target_weight double, previous_weight double")
     for batch in (0, 1, 1):
