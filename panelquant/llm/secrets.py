@@ -1,7 +1,8 @@
 """Secret scan with a trigram inverted index, with DataFrame functions only.
 
 From every rule's regular expression a Boolean trigram query is derived: an OR of ANDs of (lower-cased) trigrams that each
-match must contain. The index holds postings (trigram, id) of the trigrams that the rules ask for. Postings are intersected
+match must contain. The index holds postings (trigram, id) of the trigrams that the rules ask for, less those that can't complete a
+conjunction in their text. Postings are intersected
 per conjunction by OR-ing the bits of its trigrams per id; ids that reach all bits are candidates, and only there the rule's
 expression runs. Rules without mandatory trigrams scan every text.
 """
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 SPANS = "array<struct<start: bigint, kind_no: int, end: bigint, kind: string>>"
 
 
@@ -147,11 +150,31 @@ def conjunctions(rules=RULES) -> list[tuple[int, frozenset]]:
     return out
 
 
-def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index: (trigram number, id) for the listed trigrams."""
-    low = F.lower(F.col(text_col))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return docs.select(F.explode(held).alias("trigram"), F.col(id_col).alias("_id"))
+def leads(trigrams: list[str], rules=RULES) -> dict[str, list[str]]:
+    """Each trigram under the one that leads it: a trigram of all conjunctions that ask for it, and of those the one that leads most.
+
+    Where the leading trigram is missing, no conjunction of those under it can be met, so they needn't be looked for."""
+    asked = {t: [tris for _, tris in conjunctions(rules) if t in tris] for t in trigrams}
+    beside = {t: frozenset.intersection(*sets) & set(trigrams) if sets else {t} for t, sets in asked.items()}
+    most = {t: sum(t in others for others in beside.values()) for t in trigrams}
+    out: dict[str, list[str]] = {}
+    for t in trigrams:
+        out.setdefault(max(beside[t], key=lambda x: (most[x], x)), []).append(t)
+    return out
+
+
+def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """The inverted index: (trigram number, id) for the listed trigrams, of texts that also hold the trigram that leads it.
+
+    Texts are lowered in a projection of their own: inside the array that would be done again for each trigram."""
+    number = {t: i for i, t in enumerate(trigrams)}
+    holds = lambda t: F.contains("_low", F.lit(t))
+    runs = [none := F.array().cast("array<int>")]
+    for lead, led in leads(trigrams, rules).items():
+        posted = F.array(*[F.lit(number[t]) if t == lead else F.when(holds(t), F.lit(number[t])) for t in led])
+        runs.append(F.when(holds(lead), posted).otherwise(none))
+    low = docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_low"))
+    return low.select(F.explode(F.concat(*runs)).alias("trigram"), "_id").where("trigram is not null")
 
 
 def candidates(index: DataFrame, trigrams: list[str], rules=RULES) -> DataFrame:
@@ -192,17 +215,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
 
     A null text is empty. Rows with equal ids (null too) share their postings, so a rule may be tried in vain on one of them;
     the spans of every row come from its own text. An empty table gives no rows. A column called ``out`` is replaced, all
-    others pass through. A text with h matches of a rule costs h squared steps of copying.
+    others pass through. A text with h matches of a rule costs h squared steps of copying. The candidates are found and stored at once;
+    they are broadcast to the texts where they are small, otherwise texts and candidates are joined by shuffle.
     """
     trigrams = sorted({t for _, tris in conjunctions(rules) for t in tris})
     served = {i for i, _ in conjunctions(rules)}
-    found = candidates(postings(docs, trigrams, id_col, text_col), trigrams, rules)
+    # Stored, so that the planner knows their size before it decides whether the texts are shuffled to them.
+    found = settle(candidates(postings(docs, trigrams, id_col, text_col, rules), trigrams, rules))
+    allowed = F.coalesce(F.col("_rules"), F.lit(0))  # with a null, Spark would go on and try the expression
     text, none = F.coalesce(F.col(f"doc.{text_col}"), F.lit("")), F.array().cast(SPANS)
     spans = []
     for i, rule in enumerate(rules):
         # a character class on its own: long enough runs are all that can count
         test = text.rlike(rule.pattern.removesuffix("+") + f"{{{rule.min_chars}}}") if re.fullmatch(r"\[[^]]+\]\+", rule.pattern) else text.rlike(rule.pattern)
-        test = test if i not in served else (F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0) & test
+        test = test if i not in served else (allowed.bitwiseAND(F.lit(1 << i)) != 0) & test
         spans.append(F.when(test, find(text, rule, i)).otherwise(none))
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("key"))
     joined = packed.join(found, F.col("key").eqNullSafe(F.col("_id")), "left")

@@ -95,6 +95,30 @@ def test_secrets(spark):
     assert secrets.scan(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_leading_trigrams_keep_every_conjunction():
+    sets = [tris for _, tris in secrets.conjunctions()]
+    trigrams = sorted(set().union(*sets))
+    led = {t: lead for lead, ts in secrets.leads(trigrams).items() for t in ts}
+    assert sorted(led) == trigrams and len(set(led.values())) < len(trigrams) / 3
+    assert all(led[t] in tris for tris in sets for t in tris) and all(led[lead] == lead for lead in led.values())
+    assert secrets.leads(["abc", "key"]) == {"abc": ["abc"], "key": ["key"]}
+
+
+def test_secret_index_lowers_once_and_joins_without_moving_texts(spark):
+    rows = [*enumerate(["nothing here"] * 40 + ["password=abcdef12", "deadbeef" * 3, None])]
+    docs = documents(spark, rows)
+    trigrams = sorted({t for _, tris in secrets.conjunctions() for t in tris})
+    index = secrets.postings(docs, trigrams)
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert {trigrams[r.trigram] for r in index.collect()} == {"ass", "ord", "pas", "ssw", "swo", "wor"}
+    out = secrets.scan(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "coalesce(_rules" in plan
+    assert {r.doc_id: len(r.secrets) for r in out.collect() if r.secrets} == {40: 1, 41: 1}
+    hexes = secrets.scan(docs, rules=(secrets.Rule("hex", "[0-9a-f]+", 24),)).collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.secrets] for r in hexes if r.secrets} == {41: [(0, 24)]}
+
+
 def brute_pii(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
