@@ -15,6 +15,7 @@ from ..sources.files import cut
 
 PER_BUCKET = 20_000  # distinct values that a bucket is meant to hold
 GRID = 1024  # cut points that are estimated; a group uses as many of them as it needs
+RUN = 16  # cut points that a value is compared with one by one
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -29,12 +30,13 @@ def value_ladder(df: DataFrame, keys: list[str], value: str = "value", per_bucke
     grid = F.percentile_approx(value, [i / GRID for i in range(1, GRID)], 10 * GRID)
     step = F.greatest(F.floor(GRID / F.ceil(F.col("_values") / per_bucket)), F.lit(1))
     cuts = freq.groupBy(*keys).agg(grid.alias("_grid"), F.count(F.lit(1)).alias("_values"))
-    # Estimated cut points depend on the order in which partial results arrive. Two branches below read them, so they are estimated once.
-    cuts = cut(cuts.select(*keys, F.filter("_grid", lambda _, i: (i + 1) % step == 0).alias("_cuts")))
-    placed = freq.join(cuts, keys).select(
-        *keys, value, "cnt",
-        F.aggregate("_cuts", F.lit(0), lambda a, c: a + (c < F.col(value)).cast("int")).alias("_b"),
-    )
+    # Estimated cut points depend on the order in which partial results arrive. Two branches below read the buckets, so they are made once.
+    cuts = cuts.select(*keys, F.filter("_grid", lambda _, i: (i + 1) % step == 0).alias("_cuts"))
+    cuts = cut(cuts.withColumn("_last", F.filter("_cuts", lambda _, i: (i + 1) % RUN == 0)))
+    # A value's bucket is the number of cut points below it. They ascend, so runs of them that end below it are skipped whole.
+    below = lambda points: F.size(F.filter(points, lambda c: c < F.col(value)))
+    placed = freq.join(cuts, keys).withColumn("_skip", below("_last") * RUN)
+    placed = cut(placed.select(*keys, value, "cnt", (F.col("_skip") + below(F.slice("_cuts", F.col("_skip") + 1, RUN))).alias("_b")))
     totals = placed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bn"))
     over_buckets = Window.partitionBy(*keys).orderBy("_b")  # at most GRID rows per group
     totals = totals.select(

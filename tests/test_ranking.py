@@ -35,6 +35,16 @@ def test_cut_points_are_estimated_once(spark):
     assert np.array_equal(got["rank"], got["value"].rank(method="average"))
 
 
+def test_ladder_counts_and_places_values_once(spark):
+    """Hundreds of buckets in the order of the values; what is joined and sorted comes from stored buckets, not from the rows again."""
+    df = spark.range(0, 100_000, 1, 8).select(F.lit("g").alias("g"), (F.pmod(F.col("id") * 7919, F.lit(100_003)) - 50_000).cast("double").alias("value"))
+    ladder = value_ladder(df, ["g"], per_bucket=250)
+    assert "Range (" not in ladder._jdf.queryExecution().executedPlan().toString()
+    got = ladder.toPandas().sort_values("value")
+    assert np.array_equal(got["before"], np.arange(100_000)) and (got["n"] == 100_000).all()
+    assert got["_b"].is_monotonic_increasing and got["_b"].nunique() > 256 and got["_b"].value_counts().max() < 2000
+
+
 def test_stacked_treatments_score_each_value_once(spark):
     """Same scores as the treatments one by one, for ties, empty values, a constant cross-section and a lone row; the rows are read and joined once."""
     x = (F.when(F.col("id") % 4 == 0, F.pmod(F.hash("id"), F.lit(40)) * 0.1).when(F.col("id") % 4 == 1, F.when(F.col("id") % 3 > 0, F.rand(1) + 1e6))
